@@ -1,4 +1,8 @@
-"""Caption lines, word events and caption files for tables of messages."""
+"""Caption lines, word events and caption files for tables of messages.
+
+The outer generators are deliberate: from an inner one Spark infers a filter on
+the array and evaluates the array a second time below it.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,8 @@ def caption_lines(messages: DataFrame, words: str = "subtitle_timestamps") -> Da
     """One row per caption line: ``uuid, line, n_words, start, end, text``."""
     return (
         with_lines(messages, words)
-        .select("uuid", F.posexplode("lines").alias("line", "ws"))
+        .select("uuid", F.posexplode_outer("lines").alias("line", "ws"))
+        .where("line is not null")
         .select(
             "uuid",
             "line",
@@ -37,12 +42,15 @@ def with_events(messages: DataFrame, words: str = "subtitle_timestamps") -> Data
 
 def caption_events(messages: DataFrame, words: str = "subtitle_timestamps") -> DataFrame:
     """One row per word event: ``uuid, line, pos, start, end, text``."""
-    return with_events(messages, words).select("uuid", F.inline("events"))
+    return with_events(messages, words).select("uuid", F.inline_outer("events")).where(
+        "line is not null"
+    )
 
 
 def ass_files(messages: DataFrame, title: str = "Captions") -> DataFrame:
     """``uuid, script``; messages without words give no file."""
-    return with_events(messages).where(F.col("events").isNotNull()).select(
+    worded = messages.where(F.size("subtitle_timestamps") > 0)
+    return with_events(worded).select(
         "uuid", C.ass_script(F.col("events"), title).alias("script")
     )
 

@@ -1,33 +1,31 @@
-"""Record shapes shared by sources, plans and sinks."""
+"""Record shapes shared by sources, plans and sinks, as DDL strings."""
 
-from pyspark.sql import types as T
-
-ARTICLE = T.StructType.fromDDL(
+ARTICLE = (
     "id string, title string, url string, published_at timestamp, fetched_at timestamp, "
     "summary string, author string, categories array<string>, full_content string, "
     "full_content_text string, excerpt string, image_url string, extraction_error string"
 )
 
-FEEDS = T.StructType.fromDDL("preset string, name string, url string")
+FEEDS = "preset string, name string, url string"
 
 CAPTION_WORD = "struct<text:string,start:double,end:double>"
 
-DEDUP_RESULT = T.StructType.fromDDL(
+DEDUP_RESULT = (
     "is_duplicate boolean, is_exact_duplicate boolean, matching_id string, "
     "similarity_score double, checked_at timestamp"
 )
 
 # One stored article: the searchable vector, the hot stamps as columns so that
 # filters reach the Parquet scan, and the remaining metadata as a map.
-STORE = T.StructType.fromDDL(
+STORE = (
     "id string, content string, vec struct<f:array<int>,w:array<double>>, keys array<int>, "
     "metadata map<string,string>, last_update timestamp, model_name string"
 )
 
-SEEN = T.StructType.fromDDL("kind string, value string")
+SEEN = "kind string, value string"
 
-STORY = T.StructType.fromDDL("id string, title string, segments array<string>")
+STORY = "id string, title string, segments array<string>"
 
-MESSAGE_ENVELOPE = T.StructType.fromDDL(
+MESSAGE_ENVELOPE = (
     "topic string, partition int, offset bigint, key string, value string"
 )

@@ -71,3 +71,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """Give a scan of few splits one partition per core before heavy row work.
+
+    A scan that already has as many splits as cores passes through untouched, so
+    large inputs are not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
