@@ -9,11 +9,17 @@ Keys.  Order the terms of every text from rare to common and take the shortest
 head whose remaining tail is shorter than the threshold.  If two unit vectors
 share no head term, their dot product is at most the length of one tail, which
 is below the threshold.  So joining on head terms finds every similar pair.
+
+Heads are taken a little longer than that (``HEAD_SLACK``) and every key carries
+its weight, the squared length up to and including it and the length of the tail.
+Those bound the dot product of two texts from their shared keys alone, so pairs
+that only share a stray rare word are refused before any vector is fetched.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +31,9 @@ WORD_GAP = r"[^\p{L}\p{N}]+"
 HEX_DIGITS = 5
 TERM_SPACE = 16**HEX_DIGITS
 DOC_COUNT_ROW = -1
+HEAD_SLACK = 0.02
+ROUNDING = 1e-5
+KEY_TYPE = "struct<k:int,w:float,c:float,r:float>"
 
 
 def tokens(text: Column) -> Column:
@@ -76,18 +85,19 @@ def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
     return marked.withColumn(out, F.coalesce(counted, none)).drop("_f", "_n", "_at")
 
 
-@dataclass
 class TermModel:
-    """Document frequencies: at most ``TERM_SPACE`` rows whatever the corpus."""
+    """Document frequencies: at most ``TERM_SPACE`` rows whatever the corpus.
+
+    ``table`` has ``f int, df bigint``; row -1 holds the number of documents.
+    """
 
-    table: DataFrame  # f int, df bigint; row -1 holds the number of documents
+    def __init__(self, table: DataFrame):
+        self.table = table
 
-    @property
+    @cached_property
     def name(self) -> str:
-        total = self.table.agg(
-            F.sum(F.col("df")).alias("a"), F.sum(F.col("df") * F.col("f")).alias("b")
-        ).first()
-        return f"terms-{HEX_DIGITS}-{total['a'] or 0}-{total['b'] or 0}"
+        docs, freq = self.frequencies
+        return f"terms-{HEX_DIGITS}-{docs}-{zlib.crc32(freq.tobytes()):08x}"
 
     def save(self, path: str) -> None:
         self.table.write.mode("errorifexists").parquet(path)
@@ -96,6 +106,7 @@ class TermModel:
     def load(spark: SparkSession, path: str) -> "TermModel":
         return TermModel(spark.read.parquet(path))
 
+    @cached_property
     def frequencies(self) -> tuple[int, np.ndarray]:
         """Number of documents and the frequency of every possible term."""
         rows = self.table.toArrow()
@@ -106,6 +117,10 @@ class TermModel:
         dense[f[real]] = df[real]
         return int(df[~real].sum()), dense
 
+    @cached_property
+    def shared(self):
+        return self.table.sparkSession.sparkContext.broadcast(self.frequencies)
+
 
 def fit(counted: DataFrame, terms: str = "terms") -> TermModel:
     """Count, per term, the texts it occurs in; partial counts before the shuffle."""
@@ -115,11 +130,12 @@ def fit(counted: DataFrame, terms: str = "terms") -> TermModel:
     return TermModel(ids.groupBy("f").agg(F.count("*").alias("df")))
 
 
-def _weigher(spark: SparkSession, model: TermModel, threshold: float):
-    n_docs, df = model.frequencies()
-    shared = spark.sparkContext.broadcast((n_docs, df))
+def _weigher(model: TermModel, threshold: float):
+    shared = model.shared
 
-    @F.arrow_udf("struct<f:array<int>,w:array<double>,keys:array<int>>")
+    floor = (threshold - min(HEAD_SLACK, threshold / 10)) ** 2
+
+    @F.arrow_udf(f"struct<f:array<int>,w:array<double>,keys:array<{KEY_TYPE}>>")
     def weigh(f: pa.Array, n: pa.Array) -> pa.Array:
         docs, freq = shared.value
         # Slices start at an offset, so lengths are taken from the list offsets.
@@ -135,21 +151,30 @@ def _weigher(spark: SparkSession, model: TermModel, threshold: float):
         w = w / norm[row]
         rare_first = np.lexsort((flat, seen, row))
         # Squared length of everything from a term on, summed from the tail.
-        tail = np.cumsum((w * w)[rare_first][::-1])[::-1]
-        after = np.append(tail, 0.0)[ends[1:]]
-        rest = tail - after[row]
-        head = rest >= threshold * threshold - 1e-6
-        head_sizes = np.bincount(row[head], minlength=len(sizes))
+        mass = (w * w)[rare_first]
+        tail = np.cumsum(mass[::-1])[::-1]
+        rest = tail - np.append(tail, 0.0)[ends[1:]][row]
+        head = rest >= floor
+        head_row = row[head]
+        head_sizes = np.bincount(head_row, minlength=len(sizes))
         head_ends = np.concatenate([[0], np.cumsum(head_sizes)])
+        left_over = np.maximum((rest - mass)[head], 0.0)
+        last = np.sqrt(np.maximum(left_over[np.maximum(head_ends[1:] - 1, 0)], 0.0)) if head.any() else rest
+        keys = pa.StructArray.from_arrays(
+            [
+                pa.array(flat[rare_first][head], pa.int32()),
+                pa.array(w[rare_first][head].astype(np.float32)),
+                pa.array((1.0 - left_over).astype(np.float32)),
+                pa.array(last[head_row].astype(np.float32)),
+            ],
+            names=["k", "w", "c", "r"],
+        )
         offsets = pa.array(ends, pa.int32())
         return pa.StructArray.from_arrays(
             [
                 pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())),
                 pa.ListArray.from_arrays(offsets, pa.array(w, pa.float64())),
-                pa.ListArray.from_arrays(
-                    pa.array(head_ends, pa.int32()),
-                    pa.array(flat[rare_first][head], pa.int32()),
-                ),
+                pa.ListArray.from_arrays(pa.array(head_ends, pa.int32()), keys),
             ],
             names=["f", "w", "keys"],
         )
@@ -165,7 +190,7 @@ def embed(
     One vector per text; a text without words gets the empty vector, which
     matches nothing.
     """
-    weigh = _weigher(counted.sparkSession, model, threshold)
+    weigh = _weigher(model, threshold)
     weighed = counted.withColumn("_v", weigh(F.col(terms)["f"], F.col(terms)["n"]))
     return weighed.select(
         *[c for c in counted.columns if c != terms],

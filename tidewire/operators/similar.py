@@ -25,11 +25,44 @@ SCORE_DIGITS = 6
 # -- term vectors -----------------------------------------------------------
 
 
-def shared_keys(left: DataFrame, right: DataFrame, total: int, floor: int | None) -> DataFrame:
-    """Distinct ``(lid, rid)`` that share a key.  Inputs: ``id, keys``."""
-    lk = left.select(F.col("id").alias("lid"), F.explode("keys").alias("key"))
-    rk = right.select(F.col("id").alias("rid"), F.explode("keys").alias("key"))
-    return spread_join(lk, rk, ["key"], "inner", "lid", total, floor).select("lid", "rid").distinct()
+def _side(rows: DataFrame, p: str) -> DataFrame:
+    """One row per key of ``id, keys``: ``{p}id, key`` and the key's bounds."""
+    return rows.select(F.col("id").alias(f"{p}id"), F.explode("keys").alias("_k")).select(
+        f"{p}id",
+        F.col("_k.k").alias("key"),
+        *[F.col(f"_k.{x}").alias(f"{p}{x}") for x in ("w", "c", "r")],
+    )
+
+
+def _possible(joined: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that can still reach ``threshold`` given the keys they share.
+
+    Up to the last shared key the product is known; beyond it at most the tail
+    of the side whose head ends first times what is left of the other.
+    """
+    def beyond(tail: str, other: str):
+        return F.col(tail) * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col(other)))
+
+    return (
+        joined.groupBy("lid", "rid")
+        .agg(
+            F.sum(F.col("lw").cast("double") * F.col("rw")).alias("s"),
+            *[F.max(c).cast("double").alias(c) for c in ("lc", "rc", "lr", "rr")],
+        )
+        .where(
+            F.col("s") + F.greatest(beyond("lr", "rc"), beyond("rr", "lc"))
+            >= threshold - V.ROUNDING
+        )
+        .select("lid", "rid")
+    )
+
+
+def shared_keys(
+    left: DataFrame, right: DataFrame, threshold: float, total: int, floor: int | None
+) -> DataFrame:
+    """Distinct ``(lid, rid)`` that share keys enough.  Inputs: ``id, keys``."""
+    joined = spread_join(_side(left, "l"), _side(right, "r"), ["key"], "inner", "lid", total, floor)
+    return _possible(joined, threshold)
 
 
 def score_pairs(
@@ -62,7 +95,9 @@ def similar_pairs(
     floor: int | None = None,
 ) -> DataFrame:
     """All pairs at or above ``threshold``.  Inputs: ``id, vec, keys``."""
-    return score_pairs(shared_keys(left, right, total, floor), left, right, threshold, floor)
+    return score_pairs(
+        shared_keys(left, right, threshold, total, floor), left, right, threshold, floor
+    )
 
 
 def term_finder(rows: DataFrame, threshold: float, floor: int | None = None):
@@ -74,22 +109,18 @@ def term_finder(rows: DataFrame, threshold: float, floor: int | None = None):
     byid = rows.select(F.col("seq").alias("id"), "vec")
 
     def find(live: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-        keys = live.select("seq", F.explode("keys").alias("key"))
-        order = Window.partitionBy("key").orderBy("seq")
+        keys = _side(live.select(F.col("seq").alias("id"), "keys"), "l")
+        order = Window.partitionBy("key").orderBy("lid")
         first = (
             keys.withColumn("_n", F.row_number().over(order))
             .where(F.col("_n") <= depth)
-            .select("key", F.col("seq").alias("earlier"))
-        )
-        pairs = (
-            spread_join(keys, first, ["key"], "inner", "seq", _key_count(live), floor)
-            .where("earlier < seq")
-            .select(F.col("seq").alias("lid"), F.col("earlier").alias("rid"))
-            .distinct()
+            .select("key", *[F.col(f"l{x}").alias(f"r{x}") for x in ("id", "w", "c", "r")])
         )
+        joined = spread_join(keys, first, ["key"], "inner", "lid", _key_count(live), floor)
+        pairs = _possible(joined.where("rid < lid"), threshold)
         scored = score_pairs(pairs, byid, byid, threshold, floor)
         edges = scored.select(F.col("lid").alias("seq"), F.col("rid").alias("earlier"))
-        shown = first.groupBy(F.col("earlier").alias("seq")).agg(F.count("*").alias("_n"))
+        shown = first.groupBy(F.col("rid").alias("seq")).agg(F.count("*").alias("_n"))
         settled = (
             live.select("seq", F.size("keys").alias("_k"))
             .join(shown, "seq", "left")

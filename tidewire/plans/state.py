@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tidewire import schemas
 from tidewire.functions import times
+from tidewire.functions.vectors import KEY_TYPE
 from tidewire.operators.filters import TTL_SECONDS, ttl_valid
 
 
 def store_schema(vector_type: str) -> str:
     return (
-        f"id string, content string, vec {vector_type}, keys array<int>, "
+        f"id string, content string, vec {vector_type}, keys array<{KEY_TYPE}>, "
         "metadata map<string,string>, last_update timestamp, model_name string"
     )
 
