@@ -39,6 +39,7 @@ ENTITIES = (
     ("&ldquo;", "“"),
     ("&rdquo;", "”"),
     ("&hellip;", "…"),
+    ("&middot;", "·"),
     ("&euro;", "€"),
 )
 TITLE_TAG = r"(?is)<title(?:\s[^>]*)?>(.*?)</title"

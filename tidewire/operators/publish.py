@@ -33,9 +33,14 @@ def publish_metadata(messages: DataFrame) -> DataFrame:
 
 
 def upload_metadata(uploads: DataFrame) -> DataFrame:
-    """Defaults of a manual upload: ``path, title, description, source, tags, category_id``."""
+    """Defaults of a manual upload: ``path, title, description, source, tags, category_id``.
+
+    Other columns pass through.
+    """
+    given = ("path", "title", "description", "source", "tags", "category_id")
     titled = uploads.withColumn("_title", X.upload_title(F.col("title"), F.col("path")))
     return titled.select(
+        *[c for c in uploads.columns if c not in given],
         "path",
         F.col("_title").alias("title"),
         X.upload_description(F.col("description"), F.col("_title"), F.col("source")).alias("description"),

@@ -109,18 +109,18 @@ def last_n_log(logs: DataFrame, by: list[str], n: int = LOG_KEPT) -> DataFrame:
 
 
 def payload_report(messages: DataFrame) -> DataFrame:
-    """Preview, caption count and number of timings of decoded messages."""
+    """Preview, caption count and timings of decoded messages, beside their offset."""
+    timings = F.transform(
+        F.map_entries("timings"),
+        lambda t: F.concat(t["key"], F.lit("="), F.format_string("%.2fs", t["value"])),
+    )
     return messages.select(
+        "offset",
         "uuid",
         "status",
         F.coalesce("error", F.lit("")).alias("error"),
         X.preview(F.coalesce("voiceover", F.lit(""))).alias("voiceover_preview"),
         F.greatest(F.size("subtitle_timestamps"), F.lit(0)).alias("captions"),
         F.greatest(F.size("timings"), F.lit(0)).alias("n_timings"),
-    )
-
-
-def payload_timings(messages: DataFrame) -> DataFrame:
-    return messages.select("uuid", F.explode("timings").alias("step", "seconds")).select(
-        "uuid", "step", F.format_string("%.2fs", "seconds").alias("shown")
+        F.array_join(timings, " ").alias("timings"),
     )
