@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import vectors as V
@@ -143,6 +143,10 @@ def _blocks(n: int, rows: int) -> int:
     return max(1, -(-n // rows))
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def _grid(
     left: DataFrame, right: DataFrame, n_left: int, n_right: int, rows: int
 ) -> DataFrame:
@@ -153,13 +157,13 @@ def _grid(
         F.lit(None).cast(right.schema["id"].dataType).alias("rid"),
         "vec",
         F.pmod(F.xxhash64("id"), F.lit(lb)).alias("lb"),
-        F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).cast("long").alias("rb"),
+        F.explode(_numbers(rb)).alias("rb"),
     )
     rs = right.select(
         F.lit(None).cast(left.schema["id"].dataType).alias("lid"),
         F.col("id").alias("rid"),
         "vec",
-        F.explode(F.sequence(F.lit(0), F.lit(lb - 1))).cast("long").alias("lb"),
+        F.explode(_numbers(lb)).alias("lb"),
         F.pmod(F.xxhash64("id"), F.lit(rb)).alias("rb"),
     )
     return ls.unionByName(rs)
