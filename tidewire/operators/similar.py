@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import vectors as V
 from tidewire.operators.spread import spread_join
-from tidewire.session import cut
+from tidewire.session import cut, cut_counted
 
 BLOCK_ROWS = 2048
 SCORE_DIGITS = 6
@@ -77,8 +77,8 @@ def score_pairs(
     The pairs are written first: their number decides whether a much-paired row
     has to be split.
     """
-    pairs = cut(pairs, "pairs")
-    n = pairs.count()
+    pairs, found = cut_counted(pairs, "pairs")
+    n = found["rows"]
     lv = left.select(F.col("id").alias("lid"), F.col("vec").alias("lvec"))
     rv = right.select(F.col("id").alias("rid"), F.col("vec").alias("rvec"))
     wide = spread_join(pairs, rv, ["rid"], "inner", "lid", n, floor)
@@ -108,7 +108,7 @@ def term_finder(rows: DataFrame, threshold: float, floor: int | None = None):
     """
     byid = rows.select(F.col("seq").alias("id"), "vec")
 
-    def find(live: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    def find(live: DataFrame, depth: int, total: int) -> tuple[DataFrame, DataFrame]:
         keys = _side(live.select(F.col("seq").alias("id"), "keys"), "l")
         order = Window.partitionBy("key").orderBy("lid")
         first = (
@@ -116,9 +116,9 @@ def term_finder(rows: DataFrame, threshold: float, floor: int | None = None):
             .where(F.col("_n") <= depth)
             .select("key", *[F.col(f"l{x}").alias(f"r{x}") for x in ("id", "w", "c", "r")])
         )
-        joined = spread_join(keys, first, ["key"], "inner", "lid", _key_count(live), floor)
+        joined = spread_join(keys, first, ["key"], "inner", "lid", total, floor)
         pairs = _possible(joined.where("rid < lid"), threshold)
-        scored = score_pairs(pairs, byid, byid, threshold, floor)
+        scored = cut(score_pairs(pairs, byid, byid, threshold, floor), "edges")
         edges = scored.select(F.col("lid").alias("seq"), F.col("rid").alias("earlier"))
         shown = first.groupBy(F.col("rid").alias("seq")).agg(F.count("*").alias("_n"))
         settled = (
@@ -132,10 +132,6 @@ def term_finder(rows: DataFrame, threshold: float, floor: int | None = None):
     return find
 
 
-def _key_count(live: DataFrame) -> int:
-    return live.agg(F.sum(F.size("keys"))).first()[0] or 0
-
-
 # -- dense vectors ----------------------------------------------------------
 
 
@@ -240,11 +236,10 @@ def block_pairs(
 def dense_finder(rows: DataFrame, threshold: float, block: int = BLOCK_ROWS):
     """Conflict finder over dense unit vectors for ``keep_first``.  ``rows``: ``seq, vec``."""
 
-    def find(live: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    def find(live: DataFrame, depth: int, n: int) -> tuple[DataFrame, DataFrame]:
         ids = rows.join(live.select("seq"), "seq", "left_semi").select(
             F.col("seq").alias("id"), "vec"
         )
-        n = live.count()
         found = cut(
             block_pairs(ids, ids, threshold, n, n, block, earlier_only=True, depth=depth), "block"
         )

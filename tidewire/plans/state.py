@@ -26,18 +26,20 @@ class State:
     """``store`` as in ``schemas.STORE``, ``seen`` as in ``schemas.SEEN``.
 
     ``last_add_at`` is the time of the last addition to ``seen``, which expires
-    as a whole.
+    as a whole.  A ``blank`` store is known to hold nothing.
     """
 
     store: DataFrame
     seen: DataFrame
     last_add_at: datetime | None = None
+    blank: bool = False
 
     @staticmethod
     def empty(spark: SparkSession, vector_type: str = "struct<f:array<int>,w:array<double>>") -> "State":
         return State(
             spark.createDataFrame([], store_schema(vector_type)),
             spark.createDataFrame([], schemas.SEEN),
+            blank=True,
         )
 
     def seen_at(self, now: datetime) -> DataFrame:
