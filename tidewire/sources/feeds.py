@@ -66,7 +66,7 @@ def resolve_feeds(requests: DataFrame, feeds: DataFrame) -> DataFrame:
 
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """``feed, xml``: one row per landed file."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("feed"), F.col("value").alias("xml"))
 
 

@@ -107,11 +107,7 @@ def decode(envelopes: DataFrame, value: str = "value") -> DataFrame:
 
 def read_message_files(spark: SparkSession, path: str) -> DataFrame:
     """``file, value``: every ``*.json`` and ``*.txt`` file is one message."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.{json,txt}")
-        .text(path)
-    )
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{json,txt}")
     return files.select(F.col("_metadata.file_path").alias("file"), "value")
 
 
