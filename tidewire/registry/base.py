@@ -108,7 +108,7 @@ def document_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 def caption_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of conversations as messages: a word every 0.4 s, shown for 0.35 s."""
-    turns = table(spark, sf, "conversations")
+    turns = widen(table(spark, sf, "conversations"))
     words = F.filter(F.split("text", r"[ \n\t\r]+"), lambda w: w != "")
     return turns.select(
         F.concat_ws("-", "conv_id", "turn").alias("uuid"),
@@ -187,7 +187,7 @@ def message_values(spark: SparkSession, sf: str) -> DataFrame:
     every 23rd has a number as uuid; every 11th has an empty uuid, every 7th no
     voiceover, every 5th no captions.  Errors become failures.
     """
-    e = table(spark, sf, "events")
+    e = widen(table(spark, sf, "events"))
     n = F.col("event_id")
     key = n.cast("string")
     uuid = F.when(n % 11 == 0, '""').when(n % 23 == 0, key).otherwise(F.concat(F.lit('"u'), key, F.lit('"')))

@@ -22,7 +22,7 @@ from tidewire.registry.dedups import (
     _vector_articles, sql_walk,
 )
 from tidewire.registry.stores import PAIR_THRESHOLD
-from tidewire.session import scratch_path
+from tidewire.session import scratch_path, widen
 from tidewire.sources import feeds as FD
 from tidewire.sources import messages as MS
 from tidewire.sources.pages import page_extract, page_lookup
@@ -62,7 +62,7 @@ def feed_documents(spark, sf) -> DataFrame:
         F.lit('"/><category term="b"/><updated>'), day, F.lit("T10:00:00Z</updated></entry>"),
     )
     no = F.floor(n / ITEMS_PER_FEED)
-    items = table(spark, sf, "pages").select(
+    items = widen(table(spark, sf, "pages")).select(
         no.alias("no"), n.alias("n"), F.when(no % 2 == 0, rss).otherwise(atom).alias("x")
     )
     body = F.array_join(F.array_sort(F.collect_list(F.struct("n", "x")))["x"], "")
@@ -204,7 +204,7 @@ listed as (
         from listed l left join page_text p on p.url = l.url""",
 )
 def src3(spark, sf):
-    out = page_extract(_listed(spark, sf), table(spark, sf, "pages"))
+    out = page_extract(_listed(spark, sf), widen(table(spark, sf, "pages")))
     return out.select(
         "seq", F.md5("full_content").alias("content_md5"), F.md5("full_content_text").alias("text_md5"),
         F.md5("excerpt").alias("excerpt_md5"), "author", "image_url", "extraction_error",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import filters as FL
 from tidewire.operators.runs import latest_payload
+from tidewire.session import cut
 from tidewire.sources.messages import decode
 
 ENVELOPE = ("topic", "partition", "offset", "key", "value")
@@ -51,8 +52,8 @@ def judge(envelopes: DataFrame, handler: MessageHandler) -> DataFrame:
 
 
 def route(envelopes: DataFrame, handler: MessageHandler) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(done, dead, retry)`` of a batch of envelopes."""
-    judged = judge(envelopes, handler)
+    """``(done, dead, retry)`` of a batch of envelopes, which is decoded once."""
+    judged = cut(judge(envelopes, handler), "judged")
     good = judged.where("reject_reason is null").drop("reject_reason")
     bad = judged.where("reject_reason is not null").select(*envelopes.columns, "reject_reason")
     out = handler.process(good)
