@@ -1,9 +1,11 @@
 """Hashed term vectors and the set of keys two similar texts must share.
 
-The default embedder is offline: words, hashed to 20 bits, weighted by term
+The default embedder is offline: words, hashed to 60 bits, weighted by term
 count and inverse document frequency, scaled to length one.  The document
-frequencies are fitted once, saved, and reused; vectors of two fits must not be
-compared, so every stored row carries the model's name.
+frequencies are counted per leading 24 bits, so the model stays small enough to
+broadcast whatever the corpus, while the terms themselves stay apart.  They are
+fitted once, saved, and reused; vectors of two fits must not be compared, so
+every stored row carries the model's name.
 
 Keys.  Order the terms of every text from rare to common and take the shortest
 head whose remaining tail is shorter than the threshold.  If two unit vectors
@@ -26,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Word boundary and width of the term space.
+# Word boundary and widths of terms and of frequency slots.
 WORD_GAP = r"[^\p{L}\p{N}]+"
-HEX_DIGITS = 5
-TERM_SPACE = 16**HEX_DIGITS
+TERM_HEX = 15
+SLOT_SHIFT = 36
+SLOTS = 2**24
 DOC_COUNT_ROW = -1
+VECTOR_TYPE = "struct<f:array<bigint>,w:array<double>>"
 HEAD_SLACK = 0.02
 ROUNDING = 1e-5
-KEY_TYPE = "struct<k:int,w:float,c:float,r:float>"
+KEY_TYPE = "struct<k:bigint,w:float,c:float,r:float>"
 
 
 def tokens(text: Column) -> Column:
@@ -41,7 +45,11 @@ def tokens(text: Column) -> Column:
 
 
 def term(token: Column) -> Column:
-    return F.conv(F.substring(F.md5(token), 1, HEX_DIGITS), 16, 10).cast("int")
+    return F.conv(F.substring(F.md5(token), 1, TERM_HEX), 16, 10).cast("long")
+
+
+def slot(term_: Column) -> Column:
+    return F.shiftright(term_, SLOT_SHIFT).cast("int")
 
 
 def _shift(a: Column, by: int, fill: Column) -> Column:
@@ -62,7 +70,7 @@ def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
     Sorting the hashed words and measuring the runs stays inside the row.
     """
     hashed = df.withColumn("_f", F.sort_array(F.transform(tokens(F.col(text)), term)))
-    pairs = F.arrays_zip(F.col("_f").alias("f"), _shift(F.col("_f"), 1, F.lit(-1)).alias("p"))
+    pairs = F.arrays_zip(F.col("_f").alias("f"), _shift(F.col("_f"), 1, F.lit(-1).cast("long")).alias("p"))
     marked = hashed.withColumn("_n", F.size("_f")).withColumn(
         "_at",
         F.array_compact(
@@ -81,14 +89,14 @@ def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
         F.when(F.col("_n") > 0, runs),
         lambda t: F.struct(t["f"].alias("f"), (t["to"] - t["at"]).alias("n")),
     )
-    none = F.expr("cast(array() as array<struct<f:int,n:int>>)")
+    none = F.expr("cast(array() as array<struct<f:bigint,n:int>>)")
     return marked.withColumn(out, F.coalesce(counted, none)).drop("_f", "_n", "_at")
 
 
 class TermModel:
-    """Document frequencies: at most ``TERM_SPACE`` rows whatever the corpus.
+    """Document frequencies: at most ``SLOTS`` rows whatever the corpus.
 
-    ``table`` has ``f int, df bigint``; row -1 holds the number of documents.
+    ``table`` has ``slot int, df bigint``; slot -1 holds the number of documents.
     """
 
     def __init__(self, table: DataFrame):
@@ -96,8 +104,8 @@ class TermModel:
 
     @cached_property
     def name(self) -> str:
-        docs, freq = self.frequencies
-        return f"terms-{HEX_DIGITS}-{docs}-{zlib.crc32(freq.tobytes()):08x}"
+        docs, slots, freq = self.frequencies
+        return f"terms-{docs}-{zlib.crc32(slots.tobytes() + freq.tobytes()):08x}"
 
     def save(self, path: str) -> None:
         self.table.write.mode("errorifexists").parquet(path)
@@ -107,15 +115,13 @@ class TermModel:
         return TermModel(spark.read.parquet(path))
 
     @cached_property
-    def frequencies(self) -> tuple[int, np.ndarray]:
-        """Number of documents and the frequency of every possible term."""
-        rows = self.table.toArrow()
-        f = rows.column("f").to_numpy()
-        df = rows.column("df").to_numpy()
-        dense = np.zeros(TERM_SPACE, dtype=np.int64)
-        real = f >= 0
-        dense[f[real]] = df[real]
-        return int(df[~real].sum()), dense
+    def frequencies(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """Number of documents, the used slots in order, and their frequencies."""
+        rows = self.table.toArrow().sort_by("slot")
+        slots = rows.column("slot").to_numpy().astype(np.int32)
+        freq = rows.column("df").to_numpy().astype(np.int64)
+        real = slots >= 0
+        return int(freq[~real].sum()), slots[real], freq[real]
 
     @cached_property
     def shared(self):
@@ -123,11 +129,21 @@ class TermModel:
 
 
 def fit(counted: DataFrame, terms: str = "terms") -> TermModel:
-    """Count, per term, the texts it occurs in; partial counts before the shuffle."""
+    """Count, per slot, the texts that use it; partial counts before the shuffle."""
+    used = F.array_distinct(F.transform(F.col(terms)["f"], slot))
     ids = counted.select(
-        F.explode_outer(F.concat(F.array(F.lit(DOC_COUNT_ROW)), F.col(terms)["f"])).alias("f")
+        F.explode_outer(F.concat(F.array(F.lit(DOC_COUNT_ROW)), used)).alias("slot")
     )
-    return TermModel(ids.groupBy("f").agg(F.count("*").alias("df")))
+    return TermModel(ids.groupBy("slot").agg(F.count("*").alias("df")))
+
+
+def frequency(flat: np.ndarray, slots: np.ndarray, freq: np.ndarray) -> np.ndarray:
+    """Document frequency of every term, 0 for those the model never saw."""
+    if len(slots) == 0:
+        return np.zeros(len(flat), dtype=np.int64)
+    want = (flat >> SLOT_SHIFT).astype(np.int32)
+    at = np.minimum(np.searchsorted(slots, want), len(slots) - 1)
+    return np.where(slots[at] == want, freq[at], 0)
 
 
 def _weigher(model: TermModel, threshold: float):
@@ -135,9 +151,9 @@ def _weigher(model: TermModel, threshold: float):
 
     floor = (threshold - min(HEAD_SLACK, threshold / 10)) ** 2
 
-    @F.arrow_udf(f"struct<f:array<int>,w:array<double>,keys:array<{KEY_TYPE}>>")
+    @F.arrow_udf(f"struct<f:array<bigint>,w:array<double>,keys:array<{KEY_TYPE}>>")
     def weigh(f: pa.Array, n: pa.Array) -> pa.Array:
-        docs, freq = shared.value
+        docs, slots, freq = shared.value
         # Slices start at an offset, so lengths are taken from the list offsets.
         ends = f.offsets.to_numpy().astype(np.int64)
         flat = f.flatten().to_numpy(zero_copy_only=False)
@@ -145,7 +161,7 @@ def _weigher(model: TermModel, threshold: float):
         ends = ends - ends[0]
         sizes = np.diff(ends)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        seen = freq[flat]
+        seen = frequency(flat, slots, freq)
         w = counts * (np.log((docs + 1.0) / (seen + 1.0)) + 1.0)
         norm = np.sqrt(np.bincount(row, w * w, minlength=len(sizes)))
         w = w / norm[row]
@@ -162,7 +178,7 @@ def _weigher(model: TermModel, threshold: float):
         last = np.sqrt(np.maximum(left_over[np.maximum(head_ends[1:] - 1, 0)], 0.0)) if head.any() else rest
         keys = pa.StructArray.from_arrays(
             [
-                pa.array(flat[rare_first][head], pa.int32()),
+                pa.array(flat[rare_first][head], pa.int64()),
                 pa.array(w[rare_first][head].astype(np.float32)),
                 pa.array((1.0 - left_over).astype(np.float32)),
                 pa.array(last[head_row].astype(np.float32)),
@@ -172,7 +188,7 @@ def _weigher(model: TermModel, threshold: float):
         offsets = pa.array(ends, pa.int32())
         return pa.StructArray.from_arrays(
             [
-                pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())),
                 pa.ListArray.from_arrays(offsets, pa.array(w, pa.float64())),
                 pa.ListArray.from_arrays(pa.array(head_ends, pa.int32()), keys),
             ],
@@ -218,7 +234,7 @@ def with_dot(df: DataFrame, a: str, b: str, out: str = "sim") -> DataFrame:
     merged = F.sort_array(F.concat(terms(a), terms(b)))
     walked = F.aggregate(
         merged,
-        F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("f"), F.lit(0.0).alias("w")),
+        F.struct(F.lit(0.0).alias("s"), F.lit(-1).cast("long").alias("f"), F.lit(0.0).alias("w")),
         lambda acc, t: F.struct(
             (acc["s"] + F.when(acc["f"] == t["f"], acc["w"] * t["w"]).otherwise(0.0)).alias("s"),
             t["f"].alias("f"),

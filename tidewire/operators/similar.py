@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import vectors as V
+from tidewire.operators.greedy import MAX_DEPTH
 from tidewire.operators.spread import spread_join
 from tidewire.session import cut, cut_counted
 
@@ -100,11 +101,18 @@ def similar_pairs(
     )
 
 
-def term_finder(rows: DataFrame, threshold: float, floor: int | None = None):
+def term_finder(
+    rows: DataFrame,
+    threshold: float,
+    floor: int | None = None,
+    crowded_at: int = MAX_DEPTH,
+    block: int = BLOCK_ROWS,
+):
     """Conflict finder over term vectors for ``keep_first``.  ``rows``: ``seq, vec, keys``.
 
     The first rows of each key are picked with a row number, which Spark limits
-    before the shuffle, so a key shared by many rows sends few.
+    before the shuffle, so a key shared by many rows sends few.  At the depth
+    ``crowded_at`` the keys that are still deeper go to ``crowded_pairs``.
     """
     byid = rows.select(F.col("seq").alias("id"), "vec")
 
@@ -116,22 +124,122 @@ def term_finder(rows: DataFrame, threshold: float, floor: int | None = None):
             .where(F.col("_n") <= depth)
             .select("key", *[F.col(f"l{x}").alias(f"r{x}") for x in ("id", "w", "c", "r")])
         )
-        joined = spread_join(keys, first, ["key"], "inner", "lid", total, floor)
-        pairs = _possible(joined.where("rid < lid"), threshold)
-        scored = cut(score_pairs(pairs, byid, byid, threshold, floor), "edges")
-        edges = scored.select(F.col("lid").alias("seq"), F.col("rid").alias("earlier"))
         shown = first.groupBy(F.col("rid").alias("seq")).agg(F.count("*").alias("_n"))
-        settled = (
+        incomplete = (
             live.select("seq", F.size("keys").alias("_k"))
             .join(shown, "seq", "left")
-            .where(F.col("_k") == F.coalesce(F.col("_n"), F.lit(0)))
+            .where(F.col("_k") > F.coalesce(F.col("_n"), F.lit(0)))
             .select("seq")
         )
-        return edges, settled
+        crowd = None
+        if depth >= crowded_at:
+            crowd, n = cut_counted(
+                keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > depth), "crowd"
+            )
+            crowd = crowd if n["rows"] else None
+        if crowd is None:
+            joined = spread_join(keys, first, ["key"], "inner", "lid", total, floor)
+            pairs = _possible(joined.where("rid < lid"), threshold)
+            scored = cut(score_pairs(pairs, byid, byid, threshold, floor), "edges")
+            edges = scored.select(F.col("lid").alias("seq"), F.col("rid").alias("earlier"))
+            return edges, live.select("seq").join(incomplete, "seq", "left_anti")
+        # Crowded keys by blocks, the others as before; a bound needs all shared
+        # keys of a pair, so pairs of the others are scored without it.
+        quiet = first.join(crowd.select("key"), "key", "left_anti").select("key", "rid")
+        pairs = (
+            spread_join(keys.select("lid", "key"), quiet, ["key"], "inner", "lid", total, floor)
+            .where("rid < lid")
+            .select("lid", "rid")
+            .distinct()
+        )
+        scored = score_pairs(pairs, byid, byid, threshold, floor).select("lid", "rid")
+        found = cut(
+            crowded_pairs(keys.select("lid", "key"), crowd, byid, threshold, depth, block), "crowded"
+        )
+        edges = cut(scored.unionByName(found.select("lid", "rid")).distinct(), "edges")
+        more = found.where("more").select(F.col("lid").alias("seq")).distinct()
+        return (
+            edges.select(F.col("lid").alias("seq"), F.col("rid").alias("earlier")),
+            live.select("seq").join(more, "seq", "left_anti"),
+        )
 
     return find
 
 
+def crowded_pairs(
+    keys: DataFrame, crowd: DataFrame, byid: DataFrame, threshold: float, depth: int, block: int
+) -> DataFrame:
+    """``lid, rid, more``: conflicts ``rid < lid`` among the rows of crowded keys.
+
+    A key's rows are hashed into blocks and every pair of blocks is one group,
+    which returns each row's ``depth`` earliest conflicts and whether there are
+    more.  Only conflicts leave a group, never all of its pairs.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    members = (
+        keys.join(crowd.withColumn("_b", blocks).select("key", "_b"), "key")
+        .join(byid.withColumnRenamed("id", "lid"), "lid")
+        .select("key", "lid", "vec", "_b", F.pmod(F.xxhash64("lid"), F.col("_b")).alias("_mine"))
+    )
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1))
+    as_left = members.select(
+        "key", F.col("_mine").alias("lb"), others.alias("rb"), F.lit(True).alias("left"), "lid", "vec"
+    )
+    as_right = members.select(
+        "key", others.alias("lb"), F.col("_mine").alias("rb"), F.lit(False).alias("left"), "lid", "vec"
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        is_left = table.column("left").combine_chunks()
+        lefts = table.filter(is_left).sort_by("lid")
+        rights = table.filter(pc.invert(is_left)).sort_by("lid")
+        lid, rid = (t.column("lid").to_numpy() for t in (lefts, rights))
+        lf, lw, lend = _flat(lefts)
+        rf, rw, rend = _flat(rights)
+        rrow = np.repeat(np.arange(len(rid)), np.diff(rend))
+        by_term = np.argsort(rf, kind="stable")
+        rf, rw, rrow = rf[by_term], rw[by_term], rrow[by_term]
+        out_l, out_r, out_m = [], [], []
+        for i in range(len(lid)):
+            span = slice(lend[i], lend[i + 1])
+            lo, hi = np.searchsorted(rf, lf[span]), np.searchsorted(rf, lf[span], side="right")
+            sizes = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            sims = np.bincount(rrow[at], rw[at] * np.repeat(lw[span], sizes), minlength=len(rid))
+            hits = rid[(sims >= threshold) & (rid < lid[i])]
+            out_l.append(np.full(min(len(hits), depth), lid[i]))
+            out_r.append(hits[:depth])
+            out_m.append(np.full(min(len(hits), depth), len(hits) > depth))
+        none = np.empty(0, dtype=np.int64)
+        return pa.table(
+            {
+                "lid": pa.array(np.concatenate(out_l or [none]), pa.int64()),
+                "rid": pa.array(np.concatenate(out_r or [none]), pa.int64()),
+                "more": pa.array(np.concatenate(out_m or [none]).astype(bool)),
+            }
+        )
+
+    return (
+        as_left.unionByName(as_right)
+        .groupBy("key", "lb", "rb")
+        .applyInArrow(compare, "lid bigint, rid bigint, more boolean")
+    )
+
+
+def _flat(side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, weights and row ends of a table's vectors."""
+    vec = side.column("vec").combine_chunks()
+    if isinstance(vec, pa.ChunkedArray):
+        vec = vec.chunk(0)
+    f, w = vec.field("f"), vec.field("w")
+    ends = f.offsets.to_numpy().astype(np.int64)
+    return (
+        f.flatten().to_numpy(zero_copy_only=False),
+        w.flatten().to_numpy(zero_copy_only=False),
+        ends - ends[0],
+    )
+
+
 # -- dense vectors ----------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire import schemas
 from tidewire.functions import times
-from tidewire.functions.vectors import KEY_TYPE
+from tidewire.functions.vectors import KEY_TYPE, VECTOR_TYPE
 from tidewire.operators.filters import TTL_SECONDS, ttl_valid
 
 
@@ -35,7 +35,7 @@ class State:
     blank: bool = False
 
     @staticmethod
-    def empty(spark: SparkSession, vector_type: str = "struct<f:array<int>,w:array<double>>") -> "State":
+    def empty(spark: SparkSession, vector_type: str = VECTOR_TYPE) -> "State":
         return State(
             spark.createDataFrame([], store_schema(vector_type)),
             spark.createDataFrame([], schemas.SEEN),

@@ -53,13 +53,13 @@ SQL_PAGE_TEXT = _sql_main_text()
 # Needs survivors(seq, text) and corpus(seq, text), the texts the model is fitted on.
 SQL_VECTORS = r"""
 tok as (
-  select seq, ('0x' || substr(md5(t), 1, 5))::int as f, count(*) as n
+  select seq, ('0x' || substr(md5(t), 1, 15))::bigint as f, count(*) as n
   from (select seq, unnest(list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: x <> '')) as t
         from corpus) group by all),
-dfs as (select f, count(*) as df from tok group by f),
+dfs as (select f >> 36 as slot, count(distinct seq) as df from tok group by f >> 36),
 docs as (select count(*) as n from corpus),
 raw_w as (
-  select seq, f, t.n * (ln((docs.n + 1.0) / (df + 1.0)) + 1.0) as w from tok t join dfs using (f), docs),
+  select seq, f, t.n * (ln((docs.n + 1.0) / (df + 1.0)) + 1.0) as w from tok t join dfs on dfs.slot = t.f >> 36, docs),
 norms as (select seq, sqrt(sum(w * w)) as norm from raw_w group by seq),
 vec as (select seq, f, w / norm as w from raw_w join norms using (seq))
 """

@@ -18,7 +18,7 @@ DEDUP_RESULT = (
 # One stored article: the searchable vector, the hot stamps as columns so that
 # filters reach the Parquet scan, and the remaining metadata as a map.
 STORE = (
-    "id string, content string, vec struct<f:array<int>,w:array<double>>, keys array<struct<k:int,w:float,c:float,r:float>>, "
+    "id string, content string, vec struct<f:array<bigint>,w:array<double>>, keys array<struct<k:bigint,w:float,c:float,r:float>>, "
     "metadata map<string,string>, last_update timestamp, model_name string"
 )
 

@@ -18,6 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.vectors import VECTOR_TYPE
 from tidewire.plans.dedup import Outcome, process
 from tidewire.plans.state import State, stamped, store_schema
 from tidewire.session import cut
@@ -39,7 +40,7 @@ class StateFolder:
 
     spark: SparkSession
     root: str
-    vector_type: str = "struct<f:array<int>,w:array<double>>"
+    vector_type: str = VECTOR_TYPE
 
     def _read(self, name: str, ddl: str) -> DataFrame:
         path = f"{self.root}/{name}"
