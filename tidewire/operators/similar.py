@@ -3,11 +3,14 @@
 Term vectors meet on the keys they must share (see ``functions.vectors``).
 Dense vectors are compared block by block: rows are hashed into blocks of a
 fixed size, every pair of blocks is one group, and a group is one matrix product
-that returns only its hits.
+that returns only its hits.  Many rows are first cut into cells around pivots, so
+that only rows near enough to reach the threshold share a cell.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +23,10 @@ from tidewire.operators.spread import spread_join
 from tidewire.session import cut, cut_counted
 
 BLOCK_ROWS = 2048
+# Cells pay once all pairs of blocks do not; their number bounds what is broadcast.
+CELLS_FROM = 200_000
+ROWS_PER_CELL = 20_000
+MAX_CELLS = 4096
 SCORE_DIGITS = 6
 
 
@@ -247,30 +254,99 @@ def _blocks(n: int, rows: int) -> int:
     return max(1, -(-n // rows))
 
 
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+def _numbers(n: int | Column) -> Column:
+    last = F.lit(n - 1) if isinstance(n, int) else n - 1
+    return F.sequence(F.lit(0).cast("long"), last.cast("long"))
+
+
+def _copies(rows: DataFrame, other: DataFrame, own: str, blocks: Column, across: Column) -> DataFrame:
+    """One side of a grid: its own block by hash, copied to every block of the other side."""
+    mine, theirs = ("lb", "rb") if own == "lid" else ("rb", "lb")
+    missing = "rid" if own == "lid" else "lid"
+    return rows.select(
+        "cell",
+        F.col("id").alias(own),
+        F.lit(None).cast(other.schema["id"].dataType).alias(missing),
+        "vec",
+        F.pmod(F.xxhash64("id"), blocks).alias(mine),
+        F.explode(_numbers(across)).alias(theirs),
+    ).select("cell", "lid", "rid", "vec", "lb", "rb")
 
 
 def _grid(
     left: DataFrame, right: DataFrame, n_left: int, n_right: int, rows: int
 ) -> DataFrame:
     """Both inputs hashed into blocks and copied to every block of the other side."""
-    lb, rb = _blocks(n_left, rows), _blocks(n_right, rows)
-    ls = left.select(
-        F.col("id").alias("lid"),
-        F.lit(None).cast(right.schema["id"].dataType).alias("rid"),
-        "vec",
-        F.pmod(F.xxhash64("id"), F.lit(lb)).alias("lb"),
-        F.explode(_numbers(rb)).alias("rb"),
+    lb, rb = F.lit(_blocks(n_left, rows)), F.lit(_blocks(n_right, rows))
+    one = F.lit(0).alias("cell")
+    return _copies(left.select("id", "vec", one), right, "lid", lb, rb).unionByName(
+        _copies(right.select("id", "vec", one), left, "rid", rb, lb)
     )
-    rs = right.select(
-        F.lit(None).cast(left.schema["id"].dataType).alias("lid"),
-        F.col("id").alias("rid"),
-        "vec",
-        F.explode(_numbers(lb)).alias("lb"),
-        F.pmod(F.xxhash64("id"), F.lit(rb)).alias("rb"),
+
+
+class Cells:
+    """Space cut by a bounded number of pivots, so that far rows never meet.
+
+    A row's home is its nearest pivot.  It visits every cell whose border is no
+    farther than the distance that ``threshold`` allows: a row at home there is
+    on the other side of the border, hence at least that far away.  So each pair
+    at or above the threshold meets, once, in the home of its right row.
+    """
+
+    def __init__(self, rows: DataFrame, threshold: float, n: int):
+        k = int(min(MAX_CELLS, max(2, n // ROWS_PER_CELL)))
+        spread = rows.select("vec").orderBy(F.xxhash64("id")).limit(k)
+        self.pivots = np.array([r[0] for r in spread.collect()])
+        self.reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
+        self.shared = rows.sparkSession.sparkContext.broadcast((self.pivots, self.reach))
+
+    def home(self) -> Callable[[Column], Column]:
+        shared = self.shared
+
+        @F.arrow_udf("int")
+        def nearest(vec: pa.Array) -> pa.Array:
+            pivots, _ = shared.value
+            rows = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
+            return pa.array(np.argmax(rows @ pivots.T, axis=1), pa.int32())
+
+        return nearest
+
+    def visits(self) -> Callable[[Column], Column]:
+        shared = self.shared
+
+        @F.arrow_udf("array<int>")
+        def reached(vec: pa.Array) -> pa.Array:
+            pivots, reach = shared.value
+            rows = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
+            dots = rows @ pivots.T
+            home = np.argmax(dots, axis=1)
+            # Squared distances of unit vectors differ by twice the dot products.
+            gap = 2 * (dots[np.arange(len(rows)), home][:, None] - dots)
+            apart = np.sqrt(np.maximum(0.0, 2 - 2 * pivots @ pivots.T))[home]
+            inside = gap <= 2 * apart * reach + 1e-9
+            ends = np.concatenate([[0], np.cumsum(inside.sum(axis=1))])
+            return pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(np.nonzero(inside)[1], pa.int32())
+            )
+
+        return reached
+
+
+def _cell_grid(left: DataFrame, right: DataFrame, rows: int) -> DataFrame:
+    """Grid within every cell.  ``left``: ``id, vec, cells``; ``right``: ``id, vec, cell``.
+
+    The sizes are one row per cell, at most ``MAX_CELLS``, so they are broadcast.
+    """
+    visiting = left.select("id", "vec", F.explode("cells").alias("cell"))
+
+    def sized(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("long").alias(name))
+
+    sizes = F.broadcast(sized(visiting.select("cell"), "nl").join(sized(right, "nr"), "cell"))
+    nl, nr = F.col("nl"), F.col("nr")
+    return _copies(visiting.join(sizes, "cell"), right, "lid", nl, nr).unionByName(
+        _copies(right.join(sizes, "cell"), left, "rid", nr, nl)
     )
-    return ls.unionByName(rs)
 
 
 def _id_types(left: DataFrame, right: DataFrame) -> tuple[str, str]:
@@ -299,24 +375,9 @@ def _sides(table: pa.Table):
     )
 
 
-def block_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    threshold: float,
-    n_left: int,
-    n_right: int,
-    rows: int = BLOCK_ROWS,
-    earlier_only: bool = False,
-    depth: int | None = None,
+def _compare_blocks(
+    grid: DataFrame, threshold: float, kinds: tuple[str, str], earlier_only: bool, depth: int | None
 ) -> DataFrame:
-    """``lid, rid, sim, more`` of dense pairs at or above ``threshold``.
-
-    ``earlier_only`` keeps pairs with ``rid < lid``.  With ``depth`` a left row
-    returns, per block, its ``depth`` smallest right ids, and ``more`` tells that
-    others exist.
-    """
-    lkind, rkind = _id_types(left, right)
-
     def compare(table: pa.Table) -> pa.Table:
         sides = _sides(table)
         if sides is None:
@@ -334,26 +395,91 @@ def block_pairs(
         return pa.table({"lid": lid.take(pa.array(i)), "rid": rid.take(pa.array(j)),
                          "sim": sims[i, j], "more": more[i]})
 
-    return (
-        _grid(left, right, n_left, n_right, rows)
-        .groupBy("lb", "rb")
-        .applyInArrow(compare, f"lid {lkind}, rid {rkind}, sim double, more boolean")
+    return grid.groupBy("cell", "lb", "rb").applyInArrow(
+        compare, f"lid {kinds[0]}, rid {kinds[1]}, sim double, more boolean"
     )
 
 
-def dense_finder(rows: DataFrame, threshold: float, block: int = BLOCK_ROWS):
-    """Conflict finder over dense unit vectors for ``keep_first``.  ``rows``: ``seq, vec``."""
+def block_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    threshold: float,
+    n_left: int,
+    n_right: int,
+    rows: int = BLOCK_ROWS,
+    earlier_only: bool = False,
+    depth: int | None = None,
+    cells_from: int | None = None,
+) -> DataFrame:
+    """``lid, rid, sim, more`` of dense unit vectors at or above ``threshold``.
+
+    ``earlier_only`` keeps pairs with ``rid < lid``.  With ``depth`` a left row
+    returns, per block, its ``depth`` smallest right ids, and ``more`` tells that
+    others exist.  From ``cells_from`` rows on, cells keep far rows apart.
+    """
+    kinds = _id_types(left, right)
+    if max(n_left, n_right) < (CELLS_FROM if cells_from is None else cells_from):
+        grid = _grid(left, right, n_left, n_right, rows)
+    else:
+        cells = Cells(right, threshold, n_right)
+        visiting = cut(left.withColumn("cells", cells.visits()("vec")), "visits")
+        at_home = cut(right.withColumn("cell", cells.home()("vec")), "homes")
+        grid = _cell_grid(visiting, at_home, rows)
+    return _compare_blocks(grid, threshold, kinds, earlier_only, depth)
+
+
+def dense_finder(
+    rows: DataFrame, threshold: float, block: int = BLOCK_ROWS, cells_from: int | None = None
+):
+    """Conflict finder over dense unit vectors for ``keep_first``.  ``rows``: ``seq, vec``.
+
+    Few rows are compared with all others.  Many are cut into cells, and until
+    the last depth a row only meets the first rows at home in the cells it
+    visits, so a cell of near copies falls in one round at linear cost.
+    """
+    cells_from = CELLS_FROM if cells_from is None else cells_from
+    placed: dict[str, DataFrame] = {}
+
+    def place(n: int) -> DataFrame:
+        """Cells of all rows, found and written once."""
+        if not placed:
+            all_rows = rows.select(F.col("seq").alias("id"), "vec")
+            cells = Cells(all_rows, threshold, n)
+            placed["rows"] = cut(
+                all_rows.withColumn("cell", cells.home()("vec")).withColumn("cells", cells.visits()("vec")),
+                "placed",
+            )
+        return placed["rows"]
 
     def find(live: DataFrame, depth: int, n: int) -> tuple[DataFrame, DataFrame]:
-        ids = rows.join(live.select("seq"), "seq", "left_semi").select(
-            F.col("seq").alias("id"), "vec"
-        )
-        found = cut(
-            block_pairs(ids, ids, threshold, n, n, block, earlier_only=True, depth=depth), "block"
-        )
+        living = live.select(F.col("seq").alias("id"))
+        incomplete = None
+        if n < cells_from:
+            ids = rows.select(F.col("seq").alias("id"), "vec").join(living, "id", "left_semi")
+            grid = _grid(ids, ids, n, n, block)
+        else:
+            ids = place(n).join(living, "id", "left_semi")
+            homes = ids.select("id", "vec", "cell")
+            if depth < MAX_DEPTH:
+                order = Window.partitionBy("cell").orderBy("id")
+                homes = homes.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= depth)
+                full = homes.groupBy("cell").agg(F.max("id").alias("last"), F.count("*").alias("n"))
+                full = F.broadcast(full.where(F.col("n") >= depth).select("cell", "last"))
+                incomplete = (
+                    ids.select("id", F.explode("cells").alias("cell"))
+                    .join(full, "cell")
+                    .where(F.col("id") > F.col("last"))
+                    .select(F.col("id").alias("seq"))
+                    .distinct()
+                )
+            grid = _cell_grid(ids.select("id", "vec", "cells"), homes.select("id", "vec", "cell"), block)
+        found = cut(_compare_blocks(grid, threshold, _id_types(living, living), True, depth), "block")
         edges = found.select(F.col("lid").alias("seq"), F.col("rid").alias("earlier"))
         cut_short = found.where("more").select(F.col("lid").alias("seq")).distinct()
-        return edges, live.select("seq").join(cut_short, "seq", "left_anti")
+        settled = live.select("seq").join(cut_short, "seq", "left_anti")
+        if incomplete is not None:
+            settled = settled.join(incomplete, "seq", "left_anti")
+        return edges, settled
 
     return find
 
@@ -397,7 +523,7 @@ def knn(
 
     local = (
         _grid(queries, store, n_queries, n_store, rows)
-        .groupBy("lb", "rb")
+        .groupBy("cell", "lb", "rb")
         .applyInArrow(best, f"query_id {qkind}, id {skind}, sim double")
     )
     return top_k(local, k)

@@ -14,15 +14,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.vectors import VECTOR_TYPE
 from tidewire.plans.dedup import Outcome, process
 from tidewire.plans.state import State, stamped, store_schema
+from tidewire.schemas import SEEN
 from tidewire.session import cut
 
+TOUCH = "id string, at timestamp"
 COMMIT = "store_from long, seen_from long, last_add_at timestamp"
 
 
@@ -42,21 +43,30 @@ class StateFolder:
     root: str
     vector_type: str = VECTOR_TYPE
 
-    def _read(self, name: str, ddl: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        try:
-            return self.spark.read.schema(f"{ddl}, v long").parquet(path)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], f"{ddl}, v long")
+    def __post_init__(self) -> None:
+        """Give every table an empty first partition, unless the folder is in use."""
+        for name, ddl in self._tables().items():
+            empty = self.spark.createDataFrame([], ddl)
+            empty.coalesce(1).write.mode("ignore").parquet(f"{self.root}/{name}/v=-1")
+
+    def _tables(self) -> dict[str, str]:
+        return {
+            "adds": store_schema(self.vector_type),
+            "touches": TOUCH,
+            "seen": SEEN,
+            "commits": COMMIT,
+        }
+
+    def _read(self, name: str) -> DataFrame:
+        ddl = self._tables()[name]
+        return self.spark.read.schema(f"{ddl}, v long").parquet(f"{self.root}/{name}")
 
     def _write(self, df: DataFrame, name: str, v: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={v}")
 
     def last_commit(self, before: int) -> Commit | None:
         rows = (
-            self._read("commits", COMMIT)
+            self._read("commits")
             .where(F.col("v") < before)
             .orderBy(F.desc("v"))
             .limit(1)
@@ -73,15 +83,15 @@ class StateFolder:
         if last is None:
             return State.empty(self.spark, self.vector_type), None
         # A batch that died before its commit left files but no commit row.
-        done = self._read("commits", COMMIT).where(F.col("v") <= last.v).select("v")
+        done = self._read("commits").where(F.col("v") <= last.v).select("v")
 
-        def since(name: str, ddl: str, first: int) -> DataFrame:
-            rows = self._read(name, ddl).where(F.col("v").between(first, last.v))
+        def since(name: str, first: int) -> DataFrame:
+            rows = self._read(name).where(F.col("v").between(first, last.v))
             return rows.join(done, "v", "left_semi")
 
-        adds = since("adds", store_schema(self.vector_type), last.store_from)
+        adds = since("adds", last.store_from)
         touches = (
-            since("touches", "id string, at timestamp", last.store_from)
+            since("touches", last.store_from)
             .groupBy("id")
             .agg(F.max("at").alias("_at"))
         )
@@ -92,7 +102,7 @@ class StateFolder:
             F.when(later, stamped(F.col("metadata"), F.col("_at"))).otherwise(F.col("metadata")).alias("metadata"),
             F.greatest("last_update", "_at").alias("last_update"),
         )
-        seen = since("seen", "kind string, value string", last.seen_from).select("kind", "value")
+        seen = since("seen", last.seen_from).select("kind", "value")
         return State(store, seen.distinct(), last.last_add_at), last
 
     def commit(self, v: int, store_from: int, seen_from: int, last_add_at: datetime | None) -> None:
@@ -121,9 +131,7 @@ class StateFolder:
             return
         self._write(state.fresh_store(now), "adds", v)
         self._write(state.seen_at(now), "seen", v)
-        self._write(
-            self.spark.createDataFrame([], "id string, at timestamp"), "touches", v
-        )
+        self._write(self.spark.createDataFrame([], TOUCH), "touches", v)
         self.commit(v, v, v, last.last_add_at)
 
     def reset(self, v: int) -> None:
