@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import html as H
@@ -133,25 +133,17 @@ def win4(spark, sf):
 
 @register(
     "SET1_feed_union",
-    f"""with {_SQL_FEED}, numbered as (select row_number() over (order by feed, pos) as place, feed, id, '' as error from feed_arts)
-        select * from numbered union all
-        select distinct 0, format('feed-{{:06d}}', no), '', 'failed to parse feed' from items where no % 10 = 9""",
+    f"""with {_SQL_FEED} select feed, pos + 1 as place, id, '' as error from feed_arts
+        union all select distinct format('feed-{{:06d}}', no), 0, '', 'failed to parse feed' from items where no % 10 = 9""",
 )
 def set1(spark, sf):
-    """Articles of all good feeds in one order; the broken feeds beside them."""
+    """Articles of all good feeds, numbered in feed order; the broken feeds beside them."""
     parsed = FD.parse_feeds(feed_documents(spark, sf))
     ordered = FD.in_feed_order(FD.feed_articles(parsed, NOW))
-    # ``seq`` increases with gaps; places are counted per partition of the range sort.
-    base = F.shiftright("seq", 33)
-    sizes = ordered.groupBy(base.alias("p")).agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p").agg(
-        F.coalesce(F.sum("b.n"), F.lit(0)).alias("before")
-    )
-    placed = ordered.withColumn("p", base).join(F.broadcast(before), "p").select(
-        (F.col("before") + F.col("seq") % (1 << 33) + 1).alias("place"), "feed", "id", F.lit("").alias("error")
-    )
+    place = F.row_number().over(Window.partitionBy("feed").orderBy("seq")).cast("long")
+    placed = ordered.select("feed", place.alias("place"), "id", F.lit("").alias("error"))
     errors = FD.feed_errors(parsed).select(
-        F.lit(0).cast("long").alias("place"), "feed", F.lit("").alias("id"), "error"
+        "feed", F.lit(0).cast("long").alias("place"), F.lit("").alias("id"), "error"
     )
     return placed.unionByName(errors)
 
