@@ -30,3 +30,18 @@ def test_crowded_keys(spark, depth, step):
         vecs.select("seq", "keys"), find, F.size("keys"), total, first_depth=depth, max_depth=step
     )
     assert sorted(r[0] for r in got.collect()) == kept
+
+
+def test_crowded_pairs_between_sides(spark):
+    """With string ids on one side, as in the store; all pairs, none twice."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(8)]
+    df = spark.createDataFrame(
+        [(i, " ".join(rng.sample(words, 4))) for i in range(90)], "id long, text string")
+    counted = cut(V.with_terms(df, "text").drop("text"), "t")
+    left = cut(V.embed(counted, V.fit(counted), 0.7), "v")
+    right = left.withColumn("id", F.concat(F.lit("s"), "id"))
+    plain = S.similar_pairs(left, right, 0.7, 0)
+    crowded = S.similar_pairs(left, right, 0.7, 0, crowded=5, block=16)
+    show = lambda df: sorted((r["lid"], r["rid"], round(r["sim"], 9)) for r in df.collect())
+    assert show(plain) == show(crowded) and len(show(plain)) > 90

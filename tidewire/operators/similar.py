@@ -23,6 +23,8 @@ from tidewire.operators.spread import spread_join
 from tidewire.session import cut, cut_counted
 
 BLOCK_ROWS = 2048
+# Texts may be long, so blocks of term vectors hold fewer rows.
+CROWDED_ROWS = 512
 # Cells pay once all pairs of blocks do not; their number bounds what is broadcast.
 CELLS_FROM = 200_000
 ROWS_PER_CELL = 20_000
@@ -101,11 +103,37 @@ def similar_pairs(
     threshold: float,
     total: int = 0,
     floor: int | None = None,
+    crowded: int = MAX_DEPTH,
+    block: int = CROWDED_ROWS,
 ) -> DataFrame:
-    """All pairs at or above ``threshold``.  Inputs: ``id, vec, keys``."""
-    return score_pairs(
-        shared_keys(left, right, threshold, total, floor), left, right, threshold, floor
+    """All pairs at or above ``threshold``.  Inputs: ``id, vec, keys``.
+
+    A key that more than ``crowded`` right rows share would pair each left row
+    with all of them, so its rows are compared by blocks instead.
+    """
+    lk, rk = _side(left, "l"), _side(right, "r")
+    crowd, n = cut_counted(
+        rk.select("key")
+        .join(lk.select("key").distinct(), "key", "left_semi")
+        .groupBy("key")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > crowded),
+        "crowd",
+    )
+    if not n["rows"]:
+        pairs = shared_keys(left, right, threshold, total, floor)
+        return score_pairs(pairs, left, right, threshold, floor)
+    quiet = rk.select("rid", "key").join(crowd.select("key"), "key", "left_anti")
+    pairs = (
+        spread_join(lk.select("lid", "key"), quiet, ["key"], "inner", "lid", total, floor)
+        .select("lid", "rid")
+        .distinct()
     )
+    few = score_pairs(pairs, left, right, threshold, floor)
+    many = crowded_pairs(
+        lk.select("lid", "key"), rk.select("rid", "key"), crowd, left, right, threshold, block
+    ).select("lid", "rid", "sim")
+    return few.unionByName(many).groupBy("lid", "rid").agg(F.max("sim").alias("sim"))
 
 
 def term_finder(
@@ -113,7 +141,7 @@ def term_finder(
     threshold: float,
     floor: int | None = None,
     crowded_at: int = MAX_DEPTH,
-    block: int = BLOCK_ROWS,
+    block: int = CROWDED_ROWS,
 ):
     """Conflict finder over term vectors for ``keep_first``.  ``rows``: ``seq, vec, keys``.
 
@@ -161,7 +189,12 @@ def term_finder(
         )
         scored = score_pairs(pairs, byid, byid, threshold, floor).select("lid", "rid")
         found = cut(
-            crowded_pairs(keys.select("lid", "key"), crowd, byid, threshold, depth, block), "crowded"
+            crowded_pairs(
+                keys.select("lid", "key"),
+                keys.select(F.col("lid").alias("rid"), "key"),
+                crowd, byid, byid, threshold, block, depth,
+            ),
+            "crowded",
         )
         edges = cut(scored.unionByName(found.select("lid", "rid")).distinct(), "edges")
         more = found.where("more").select(F.col("lid").alias("seq")).distinct()
@@ -174,62 +207,91 @@ def term_finder(
 
 
 def crowded_pairs(
-    keys: DataFrame, crowd: DataFrame, byid: DataFrame, threshold: float, depth: int, block: int
+    lkeys: DataFrame,
+    rkeys: DataFrame,
+    crowd: DataFrame,
+    left: DataFrame,
+    right: DataFrame,
+    threshold: float,
+    block: int,
+    earlier_depth: int | None = None,
 ) -> DataFrame:
-    """``lid, rid, more``: conflicts ``rid < lid`` among the rows of crowded keys.
+    """``lid, rid, sim, more``: similar pairs that meet in a key of ``crowd``.
 
-    A key's rows are hashed into blocks and every pair of blocks is one group,
-    which returns each row's ``depth`` earliest conflicts and whether there are
-    more.  Only conflicts leave a group, never all of its pairs.
+    A key's rows are hashed into blocks on both sides and every pair of blocks is
+    one group.  Only similar pairs leave a group, never all of its pairs.  With
+    ``earlier_depth`` a row returns, per group, that many of its smallest ``rid``
+    below its own id, and ``more`` tells that there are others.
     """
-    blocks = F.ceil(F.col("n") / block).cast("long")
-    members = (
-        keys.join(crowd.withColumn("_b", blocks).select("key", "_b"), "key")
-        .join(byid.withColumnRenamed("id", "lid"), "lid")
-        .select("key", "lid", "vec", "_b", F.pmod(F.xxhash64("lid"), F.col("_b")).alias("_mine"))
-    )
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1))
-    as_left = members.select(
-        "key", F.col("_mine").alias("lb"), others.alias("rb"), F.lit(True).alias("left"), "lid", "vec"
+    lkind, rkind = _id_types(left, right)
+
+    def sized(keys: DataFrame, name: str) -> DataFrame:
+        return (
+            keys.join(crowd.select("key"), "key", "left_semi")
+            .groupBy("key")
+            .agg(F.ceil(F.count("*") / block).cast("long").alias(name))
+        )
+
+    sizes = cut(sized(lkeys, "nl").join(sized(rkeys, "nr"), "key"), "crowd-sizes")
+
+    def members(keys: DataFrame, rows: DataFrame, own: str) -> DataFrame:
+        vecs = rows.select(F.col("id").alias(own), "vec")
+        return keys.join(sizes, "key").join(vecs, own)
+
+    none_l, none_r = (F.lit(None).cast(kind) for kind in (lkind, rkind))
+    nl, nr = F.col("nl"), F.col("nr")
+    as_left = members(lkeys, left, "lid").select(
+        "key", F.pmod(F.xxhash64("lid"), nl).alias("lb"), F.explode(_numbers(nr)).alias("rb"),
+        "lid", none_r.alias("rid"), "vec",
     )
-    as_right = members.select(
-        "key", others.alias("lb"), F.col("_mine").alias("rb"), F.lit(False).alias("left"), "lid", "vec"
+    as_right = members(rkeys, right, "rid").select(
+        "key", F.explode(_numbers(nl)).alias("lb"), F.pmod(F.xxhash64("rid"), nr).alias("rb"),
+        none_l.alias("lid"), "rid", "vec",
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        is_left = table.column("left").combine_chunks()
-        lefts = table.filter(is_left).sort_by("lid")
-        rights = table.filter(pc.invert(is_left)).sort_by("lid")
-        lid, rid = (t.column("lid").to_numpy() for t in (lefts, rights))
+        is_left = pc.is_valid(table.column("lid"))
+        lefts = table.filter(is_left)
+        rights = table.filter(pc.invert(is_left)).sort_by("rid")
+        lid, rid = lefts.column("lid").combine_chunks(), rights.column("rid").combine_chunks()
         lf, lw, lend = _flat(lefts)
         rf, rw, rend = _flat(rights)
         rrow = np.repeat(np.arange(len(rid)), np.diff(rend))
         by_term = np.argsort(rf, kind="stable")
         rf, rw, rrow = rf[by_term], rw[by_term], rrow[by_term]
-        out_l, out_r, out_m = [], [], []
+        hits, owners, sims_out, more = [], [], [], []
         for i in range(len(lid)):
             span = slice(lend[i], lend[i + 1])
             lo, hi = np.searchsorted(rf, lf[span]), np.searchsorted(rf, lf[span], side="right")
             sizes = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            starts = np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+            at = (starts + np.arange(sizes.sum())).astype(np.int64)
             sims = np.bincount(rrow[at], rw[at] * np.repeat(lw[span], sizes), minlength=len(rid))
-            hits = rid[(sims >= threshold) & (rid < lid[i])]
-            out_l.append(np.full(min(len(hits), depth), lid[i]))
-            out_r.append(hits[:depth])
-            out_m.append(np.full(min(len(hits), depth), len(hits) > depth))
-        none = np.empty(0, dtype=np.int64)
+            found = np.nonzero(sims >= threshold)[0]
+            if earlier_depth is not None:
+                found = found[rid.to_numpy()[found] < lid[i].as_py()]
+            kept = found if earlier_depth is None else found[:earlier_depth]
+            hits.append(kept)
+            owners.append(np.full(len(kept), i))
+            sims_out.append(sims[kept])
+            more.append(np.full(len(kept), len(found) > len(kept)))
+
+        def whole(parts: list, kind: type) -> np.ndarray:
+            return np.concatenate(parts).astype(kind) if parts else np.empty(0, dtype=kind)
+
         return pa.table(
             {
-                "lid": pa.array(np.concatenate(out_l or [none]), pa.int64()),
-                "rid": pa.array(np.concatenate(out_r or [none]), pa.int64()),
-                "more": pa.array(np.concatenate(out_m or [none]).astype(bool)),
+                "lid": lid.take(pa.array(whole(owners, np.int64))),
+                "rid": rid.take(pa.array(whole(hits, np.int64))),
+                "sim": whole(sims_out, np.float64),
+                "more": whole(more, bool),
             }
         )
 
     return (
         as_left.unionByName(as_right)
         .groupBy("key", "lb", "rb")
-        .applyInArrow(compare, "lid bigint, rid bigint, more boolean")
+        .applyInArrow(compare, f"lid {lkind}, rid {rkind}, sim double, more boolean")
     )
 
 

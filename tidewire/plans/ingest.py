@@ -12,6 +12,7 @@ from tidewire.operators import runs as R
 from tidewire.operators.stories import stories_after
 from tidewire.plans.dedup import Outcome, clear, process, with_articles
 from tidewire.plans.state import State
+from tidewire.session import cut
 from tidewire.sources.feeds import feed_articles, feed_errors, in_feed_order, parse_feeds
 from tidewire.sources.pages import page_extract
 
@@ -44,7 +45,8 @@ def ingest(
     """
     parsed = parse_feeds(feed_documents)
     listed = in_feed_order(feed_articles(parsed, now, count))
-    articles = page_extract(listed, pages)
+    # Read by the dedup, the store and the stories: extracted once.
+    articles = cut(page_extract(listed, pages), "articles")
     outcome = process(articles, clear(state) if reset else state, now, embedder, prefix)
     judged = (
         outcome.results.join(articles.select("seq", "url"), "seq").withColumn("run_id", F.lit(run_id))

@@ -160,7 +160,7 @@ def src2(spark, sf):
     names = F.array(*[F.lit(p) for p in ("cna", "hn", "st", "tr")])
     asked = table(spark, sf, "customer").select(F.get(names, F.col("c_nationkey") % 4).alias("preset"))
     counts = asked.groupBy("preset").agg(F.count("*").alias("requests"))
-    return counts.join(F.broadcast(FD.feed_presets(spark).drop("name")), "preset")
+    return counts.join(FD.feed_presets(spark).drop("name"), "preset")
 
 
 # -- pages ------------------------------------------------------------------

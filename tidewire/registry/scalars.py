@@ -282,7 +282,7 @@ def prj13(spark, sf):
 def jn4(spark, sf):
     feeds = feed_presets(spark)
     named = resolve_feeds(_requests(spark, sf), feeds).join(
-        F.broadcast(feeds.select(F.col("url").alias("feed_url"), F.col("name").alias("feed_name"))), "feed_url", "left"
+        feeds.select(F.col("url").alias("feed_url"), F.col("name").alias("feed_name")), "feed_url", "left"
     )
     return named.groupBy("feed_name").agg(F.count("*").alias("requests"))
 

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire import schemas
 from tidewire.functions import text as X
 from tidewire.functions import times
 from tidewire.session import cut
@@ -39,7 +38,9 @@ FEED_XML = (
 
 
 def feed_presets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FEED_PRESETS), schemas.FEEDS)
+    """The presets as a local relation, whose size the planner knows."""
+    rows = ", ".join(f"('{preset}', '{name}', '{url}')" for preset, name, url in FEED_PRESETS)
+    return spark.sql(f"select * from values {rows} as feeds(preset, name, url)")
 
 
 def feeds_by_name(feeds: DataFrame) -> DataFrame:
@@ -49,10 +50,10 @@ def feeds_by_name(feeds: DataFrame) -> DataFrame:
 def resolve_feeds(requests: DataFrame, feeds: DataFrame) -> DataFrame:
     """Requested feed (preset or URL) and item count with the defaults filled in.
 
-    ``requests``: ``feed, count``.  The presets are a handful of rows.
+    ``requests``: ``feed, count``.
     """
     asked = F.coalesce(X.nonempty(F.col("feed")), F.lit(DEFAULT_PRESET))
-    known = F.broadcast(feeds.select(F.col("preset").alias("_asked"), F.col("url").alias("_url")))
+    known = feeds.select(F.col("preset").alias("_asked"), F.col("url").alias("_url"))
     return (
         requests.withColumn("_asked", asked)
         .join(known, "_asked", "left")
