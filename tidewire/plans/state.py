@@ -23,7 +23,7 @@ def store_schema(vector_type: str) -> str:
 
 @dataclass
 class State:
-    """``store`` as in ``schemas.STORE``, ``seen`` as in ``schemas.SEEN``.
+    """``store`` as in ``store_schema``, ``seen`` as in ``schemas.SEEN``.
 
     ``last_add_at`` is the time of the last addition to ``seen``, which expires
     as a whole.  A ``blank`` store is known to hold nothing.

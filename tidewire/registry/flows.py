@@ -15,19 +15,20 @@ from tidewire.plans.captioning import caption
 from tidewire.plans.ingest import ingest
 from tidewire.plans.state import State
 from tidewire.registry.base import (
-    NOW, SQL_MESSAGES, SQL_TITLE, caption_messages, message_values, register, sql_decode, sql_trim, table,
+    NOW, SQL_MESSAGES, SQL_TITLE, message_values, register, table,
 )
 from tidewire.registry.dedups import (
-    SQL_PAGE_TEXT, SQL_TERM_SIMS, SQL_VECTORS, THRESHOLD, _RESULT, _SQL_DENSE, _dense, _shown,
+    SQL_EXACT, SQL_PAGE_TEXT, SQL_TERM_SIMS, SQL_VECTORS, THRESHOLD, _RESULT, _SQL_DENSE, _dense,
     _vector_articles, sql_walk,
 )
 from tidewire.registry.stores import PAIR_THRESHOLD
+from tidewire.schemas import STORY_SEGMENT
 from tidewire.session import scratch_path, widen
 from tidewire.sources import feeds as FD
 from tidewire.sources import messages as MS
 from tidewire.sources.pages import page_extract, page_lookup
 from tidewire.streaming import messages as SM
-from tidewire.streaming.state import StateFolder, dedup_stream
+from tidewire.streaming.state import StateFolder, dedup_stream, run_batch
 
 # -- feeds ------------------------------------------------------------------
 
@@ -476,8 +477,6 @@ def str5(spark, sf):
 )
 def str6(spark, sf):
     """After a first run, a refresh knows every article and a reset none."""
-    from tidewire.streaming.state import run_batch
-
     folder = StateFolder(spark, scratch_path(spark, "state"), DenseEmbedder.vector_type)
     results = scratch_path(spark, "results")
     articles = _vector_articles(spark, sf)
@@ -492,8 +491,6 @@ def str6(spark, sf):
 
 
 def _sql_ingest() -> str:
-    from tidewire.registry.dedups import SQL_EXACT
-
     return f"""with recursive {_SQL_FEED}, {SQL_PAGE_TEXT},
       filled as (
         select row_number() over (order by feed, pos) as seq, o.id, o.link as url, o.title, o.summary, p.text
@@ -512,7 +509,7 @@ def _sql_ingest() -> str:
 @register("RUN_ingest", _sql_ingest())
 def run_ingest(spark, sf):
     """Feeds to counts in one run: every step of the refresh."""
-    empty = spark.createDataFrame([], "id string, seq long, title string, text string")
+    empty = spark.createDataFrame([], STORY_SEGMENT)
     run = ingest(
         feed_documents(spark, sf), table(spark, sf, "pages"), State.empty(spark), empty, NOW,
         TermEmbedder(THRESHOLD), "run-1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import captions as C
@@ -12,12 +13,13 @@ from tidewire.operators import captions as CP
 from tidewire.operators import filters as FL
 from tidewire.operators import publish as PB
 from tidewire.operators import runs as R
+from tidewire.operators.similar import best_match
 from tidewire.plans.state import store_metadata
 from tidewire.registry.base import (
-    NOW, NOW_SQL, SQL_MESSAGES, SQL_RESULTS, SQL_TITLE, SQL_WORDS, blank_every, caption_messages,
-    message_values, register, run_results, sql_decode, sql_trim, table,
+    NOW, SQL_MESSAGES, SQL_RESULTS, SQL_TITLE, SQL_WORDS, blank_every, caption_messages,
+    message_values, register, run_results, table,
 )
-from tidewire.sources.feeds import FEED_PRESETS, feed_presets, resolve_feeds
+from tidewire.sources.feeds import FEED_PRESETS, feed_presets, feeds_by_name, resolve_feeds
 from tidewire.sources.messages import decode
 
 # -- ids and fallback chains ------------------------------------------------
@@ -295,9 +297,6 @@ def jn4(spark, sf):
           join requests r on p.preset = r.feed group by all)""",
 )
 def top3(spark, sf):
-    from pyspark.sql import Window
-    from tidewire.sources.feeds import feeds_by_name
-
     asked = _requests(spark, sf).groupBy(F.col("feed").alias("preset")).agg(F.count("*").alias("asked"))
     # Four feeds, so the place in their order needs one small task.
     listed = feeds_by_name(feed_presets(spark).join(asked, "preset"))
@@ -666,8 +665,6 @@ def flt8(spark, sf):
        from h where sim > 0 group by user_id""",
 )
 def flt9(spark, sf):
-    from tidewire.operators.similar import best_match
-
     hits = table(spark, sf, "events").select(
         F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), F.round(F.col("value") - 20, 2).alias("sim")
     )

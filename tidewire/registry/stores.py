@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tidewire.functions import vectors as V
@@ -12,6 +14,7 @@ from tidewire.operators import stories as SY
 from tidewire.operators.ordered import PART_SPAN
 from tidewire.registry.base import NOW, NOW_SQL, register, table
 from tidewire.registry.scalars import SQL_STAMPS, stamped_events
+from tidewire.schemas import STORY_SEGMENT
 
 # Low enough to find pairs among the given vectors, which are far apart.
 PAIR_THRESHOLD = 0.3
@@ -141,8 +144,6 @@ def jn3(spark, sf):
     f"with {SQL_STORE} select id, ms as last_update_ms from store where ms >= {_CUTOFF}",
 )
 def ded6(spark, sf):
-    from datetime import datetime
-
     out = ST.ttl_cleanup(embedding_store(spark, sf), datetime(2024, 1, 2, 6))
     return out.select("id", F.unix_millis("last_update").alias("last_update_ms"))
 
@@ -154,8 +155,6 @@ def ded6(spark, sf):
         select reason, count(*) as rows from r group by 1""",
 )
 def udf2(spark, sf):
-    from datetime import datetime
-
     store = embedding_store(spark, sf)
     gone = ST.evictions(store, datetime(2024, 1, 2, 6))
     kept = ST.store_delete(store, gone).select("id", F.lit("kept").alias("reason"))
@@ -261,7 +260,7 @@ def _story_rows(spark, sf):
 
 def _segments(spark, sf):
     new, _ = _story_rows(spark, sf)
-    empty = spark.createDataFrame([], "id string, seq long, title string, text string")
+    empty = spark.createDataFrame([], STORY_SEGMENT)
     return SY.story_create(empty, new)
 
 

@@ -6,26 +6,12 @@ ARTICLE = (
     "full_content_text string, excerpt string, image_url string, extraction_error string"
 )
 
-FEEDS = "preset string, name string, url string"
-
 CAPTION_WORD = "struct<text:string,start:double,end:double>"
 
-DEDUP_RESULT = (
-    "is_duplicate boolean, is_exact_duplicate boolean, matching_id string, "
-    "similarity_score double, checked_at timestamp"
-)
-
-# One stored article: the searchable vector, the hot stamps as columns so that
-# filters reach the Parquet scan, and the remaining metadata as a map.
-STORE = (
-    "id string, content string, vec struct<f:array<bigint>,w:array<double>>, keys array<struct<k:bigint,w:float,c:float,r:float>>, "
-    "metadata map<string,string>, last_update timestamp, model_name string"
-)
-
+# Remembered URLs and titles.
 SEEN = "kind string, value string"
 
-STORY = "id string, title string, segments array<string>"
+# One row per segment of a story.
+STORY_SEGMENT = "id string, seq long, title string, text string"
 
-MESSAGE_ENVELOPE = (
-    "topic string, partition int, offset bigint, key string, value string"
-)
+MESSAGE_ENVELOPE = "topic string, partition int, offset bigint, key string, value string"

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows may carry long arrays, so batches to Python are bounded by size too.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 _LOCAL_SCRATCH: dict[str, str] = {}
