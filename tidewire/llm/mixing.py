@@ -69,9 +69,9 @@ def mix(
     """One row per piece that the mix takes, and one without a piece for each row it leaves out.
 
     Columns: those of ``df`` in the struct ``row``; ``rid`` (the row), ``size``, ``source_size``,
-    ``target``; ``pass``, ``start``, ``length`` (the piece's words), ``shard``, ``place`` (its
-    block's in the shard), ``turn`` (its order in the block).  The last six are null where the row
-    is left out.
+    ``target``; ``pass`` and ``take`` (the words taken in that pass), ``start`` and ``length`` (the
+    piece's words), ``shard``, ``place`` (its block's in the shard), ``turn`` (its order in the
+    block).  The words are null where the row is left out.
 
     Each source is permuted by a hash and read in passes as one stream of words until its target,
     rounded to a word, is reached; only the row at the end is cut.  The stream is dealt in blocks.
@@ -139,6 +139,7 @@ def mix(
         "source_size",
         "target",
         "pass",
+        "take",
         (begin - F.col("off")).alias("start"),
         (end - begin).alias("length"),
         "shard",
@@ -160,6 +161,21 @@ def taken(pieces: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def realised(pieces: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The rows of the mix: one per pass that takes words of a row, its text cut to these words."""
+    words = F.split(F.regexp_replace(F.col("row").getField(text), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    cut_text = F.array_join(F.slice(words, F.lit(1), F.col("take").cast("int")), " ")
+    whole = F.col("row").getField(text)
+    return pieces.where("start = 0").select(
+        *[
+            F.when(F.col("take") < F.col("size"), cut_text).otherwise(whole).alias(c)
+            if c == text
+            else F.col("row").getField(c).alias(c)
+            for c in columns
+        ]
+    )
+
+
 def laid_out(pieces: DataFrame) -> DataFrame:
     """The pieces that are taken, each shard's in its order: by block, and shuffled in the block."""
     kept = pieces.where("length is not null")

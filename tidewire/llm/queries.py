@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import common as C
-from tidewire.llm import mixing, neardup, packing, sharding
+from tidewire.llm import mixing, neardup, packing, pii, quality, sharding
 from tidewire.session import cut
 
 QUERIES = {}
@@ -44,6 +44,13 @@ def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken(mixing.mix(cut(docs, "op2-sizes"), "size", "source"), ["doc_id"])
 
 
+@register
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = C.table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    judged = quality.judge(docs, C.table(spark, sf, "labels"), F.col("source"), F.col("lang"))
+    return judged.select("row.doc_id", "p", "host_rate", "site_rate", "score", "kept")
+
+
 @register
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     docs = C.table(spark, sf, "documents").select("doc_id", "text")
@@ -55,3 +62,16 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def op9_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.duplicates(C.table(spark, sf, "documents"))
+
+
+@register
+def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = C.table(spark, sf, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, "text", pii.DEMO_KEY, count="n_replaced")
+
+
+@register
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
