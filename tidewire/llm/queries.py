@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import common as C
-from tidewire.llm import mixing, neardup, packing, pii, quality, sharding
+from tidewire.llm import (
+    extraction,
+    lattice,
+    learning,
+    mixing,
+    neardup,
+    packing,
+    pii,
+    quality,
+    rules,
+    sharding,
+    toxicity,
+)
 from tidewire.session import cut
 
 QUERIES = {}
@@ -44,6 +56,26 @@ def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken(mixing.mix(cut(docs, "op2-sizes"), "size", "source"), ["doc_id"])
 
 
+@register
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = C.table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, C.table(spark, sf, "labels"))
+    return scored.select(
+        "row.doc_id",
+        learning.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "evidence",
+    )
+
+
+@register
+def op4_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = C.table(spark, sf, "documents").select("doc_id", "source", "text")
+    shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rules.judge(docs, "source").select("row.doc_id", *shown)
+
+
 @register
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = C.table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
@@ -59,6 +91,16 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register
+def op7_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.extract(C.table(spark, sf, "pages"))
+
+
+@register
+def op8_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice.near_vectors(C.table(spark, sf, "embeddings"))
+
+
 @register
 def op9_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.duplicates(C.table(spark, sf, "documents"))
