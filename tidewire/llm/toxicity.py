@@ -29,10 +29,31 @@ BLOCK = 32
 PRIOR_WEIGHT = 0.5
 # Vectors whose neighbours a worker remembers; when there are more, it starts anew.
 CACHE = 50_000
+# Words whose terms a worker remembers, likewise.
+CACHE_WORDS = 500_000
 
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
+def parts(word: str) -> list[str]:
+    """The terms of a word: itself, and its beginnings of four to six letters for what it may be
+    compounded of."""
+    return [word, *(word[:k] + "~" for k in (4, 5, 6) if len(word) > k)]
+
+
+class Kept(dict):
+    """The numbers of a word's terms, as far as they are kept."""
+
+    def __init__(self, keep: dict[str, int]):
+        self.keep = keep
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = out = [self.keep[p] for p in parts(word) if p in self.keep]
+        return out
+
+
 def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
@@ -137,11 +158,18 @@ def _terms_of(df: DataFrame, keep: dict[str, int] | None) -> DataFrame:
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Kept(keep or {})
         for batch in batches:
             terms, counts = [], []
             for text in batch.column("text"):
+                found = Counter()
                 words = tokens(text.as_py())
-                found = Counter(words if keep is None else [keep[w] for w in words if w in keep])
+                if keep is None:
+                    for w, n in Counter(words).items():
+                        for x in parts(w):
+                            found[x] += n
+                else:
+                    found.update(x for xs in filter(None, map(known.__getitem__, words)) for x in xs)
                 names = sorted(found)
                 terms.append(names)
                 counts.append([found[x] for x in names])
