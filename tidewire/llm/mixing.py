@@ -111,9 +111,9 @@ def mix(
     )
     in_cell = Window.partitionBy("sid", "cell").orderBy("k", "size")
     upto = in_cell.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    passes = """filter(transform(sequence(0L, coalesce(quota div source_size, 0L)), p -> struct(
+    passes = """filter(transform(sequence(0L, whole), p -> struct(
         p as pass, p * source_size + pos as off,
-        if(p < quota div source_size, size, greatest(0L, least(size, quota % source_size - pos))) as take
+        if(p < whole, size, greatest(0L, least(size, rest - pos))) as take
     )), x -> x.take > 0)"""
     placed = (
         rows.select(
@@ -123,6 +123,8 @@ def mix(
         )
         .join(starts, ["sid", "cell"])
         .withColumn("pos", F.col("first") + F.col("sofar"))
+        .withColumn("whole", F.expr("coalesce(quota div nullif(source_size, 0), 0L)"))
+        .withColumn("rest", F.col("quota") - F.col("whole") * F.col("source_size"))
         .withColumn("one", F.explode_outer(F.expr(passes)))
         .select("*", "one.*")
         .withColumn(

@@ -17,12 +17,13 @@ from tidewire.llm import (
     quality,
     rules,
     sharding,
+    sql,
     toxicity,
 )
 from tidewire.session import cut
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_rules": sql.RULES}
 
 
 def register(fn):
