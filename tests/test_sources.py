@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import stories as SY
 from tidewire.operators.embedders import TermEmbedder
+from tidewire.operators.ordered import ordered_parts
 from tidewire.operators.spread import spread_join
 from tidewire.plans.ingest import ingest
 from tidewire.plans.state import State
 from tidewire.registry import base
+from tidewire.schemas import STORY_SEGMENT
 from tidewire.sources import feeds as FD
 from tidewire.sources import messages as MS
 from tidewire.sources.pages import page_extract
@@ -111,16 +113,21 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_stories(spark):
-    none = spark.createDataFrame([], "id string, seq long, title string, text string")
+    none = spark.createDataFrame([], STORY_SEGMENT)
     new = spark.createDataFrame([(0, "a", "T", "one")], "seq long, id string, title string, body string")
     items = [(5, "a", "", "late"), (3, "a", "", "early"), (4, "gone", "", "lost")]
     similar = spark.createDataFrame(items, "seq long, matching_id string, title string, body string")
     segments, missing = SY.story_append(SY.story_create(none, new), similar)
     assert [r["id"] for r in missing.collect()] == ["gone"]
     assert SY.append_concat(segments).first()["body"] == "T\none\n--\nearly\n--\nlate"
-    parts = {r["part"]: r["body"] for r in SY.append_concat(segments, 4).collect()}
-    assert parts == {0: "T\none\n--\nearly", 1: "late"}
-    again = SY.story_create(segments, spark.createDataFrame([(9, "a", "N", "x")], new.schema))
+    cut_up = ordered_parts(segments, ["id"], ["run", "seq"], F.col("text"), "texts", part_bytes=8, span=4)
+    assert {r["part"]: r["texts"] for r in cut_up.collect()} == {0: ["T\none", "early"], 1: ["late"]}
+    later = spark.createDataFrame([(0, "a", "", "second run"), (20_000, "a", "", "its end")], similar.schema)
+    segments, _ = SY.story_append(segments, later, run=1)
+    assert [tuple(r) for r in SY.append_concat(segments).collect()] == [
+        ("a", 0, "T\none\n--\nearly\n--\nlate\n--\nsecond run\n--\nits end")
+    ]
+    again = SY.story_create(segments, spark.createDataFrame([(9, "a", "N", "x")], new.schema), run=2)
     assert SY.append_concat(again).first()["body"] == "N\nx"
 
 
@@ -158,7 +165,7 @@ def test_whole_run(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     texts = [words, words, "quite other words stand here and there", "third text entirely unlike the rest"]
     pages = spark.createDataFrame([(f"http://a/{i}", page(t)) for i, t in enumerate(texts)], "url string, html string")
-    none = spark.createDataFrame([], "id string, seq long, title string, text string")
+    none = spark.createDataFrame([], STORY_SEGMENT)
     run = ingest(feeds, pages, State.empty(spark), none, NOW, TermEmbedder(0.95), "r", prefix="s")
     counts = run.counts.first()
     assert (counts["new_count"], counts["duplicate_count"], counts["failed_count"], counts["error_count"]) == (3, 1, 1, 0)

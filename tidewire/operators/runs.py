@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
-from tidewire.operators.ordered import PART_SPAN, ordered_parts
+from tidewire.operators.ordered import PART_BYTES, ordered_parts
 
 # Log sizes and statuses.
 LOG_KEPT = 50
@@ -32,10 +32,11 @@ def summary_folded(results: DataFrame, by: list[str] | None = None) -> DataFrame
     )
 
 
-def new_urls(results: DataFrame, by: list[str], span: int = PART_SPAN) -> DataFrame:
-    """URLs of new articles in processing order, empty ones included, in parts."""
+def new_urls(results: DataFrame, by: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
+    """URLs of new articles in processing order, empty ones included: one list per run, cut into
+    parts only if it is very large."""
     new = results.where(F.col("status") == "new")
-    return ordered_parts(new, by, "seq", F.coalesce("url", F.lit("")), "article_urls", span)
+    return ordered_parts(new, by, ["seq"], F.coalesce("url", F.lit("")), "article_urls", part_bytes)
 
 
 def first_new_ref(results: DataFrame, by: list[str]) -> DataFrame:
@@ -48,14 +49,15 @@ def generation_requests(results: DataFrame, by: list[str]) -> DataFrame:
     """One request per run that has a reference; other runs complete without one.
 
     The request id is a hash of what it asks for, so that a retried run asks
-    for the same thing.  The URL list goes with it from ``new_urls``.
+    for the same thing.  ``article_urls`` are those of the new articles, in order;
+    a list too large for one row goes on in further rows of the same request.
     """
     new = results.where(F.col("status") == "new")
     ref = F.min_by(
         F.col("object_key"),
         F.when(X.nonempty(F.col("object_key")).isNotNull(), F.col("seq")),
     )
-    return (
+    asked = (
         new.groupBy(*by)
         .agg(
             ref.alias("object_ref"),
@@ -70,6 +72,9 @@ def generation_requests(results: DataFrame, by: list[str]) -> DataFrame:
         )
         .select(*by, "uuid", "object_ref", "n_urls")
     )
+    return asked.join(new_urls(results, by), by).select(
+        *by, "uuid", "object_ref", "n_urls", "part", "article_urls"
+    )
 
 
 def latest_payload(messages: DataFrame, by: list[str], value: str = "value") -> DataFrame:

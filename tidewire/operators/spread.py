@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot above both a thousandth of the rows and this floor, so there are
-# never more than a thousand hot keys and their list can always be broadcast.
-HOT_SHARE = 1000
-HOT_FLOOR = 1_000_000
+# A part of a hot key holds this many rows, or a millionth of all if that is more;
+# so there are never more than a million hot keys and their list can be broadcast.
+HOT_SHARE = 1_000_000
+HOT_FLOOR = 100_000
 
 
 def hot_keys(big: DataFrame, keys: list[str], total: int, floor: int | None = None) -> DataFrame | None:

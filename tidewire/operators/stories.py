@@ -1,8 +1,9 @@
 """Stories: the first article of a matter and all near-duplicates appended to it.
 
-A story is kept as rows ``id, seq, title, text``, one per segment, so that an
+A story is kept as rows ``id, run, seq, title, text``, one per segment, so that an
 append adds rows and never rewrites, and a much-matched story is no large value.
-Its text is rendered in parts that follow each other.
+``seq`` is the order inside a run; a later run's segments follow those of earlier ones.
+Its text is one body, and several that follow each other only if it is very large.
 """
 
 from __future__ import annotations
@@ -12,17 +13,18 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
 from tidewire.functions.html import strip_images
-from tidewire.operators.ordered import PART_SPAN, ordered_parts
+from tidewire.operators.ordered import PART_BYTES, ordered_parts
 from tidewire.operators.spread import spread_join
 
 # Fixed value: what separates the segments of a story.
 SEGMENT_MARK = "\n--\n"
 
 
-def story_create(segments: DataFrame, new: DataFrame) -> DataFrame:
+def story_create(segments: DataFrame, new: DataFrame, run: int = 0) -> DataFrame:
     """Start a story per new article (``seq, id, title, body``); an existing id is replaced."""
     first = new.select(
         "id",
+        F.lit(run).cast("long").alias("run"),
         "seq",
         "title",
         F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))).alias("text"),
@@ -30,21 +32,25 @@ def story_create(segments: DataFrame, new: DataFrame) -> DataFrame:
     return segments.join(new.select("id"), "id", "left_anti").unionByName(first)
 
 
-def append_rows(similar: DataFrame) -> DataFrame:
+def append_rows(similar: DataFrame, run: int = 0) -> DataFrame:
     """Segments of similar articles (``seq, matching_id, title, body``)."""
     return similar.select(
-        F.col("matching_id").alias("id"), "seq", "title", F.coalesce("body", F.lit("")).alias("text")
+        F.col("matching_id").alias("id"),
+        F.lit(run).cast("long").alias("run"),
+        "seq",
+        "title",
+        F.coalesce("body", F.lit("")).alias("text"),
     )
 
 
 def story_append(
-    segments: DataFrame, similar: DataFrame, total: int = 0, floor: int | None = None
+    segments: DataFrame, similar: DataFrame, total: int = 0, floor: int | None = None, run: int = 0
 ) -> tuple[DataFrame, DataFrame]:
     """``(segments, missing)``: appends to stories that exist, and the rest with their reason.
 
     The story ids are one row each; a story that takes most appends is split.
     """
-    rows = append_rows(similar)
+    rows = append_rows(similar, run)
     ids = segments.select("id").distinct()
     known = spread_join(rows, ids, ["id"], "left_semi", "seq", total, floor)
     missing = spread_join(rows, ids, ["id"], "left_anti", "seq", total, floor)
@@ -54,16 +60,16 @@ def story_append(
     )
 
 
-def append_concat(segments: DataFrame, span: int = PART_SPAN) -> DataFrame:
-    """``id, part, body``: segments in order joined by the mark."""
-    parts = ordered_parts(segments, ["id"], "seq", F.col("text"), "texts", span)
+def append_concat(segments: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """``id, part, body``: segments in order of run and ``seq``, joined by the mark."""
+    parts = ordered_parts(segments, ["id"], ["run", "seq"], F.col("text"), "texts", part_bytes)
     return parts.select("id", "part", F.array_join("texts", SEGMENT_MARK).alias("body"))
 
 
-def write_stories(segments: DataFrame, path: str, prefix: str = "", span: int = PART_SPAN) -> None:
+def write_stories(segments: DataFrame, path: str, prefix: str = "", part_bytes: int = PART_BYTES) -> None:
     """Rendered parts as a table keyed by object key."""
     (
-        append_concat(segments, span)
+        append_concat(segments, part_bytes)
         .withColumn("key", X.object_key(F.lit(prefix), F.col("id")))
         .write.mode("overwrite")
         .parquet(path)
@@ -71,7 +77,7 @@ def write_stories(segments: DataFrame, path: str, prefix: str = "", span: int =
 
 
 def stories_after(
-    segments: DataFrame, articles: DataFrame, results: DataFrame, total: int = 0
+    segments: DataFrame, articles: DataFrame, results: DataFrame, total: int = 0, run: int = 0
 ) -> tuple[DataFrame, DataFrame]:
     """Stories after a dedup run: creates first, then appends; exact duplicates do nothing."""
     bodies = articles.select(
@@ -80,9 +86,9 @@ def stories_after(
         X.stored_body(F.col("full_content_text"), F.col("full_content"), F.col("summary")).alias("body"),
     )
     judged = results.select("seq", "id", "status", "is_exact_duplicate", "matching_id").join(bodies, "seq")
-    made = story_create(segments, judged.where("status = 'new'").select("seq", "id", "title", "body"))
+    made = story_create(segments, judged.where("status = 'new'").select("seq", "id", "title", "body"), run)
     similar = judged.where("status = 'duplicate' and not is_exact_duplicate")
-    return story_append(made, similar.select("seq", "matching_id", "title", "body"), total)
+    return story_append(made, similar.select("seq", "matching_id", "title", "body"), total, run=run)
 
 
 def article_export(articles: DataFrame, prefix: str = "") -> DataFrame:

@@ -38,9 +38,11 @@ def ingest(
     reset: bool = False,
     count: int = 10,
     prefix: str = "",
+    run: int = 0,
 ) -> Run:
     """Run every step over landed feed documents (``feed, xml``) and pages (``url, html``).
 
+    ``run`` numbers the runs, so that a later one's segments follow in the stories.
     ``reset`` forgets the past first.  A broken feed is reported and skipped.
     """
     parsed = parse_feeds(feed_documents)
@@ -51,7 +53,7 @@ def ingest(
     judged = (
         outcome.results.join(articles.select("seq", "url"), "seq").withColumn("run_id", F.lit(run_id))
     )
-    segments, _ = stories_after(stories, articles, outcome.results)
+    segments, _ = stories_after(stories, articles, outcome.results, run=run)
     return Run(
         outcome,
         R.status_counts(judged, ["run_id"]),

@@ -420,3 +420,23 @@ def ded7(spark, sf):
     stored = State(cut(state.store, "store"), state.seen)
     found = D.similar_search(items, stored, embedder)
     return found.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
+@register(
+    "DED3_chain",
+    "select event_id as seq, event_id % 2 = 0 as kept from events",
+)
+def ded3_chain(spark, sf):
+    """All events, numbered from 0, as one chain: in turn two neighbours share a URL and a title.
+
+    So a row is kept iff its number is even, and a plain round would settle two rows alone.
+    """
+    n = F.col("event_id")
+    rows = table(spark, sf, "events").select(
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("u"), F.floor((n + 1) / 2)).alias("url"),
+        F.concat(F.lit("t"), F.floor(n / 2)).alias("title"),
+    )
+    rows = cut(rows, "chain")
+    kept = exact_keep_first(rows).withColumn("kept", F.lit(True))
+    return rows.select("seq").join(kept, "seq", "left").select("seq", F.coalesce("kept", F.lit(False)).alias("kept"))

@@ -8,7 +8,6 @@ from tidewire.functions import captions as C
 from tidewire.functions import text as X
 from tidewire.operators import captions as CP
 from tidewire.operators import runs as R
-from tidewire.operators.ordered import PART_SPAN
 from tidewire.operators.stories import article_export
 from tidewire.registry.base import (
     SQL_MESSAGES, SQL_RESULTS, SQL_WORDS, caption_messages, message_values, register, run_results, table,
@@ -101,7 +100,7 @@ def agg2(spark, sf):
 
 @register(
     "AGG4_new_urls",
-    f"""with {SQL_RESULTS} select run_id, seq // {PART_SPAN} as part, string_agg(url, '|' order by seq) as article_urls
+    f"""with {SQL_RESULTS} select run_id, 0::bigint as part, string_agg(url, '|' order by seq) as article_urls
         from results where status = 'new' group by all""",
 )
 def agg4(spark, sf):
@@ -123,12 +122,14 @@ def agg5(spark, sf):
     "SNK7_generation_request",
     f"""with {SQL_RESULTS}, r as (
           select run_id, arg_min(object_key, seq) filter (object_key <> '') as object_ref, count(*) as n_urls,
-                 min(seq) as a, max(seq) as b from results where status = 'new' group by run_id)
-        select run_id, substr(sha256(concat_ws('|', run_id, object_ref, n_urls, a, b)), 1, 16) as uuid, object_ref, n_urls
-        from r where object_ref is not null""",
+                 min(seq) as a, max(seq) as b, string_agg(url, '|' order by seq) as article_urls from results where status = 'new' group by run_id)
+        select run_id, substr(sha256(concat_ws('|', run_id, object_ref, n_urls, a, b)), 1, 16) as uuid, object_ref, n_urls,
+          0::bigint as part, article_urls from r where object_ref is not null""",
 )
 def snk7(spark, sf):
-    return R.generation_requests(run_results(spark, sf), ["run_id"])
+    return R.generation_requests(run_results(spark, sf), ["run_id"]).withColumn(
+        "article_urls", F.array_join("article_urls", "|")
+    )
 
 
 def _logs(spark, sf):

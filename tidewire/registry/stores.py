@@ -11,7 +11,6 @@ from tidewire.operators import filters as FL
 from tidewire.operators import similar as S
 from tidewire.operators import store as ST
 from tidewire.operators import stories as SY
-from tidewire.operators.ordered import PART_SPAN
 from tidewire.registry.base import NOW, NOW_SQL, register, table
 from tidewire.registry.scalars import SQL_STAMPS, stamped_events
 from tidewire.schemas import STORY_SEGMENT
@@ -250,7 +249,7 @@ def _story_rows(spark, sf):
         F.col("text").alias("body"),
     )
     items = table(spark, sf, "events").select(
-        (F.col("event_id") + 1_000_000_000).alias("seq"),
+        F.col("event_id").alias("seq"),
         F.concat(F.lit("s"), "user_id").alias("matching_id"),
         F.col("event_type").alias("title"),
         F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")).alias("body"),
@@ -274,28 +273,32 @@ def snk1(spark, sf):
 
 _SQL_SEGMENTS = """
 segs as (
-  select 's' || doc_id as id, doc_id as seq, lang || chr(10) || text as t from documents
+  select 's' || doc_id as id, 0 as run, doc_id as seq, lang || chr(10) || text as t from documents
   union all
-  select 's' || user_id, event_id + 1000000000, event_type || ' ' || event_id from events
+  select 's' || user_id, 1 + event_id % 2, event_id // 2, event_type || ' ' || event_id from events
   where user_id in (select doc_id from documents))
 """
 
 
 @register(
     "SNK2_story_append",
-    f"""with {_SQL_SEGMENTS} select id, seq // {PART_SPAN} as part,
-          md5(string_agg(t, chr(10) || '--' || chr(10) order by seq)) as body_md5 from segs group by all""",
+    f"""with {_SQL_SEGMENTS} select id, 0::bigint as part,
+          md5(string_agg(t, chr(10) || '--' || chr(10) order by run, seq)) as body_md5 from segs group by all""",
 )
 def snk2(spark, sf):
+    """Two runs append to the stories of a first one; each counts its ``seq`` from the start."""
     _, items = _story_rows(spark, sf)
     total = table(spark, sf, "events").count()
-    segments, _ = SY.story_append(_segments(spark, sf), items, total)
+    segments = _segments(spark, sf)
+    for run in (1, 2):
+        part = items.where(F.col("seq") % 2 == run - 1).withColumn("seq", F.floor(F.col("seq") / 2))
+        segments, _ = SY.story_append(segments, part, total, run=run)
     return SY.append_concat(segments).select("id", "part", F.md5("body").alias("body_md5"))
 
 
 @register(
     "AGG9_append_concat",
-    f"""select 's' || user_id as id, (event_id + 1000000000) // {PART_SPAN} as part,
+    """select 's' || user_id as id, 0::bigint as part,
           string_agg(event_type || ' ' || event_id, chr(10) || '--' || chr(10) order by event_id) as body
         from events group by all""",
 )
@@ -312,8 +315,8 @@ def jn5(spark, sf):
     _, items = _story_rows(spark, sf)
     total = table(spark, sf, "events").count()
     base = _segments(spark, sf)
-    known, missing = SY.story_append(base, items, total)
-    hits = known.where("seq >= 1000000000").select(F.lit(True).alias("found"))
+    known, missing = SY.story_append(base, items, total, run=1)
+    hits = known.where("run = 1").select(F.lit(True).alias("found"))
     return hits.unionByName(missing.select(F.lit(False).alias("found"))).groupBy("found").agg(
         F.count("*").alias("appends")
     )

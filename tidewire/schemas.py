@@ -12,6 +12,6 @@ CAPTION_WORD = "struct<text:string,start:double,end:double>"
 SEEN = "kind string, value string"
 
 # One row per segment of a story.
-STORY_SEGMENT = "id string, seq long, title string, text string"
+STORY_SEGMENT = "id string, run long, seq long, title string, text string"
 
 MESSAGE_ENVELOPE = "topic string, partition int, offset bigint, key string, value string"
