@@ -58,8 +58,10 @@ def test_stamp_order(spark):
 
 
 def test_feed_dates(spark):
-    values = ["Mon, 02 Jan 2006 15:04:05 GMT", "2 Jan 2006 15:04:05 +0200", "Mon, 02 Jan 2006 15:04 EST", "soon", None]
-    want = [datetime(2006, 1, 2, 15, 4, 5), datetime(2006, 1, 2, 13, 4, 5), datetime(2006, 1, 2, 20, 4), None, None]
+    values = ["Mon, 02 Jan 2006 15:04:05 GMT", "2 Jan 2006 15:04:05 +0200", "Mon, 02 Jan 2006 15:04 EST", "soon", None,
+              "02 Jan 06 15:04 GMT", "2006-01-02 15:04:05", "2006-01-02", "Monday, 02-Jan-06 15:04:05 GMT"]
+    want = [datetime(2006, 1, 2, 15, 4, 5), datetime(2006, 1, 2, 13, 4, 5), datetime(2006, 1, 2, 20, 4), None, None,
+            datetime(2006, 1, 2, 15, 4), datetime(2006, 1, 2, 15, 4, 5), datetime(2006, 1, 2), datetime(2006, 1, 2, 15, 4, 5)]
     assert run(spark, values, T.parse_feed_date) == want
 
 
@@ -73,8 +75,10 @@ def test_clip_times(spark):
 
 def test_titles_of_pages(spark):
     pages = ["<title>a &amp;lt; b</title>", "<TITLE lang=x>\n two\nlines </TITLE>", "<title></title><title>2</title>",
-             "<p>none</p>", "<title>&#8364;&#x41;&#xD800;&nbsp;</title>"]
-    assert run(spark, pages, H.html_title) == ["a &lt; b", "two\nlines", "2", None, "€A�"]
+             "<p>none</p>", "<title>&#8364;&#x41;&#xD800;&nbsp;</title>", "<!-- <title>old</title> --><title>new</title>",
+             "<script>'<title>no</title>'</script><title>yes", "<title>caf&eacute; &amp;eacute; &nosuch; &#x10FFFF;</title>"]
+    want = ["a &lt; b", "two\nlines", "2", None, "€A�", "new", "yes", "café &eacute; &nosuch; \U0010ffff"]
+    assert run(spark, pages, H.html_title) == want
 
 
 def test_main_text(spark):

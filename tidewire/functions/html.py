@@ -13,12 +13,15 @@ output-equal to any readability library.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import first_nonempty, nonempty, trim_space
 
-# Element names and entities.
+# Element names, and the entities that the SQL of the queries decodes.
 DROPPED_ELEMENTS = (
     "script", "style", "noscript", "template", "iframe", "svg",
     "nav", "header", "footer", "aside", "form",
@@ -42,7 +45,12 @@ ENTITIES = (
     ("&middot;", "·"),
     ("&euro;", "€"),
 )
-TITLE_TAG = r"(?is)<title(?:\s[^>]*)?>(.*?)</title"
+# A title ends with its tag or, unclosed, with the page.
+TITLE_TAG = r"(?is)<title(?:\s[^>]*)?>(.*?)(?:</title|\z)"
+# What a title can't stand in.
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+SCRIPTS = ("script", "style", "noscript", "template")
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 IMG_TAG = r"(?i)<img\b[^>]*>"
 
 
@@ -53,33 +61,44 @@ def _code_point(digits: Column, base: int) -> Column:
     return F.when(broken, F.lit("\ufffd")).otherwise(F.decode(F.unhex(point), "UTF-32"))
 
 
+def _named() -> Column:
+    """All named references that HTML knows, as a map."""
+    return F.from_json(
+        F.lit(json.dumps({f"&{name}": char for name, char in html5.items() if name.endswith(";")})), "map<string,string>"
+    )
+
+
 def decode_entities(c: Column) -> Column:
-    """Numeric references, then the common names, ``&amp;`` last."""
-    out = F.when(
-        F.contains(c, F.lit("&#")),
-        F.aggregate(
-            F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,5});"), F.lit(0))),
-            c,
-            lambda acc, ref: F.replace(
-                acc,
-                ref,
-                F.when(
-                    F.lower(F.substring(ref, 3, 1)) == "x",
-                    _code_point(F.regexp_extract(ref, "([0-9a-fA-F]+);", 1), 16),
-                ).otherwise(_code_point(F.regexp_extract(ref, "([0-9]+);", 1), 10)),
-            ),
-        ),
-    ).otherwise(c)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """Every character reference decoded once; unknown names stay."""
+
+    def char(ref: Column) -> Column:
+        number = F.substring(ref, 2, 1) == "#"
+        hexed = F.lower(F.substring(ref, 3, 1)) == "x"
+        return (
+            F.when(number & hexed, _code_point(F.regexp_extract(ref, "([0-9a-fA-F]+);", 1), 16))
+            .when(number, _code_point(F.regexp_extract(ref, "([0-9]+);", 1), 10))
+            .otherwise(F.coalesce(F.try_element_at(_named(), ref), ref))
+        )
+
+    found = F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), char)
+    between = F.split(c, REFERENCE, -1)
+    joined = F.array_join(
+        F.zip_with(between, found, lambda b, r: F.concat(b, F.coalesce(r, F.lit("")))), ""
+    )
+    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 
 def html_title(html: Column) -> Column:
-    """First non-empty ``<title>`` in document order, decoded and trimmed; else NULL."""
-    first = nonempty(F.regexp_extract(html, TITLE_TAG, 1))
+    """First non-empty ``<title>`` in document order, decoded and trimmed; else NULL.
+
+    Comments and scripts hold no title.
+    """
+    out = F.regexp_replace(html, COMMENT, "")
+    for name in SCRIPTS:
+        out = F.regexp_replace(out, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}>", "")
+    first = nonempty(F.regexp_extract(out, TITLE_TAG, 1))
     later = F.get(
-        F.filter(F.regexp_extract_all(html, F.lit(TITLE_TAG), F.lit(1)), lambda t: t != ""), F.lit(0)
+        F.filter(F.regexp_extract_all(out, F.lit(TITLE_TAG), F.lit(1)), lambda t: t != ""), F.lit(0)
     )
     return trim_space(decode_entities(F.coalesce(first, later)))
 

@@ -16,6 +16,17 @@ FEED_DATE_FORMATS = (
     "d MMM yyyy HH:mm:ss z",
     "d MMM yyyy HH:mm Z",
     "d MMM yyyy HH:mm z",
+    "d MMM yy HH:mm:ss Z",
+    "d MMM yy HH:mm:ss z",
+    "d MMM yy HH:mm Z",
+    "d MMM yy HH:mm z",
+    "d-MMM-yy HH:mm:ss z",
+    "d MMM yyyy HH:mm:ss",
+    "d MMM yyyy",
+    "yyyy-MM-dd HH:mm:ss Z",
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd",
 )
 
 
@@ -32,7 +43,8 @@ def format_rfc3339(ts: Column) -> Column:
 
 
 def parse_feed_date(text: Column) -> Column:
-    """RFC 822 dates of RSS and RFC 3339 dates of Atom."""
+    """RFC 822 dates of RSS, with years of two or four digits, RFC 3339 dates of Atom, and dates
+    that feeds commonly have instead."""
     bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]+,\s*", "")
     tries = [F.try_to_timestamp(bare, F.lit(fmt)) for fmt in FEED_DATE_FORMATS]
     return F.coalesce(parse_rfc3339(F.trim(text)), *tries)

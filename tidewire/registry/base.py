@@ -38,8 +38,14 @@ def blank_every(c: Column, by: Column, n: int) -> Column:
     return F.when(by % n == 0, "").otherwise(c)
 
 
-# Page titles: the same decoding as the library, written as SQL.
-_TITLE = r"regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title', 1)"
+def _sql_title(expr: str) -> str:
+    """The first title outside comments and scripts, as SQL."""
+    clean = rf"regexp_replace({expr}, '(?s)<!--.*?(?:-->|\z)', '', 'g')"
+    for name in H.SCRIPTS:
+        clean = rf"regexp_replace({clean}, '(?is)<{name}(?:\s[^>]*)?>.*?</{name}>', '', 'g')"
+    return rf"regexp_extract({clean}, '(?is)<title(?:\s[^>]*)?>(.*?)(?:</title|\z)', 1)"
+
+
 
 
 def sql_decode(expr: str) -> str:
@@ -53,7 +59,7 @@ def sql_trim(expr: str) -> str:
     return rf"regexp_replace({expr}, '^[\s\x85\pZ]+|[\s\x85\pZ]+\z', '', 'g')"
 
 
-SQL_TITLE = sql_trim(sql_decode(_TITLE))
+SQL_TITLE = sql_trim(sql_decode(_sql_title("html")))
 SQL_URL_KEY = r"regexp_replace(url, '[?#].*$', '')"
 
 

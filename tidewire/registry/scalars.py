@@ -307,9 +307,27 @@ def top3(spark, sf):
 # -- pages and publishing ---------------------------------------------------
 
 
-@register("PRJ14_html_title", f"select page_id, {SQL_TITLE} as title from pages")
+# Titles that are none; beside them the query has unclosed ones, and references to decode.
+_TITLE_TRAPS = ("<!-- <title>old</title> -->", "<script>var t = '<title>no</title>'</script>")
+
+
+@register(
+    "PRJ14_html_title",
+    f"""with traps as (
+          select page_id, case page_id % 4 when 0 then '{_TITLE_TRAPS[0]}' when 1 then '{_TITLE_TRAPS[1].replace("'", "''")}'
+                   else '' end
+                 || case when page_id % 5 = 0 then '<title>Caf&eacute; &#233; &#x1F600; &amp;lt; ' || page_id else html end as html
+          from pages)
+        select page_id, case when page_id % 5 = 0 then 'Café é 😀 &lt; ' || page_id else {SQL_TITLE} end as title from traps""",
+)
 def prj14(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.html_title(F.col("html")).alias("title"))
+    n = F.col("page_id")
+    before = F.when(n % 4 == 0, _TITLE_TRAPS[0]).when(n % 4 == 1, _TITLE_TRAPS[1]).otherwise("")
+    unclosed = F.concat(F.lit("<title>Caf&eacute; &#233; &#x1F600; &amp;lt; "), n.cast("string"))
+    traps = table(spark, sf, "pages").select(
+        "page_id", F.concat(before, F.when(n % 5 == 0, unclosed).otherwise(F.col("html"))).alias("html")
+    )
+    return traps.select("page_id", H.html_title(F.col("html")).alias("title"))
 
 
 _SQL_TEN = """

@@ -31,8 +31,16 @@ _ENTRY = (
     "content string, author array<struct<name:string>>, category array<struct<_term:string>>, "
     "updated string, published string"
 )
+_JSON_ITEM = (
+    "struct<id:string,url:string,external_url:string,title:string,summary:string,content_html:string,"
+    "content_text:string,image:string,date_published:string,date_modified:string,tags:array<string>,"
+    "author:struct<name:string>,authors:array<struct<name:string>>>"
+)
+FEED_JSON = f"version string, title string, items array<{_JSON_ITEM}>"
+# A feed element at the root, whatever stands in it.
+ATOM_ROOT = r"(?is)^[\s\x{FEFF}]*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!doctype[^>]*>\s*)*<(?:\w+:)?feed[\s/>]"
 FEED_XML = (
-    f"channel struct<title:string, item array<struct<{_ITEM}>>>, "
+    f"channel struct<title:string, item array<struct<{_ITEM}>>>, item array<struct<{_ITEM}>>, "
     f"entry array<struct<{_ENTRY}>>, _corrupt_record string"
 )
 
@@ -110,19 +118,46 @@ def _atom_entry(e: Column) -> Column:
     )
 
 
+def _json_item(i: Column) -> Column:
+    return F.struct(
+        F.trim(i["title"]).alias("title"),
+        F.trim(F.coalesce(i["url"], i["external_url"])).alias("link"),
+        F.trim(i["id"]).alias("guid"),
+        i["summary"].alias("description"),
+        F.coalesce(i["content_html"], i["content_text"]).alias("content"),
+        F.coalesce(i["author"]["name"], F.get(i["authors"], F.lit(0))["name"]).alias("author"),
+        i["tags"].alias("categories"),
+        i["date_published"].alias("published"),
+        i["date_modified"].alias("updated"),
+        i["image"].alias("image"),
+    )
+
+
 def parse_feeds(documents: DataFrame) -> DataFrame:
-    """``feed, items, error``: a document that is no feed is one error row."""
-    parsed = documents.select("feed", F.from_xml("xml", FEED_XML, {"attributePrefix": "_"}).alias("x"))
-    is_rss = F.col("x.channel").isNotNull()
-    is_atom = F.col("x.entry").isNotNull()
+    """``feed, items, error``: a document that is no feed is one error row.
+
+    RSS 2.0 with its items in the channel, RSS 1.0 with them beside it, Atom and JSON feeds.
+    """
+    is_json = F.ltrim("xml").startswith("{")
+    parsed = documents.select(
+        "feed",
+        F.from_xml(F.when(~is_json, F.col("xml")), FEED_XML, {"attributePrefix": "_"}).alias("x"),
+        F.from_json(F.when(is_json, F.col("xml")), FEED_JSON).alias("j"),
+        F.col("xml").rlike(ATOM_ROOT).alias("atom_root"),
+    )
+    is_rss = F.col("x.channel").isNotNull() | F.col("x.item").isNotNull()
+    is_atom = F.col("x.entry").isNotNull() | F.col("atom_root")
+    is_good_json = F.coalesce(F.col("j.version").contains("jsonfeed.org"), F.lit(False)) & F.col("j.items").isNotNull()
     none = F.filter(F.transform(F.array(F.lit(None)), lambda _: _atom_entry_null()), lambda _: F.lit(False))
     return parsed.select(
         "feed",
-        F.when(is_rss, F.coalesce(F.transform("x.channel.item", _rss_item), none))
-        .when(is_atom, F.transform("x.entry", _atom_entry))
+        F.when(is_good_json, F.transform("j.items", _json_item))
+        .when(is_rss, F.coalesce(F.transform(F.coalesce("x.channel.item", "x.item"), _rss_item), none))
+        .when(is_atom, F.coalesce(F.transform("x.entry", _atom_entry), none))
         .alias("items"),
         F.when(
-            F.col("x._corrupt_record").isNotNull() | ~(is_rss | is_atom), "failed to parse feed"
+            F.col("x._corrupt_record").isNotNull() | ~F.coalesce(is_good_json | is_rss | is_atom, F.lit(False)),
+            "failed to parse feed",
         ).alias("error"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import html as H
@@ -23,6 +23,23 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def one_per_url(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The page of each wanted URL: that of the smallest ``page_id``, or the smallest text without
+    ids.  Pages nobody asks for and those without a URL aren't read further."""
+    asked = wanted.select("url").where("url <> ''").distinct()
+    found = pages.join(asked, "url", "left_semi")
+    if "page_id" not in pages.columns:
+        return found.groupBy("url").agg(F.min("html").alias("html"))
+    firsts = found.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return found.join(firsts, ["url", "page_id"], "left_semi").dropDuplicates(["url"])
+
+
+def _join_key(rows: DataFrame, url: str) -> Column:
+    """The URL; rows without one get a key of their own each, so that they don't meet in one task."""
+    own = F.concat(F.lit("\x00"), F.xxhash64(*rows.columns).cast("string"))
+    return F.when(F.coalesce(F.col(url), F.lit("")) == "", own).otherwise(F.col(url))
+
+
 def page_titles(pages: DataFrame) -> DataFrame:
     return pages.select("url", H.html_title(F.col("html")).alias("page_title"))
 
@@ -30,10 +47,11 @@ def page_titles(pages: DataFrame) -> DataFrame:
 def page_extract(articles: DataFrame, pages: DataFrame) -> DataFrame:
     """Fill articles from their pages; a row that cannot be filled says why.
 
-    ``pages`` has one row per ``url``.
+    Of several pages of one URL one is taken.
     """
     found = (
-        extract_pages(pages)
+        extract_pages(one_per_url(pages, articles))
+        .withColumnRenamed("url", "_url")
         .withColumnRenamed("excerpt", "_excerpt")
         .withColumn("_found", F.lit(True))
     )
@@ -49,12 +67,13 @@ def page_extract(articles: DataFrame, pages: DataFrame) -> DataFrame:
         "author": F.when(ok, X.enrich_fill(F.col("author"), F.col("byline"))).otherwise(F.col("author")),
         "extraction_error": error,
     }
-    return articles.join(found, "url", "left").select(
+    return articles.join(found, _join_key(articles, "url") == F.col("_url"), "left").select(
         *[filled.get(c, F.col(c)).alias(c) for c in articles.columns]
     )
 
 
 def page_lookup(rows: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
     """Left join of ``page_title`` on ``url``."""
-    titles = page_titles(pages).withColumnRenamed("url", url)
-    return rows.join(titles, url, "left")
+    wanted = rows.select(F.col(url).alias("url"))
+    titles = page_titles(one_per_url(pages, wanted)).withColumnRenamed("url", "_url")
+    return rows.join(titles, _join_key(rows, url) == F.col("_url"), "left").drop("_url")

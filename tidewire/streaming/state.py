@@ -5,8 +5,10 @@ remembered.  A row in ``commits``, written last, makes the batch visible.  A
 batch reads the commits before its own number, so running it again, after a
 failure or from a checkpoint, reads the same past and replaces its own files.
 
-Rows out of date are left unread rather than rewritten; ``compact`` folds the
-partitions into one.
+``fold`` writes what is still in date as a snapshot, ``reset`` an empty one.  Snapshots
+are numbered apart from batches and say after which batch they stand: later batches
+start from the latest one, a batch that is run again from the one it had before it.
+The term model is written by the first batch that fits one and read by all later ones.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions.vectors import VECTOR_TYPE
+from tidewire.functions.vectors import VECTOR_TYPE, TermModel
+from tidewire.operators.embedders import TermEmbedder
 from tidewire.plans.dedup import Outcome, process
 from tidewire.plans.state import State, stamped, store_schema
 from tidewire.schemas import SEEN
@@ -25,6 +29,11 @@ from tidewire.session import cut
 
 TOUCH = "id string, at timestamp"
 COMMIT = "store_from long, seen_from long, last_add_at timestamp"
+FOLD = "upto long, last_add_at timestamp"
+# A stream folds its state after so many batches.
+FOLD_EVERY = 100
+# Later than any batch.
+END = 1 << 62
 
 
 @dataclass
@@ -55,6 +64,9 @@ class StateFolder:
             "touches": TOUCH,
             "seen": SEEN,
             "commits": COMMIT,
+            "snap_store": store_schema(self.vector_type),
+            "snap_seen": SEEN,
+            "folds": FOLD,
         }
 
     def _read(self, name: str) -> DataFrame:
@@ -77,33 +89,65 @@ class StateFolder:
         r = rows[0]
         return Commit(r["v"], r["store_from"], r["seen_from"], r["last_add_at"])
 
+    def last_fold(self, before: int) -> tuple[int, int, datetime | None]:
+        """Number of the latest snapshot that batch ``before`` may read, the batch that it
+        follows, and its time of the last addition; -1 without one."""
+        rows = (
+            self._read("folds")
+            .where((F.col("upto") < before) & (F.col("v") >= 0))
+            .orderBy(F.desc("upto"), F.desc("v"))
+            .limit(1)
+            .collect()
+        )
+        return (rows[0]["v"], rows[0]["upto"], rows[0]["last_add_at"]) if rows else (-1, -1, None)
+
     def load(self, before: int) -> tuple[State, Commit | None]:
-        """State as of the last commit below ``before``."""
+        """State as of the last commit below ``before``: a snapshot and the batches after it."""
+        snap, upto, folded_at = self.last_fold(before)
         last = self.last_commit(before)
-        if last is None:
+        if last is None or (last.v <= upto and snap < 0):
             return State.empty(self.spark, self.vector_type), None
+        later = last.v > upto
         # A batch that died before its commit left files but no commit row.
-        done = self._read("commits").where(F.col("v") <= last.v).select("v")
+        done = self._read("commits").where(F.col("v").between(upto + 1, last.v)).select("v")
 
         def since(name: str, first: int) -> DataFrame:
-            rows = self._read(name).where(F.col("v").between(first, last.v))
-            return rows.join(done, "v", "left_semi")
+            rows = self._read(name).where(F.col("v").between(max(first, upto + 1), last.v))
+            return rows.join(done, "v", "left_semi").drop("v")
+
+        def with_base(name: str, table: str, first: int) -> DataFrame:
+            rows = since(table, first)
+            if snap < 0 or (later and first > upto):
+                return rows
+            return self._read(name).where(F.col("v") == snap).drop("v").unionByName(rows)
 
-        adds = since("adds", last.store_from)
+        adds = with_base("snap_store", "adds", last.store_from)
         touches = (
             since("touches", last.store_from)
             .groupBy("id")
             .agg(F.max("at").alias("_at"))
         )
-        later = F.col("_at") > F.col("last_update")
-        store = adds.drop("v").join(touches, "id", "left")
-        store = store.select(
-            *[c for c in adds.columns if c not in ("v", "metadata", "last_update")],
-            F.when(later, stamped(F.col("metadata"), F.col("_at"))).otherwise(F.col("metadata")).alias("metadata"),
+        newer = F.col("_at") > F.col("last_update")
+        store = adds.join(touches, "id", "left").select(
+            *[c for c in adds.columns if c not in ("metadata", "last_update")],
+            F.when(newer, stamped(F.col("metadata"), F.col("_at"))).otherwise(F.col("metadata")).alias("metadata"),
             F.greatest("last_update", "_at").alias("last_update"),
         )
-        seen = since("seen", last.seen_from).select("kind", "value")
-        return State(store, seen.distinct(), last.last_add_at), last
+        seen = with_base("snap_seen", "seen", last.seen_from).select("kind", "value")
+        return State(store, seen.distinct(), last.last_add_at if later else folded_at), last
+
+    def model(self) -> TermModel | None:
+        """The term model of this state, if a batch has written one."""
+        try:
+            found = TermModel.load(self.spark, f"{self.root}/model")
+            return None if found.table.isEmpty() else found
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    def keep_model(self, model: TermModel) -> None:
+        model.table.write.mode("ignore").parquet(f"{self.root}/model")
 
     def commit(self, v: int, store_from: int, seen_from: int, last_add_at: datetime | None) -> None:
         row = self.spark.createDataFrame(
@@ -124,19 +168,29 @@ class StateFolder:
             v, last.store_from, v if expired else last.seen_from, outcome.state.last_add_at
         )
 
-    def compact(self, v: int, now: datetime) -> None:
-        """Fold everything before ``v`` into one partition of rows still in date."""
-        state, last = self.load(v)
-        if last is None:
-            return
-        self._write(state.fresh_store(now), "adds", v)
-        self._write(state.seen_at(now), "seen", v)
-        self._write(self.spark.createDataFrame([], TOUCH), "touches", v)
-        self.commit(v, v, v, last.last_add_at)
-
-    def reset(self, v: int) -> None:
-        """Forget everything: later batches read from ``v`` on."""
-        self.commit(v, v, v, None)
+    def _fold(self, state: State | None, upto: int, last_add_at: datetime | None, now: datetime | None) -> None:
+        number = (self._read("folds").agg(F.max("v")).first()[0] or 0) + 1
+        if state is None:
+            state = State.empty(self.spark, self.vector_type)
+            store, seen = state.store, state.seen
+        else:
+            store, seen = state.fresh_store(now), state.seen_at(now)
+        self._write(store, "snap_store", number)
+        self._write(seen, "snap_seen", number)
+        row = self.spark.createDataFrame([(upto, last_add_at)], FOLD)
+        self._write(row.coalesce(1), "folds", number)
+
+    def fold(self, now: datetime) -> None:
+        """Write what is still in date as the snapshot after the last committed batch."""
+        state, last = self.load(END)
+        if last is not None:
+            self._fold(state, last.v, state.last_add_at, now)
+
+    def reset(self) -> None:
+        """Forget everything: batches after the last committed one start from nothing."""
+        last = self.last_commit(END)
+        if last is not None:
+            self._fold(None, last.v, None, None)
 
 
 def run_batch(
@@ -154,7 +208,12 @@ def run_batch(
     ``reset`` is a full run: it starts from nothing.  Without it the run refreshes.
     """
     state, last = (State.empty(folder.spark, folder.vector_type), None) if reset else folder.load(v)
+    fits = isinstance(embedder, TermEmbedder)
+    if fits and embedder.model is None:
+        embedder.model = folder.model()
     outcome = process(articles, state, now, embedder, **options)
+    if fits:
+        folder.keep_model(embedder.model)
     outcome.results.write.mode("overwrite").parquet(f"{results_path}/v={v}")
     folder.advance(v, last, state, outcome, now)
     return outcome
@@ -169,12 +228,15 @@ def dedup_stream(
     clock,
     order_by: list[str],
     every: str | None = None,
+    fold_every: int = FOLD_EVERY,
     **options,
 ):
     """Start the dedup stream.  ``every`` such as '5 minutes' keeps it running on that
     interval; without it the stream takes what has landed and stops.
 
     ``clock(batch_id)`` gives the batch its ``now``; ``order_by`` its processing order.
+    The state is folded after every ``fold_every`` batches, so that a batch reads one
+    snapshot and few partitions however long the stream has run.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         ordered = cut(
@@ -182,6 +244,8 @@ def dedup_stream(
         )
         if not ordered.isEmpty():
             run_batch(folder, ordered, batch_id, clock(batch_id), embedder, results_path, **options)
+            if (batch_id + 1) % fold_every == 0:
+                folder.fold(clock(batch_id))
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
