@@ -17,9 +17,9 @@ from tidewire.session import cut
 # Collections of so many minhashes each; every pair of collections is one table.
 COLLECTIONS, PER_COLLECTION = 8, 3
 HASHES = COLLECTIONS * PER_COLLECTION
-PAIRS = [(i, j) for i in range(COLLECTIONS) for j in range(i)]
-# Members of a crowded key that are compared in one task.
-BLOCK = 512
+# Members of a crowded key that are compared in one task, and shingles that are looked at at once.
+BLOCK = 256
+COLUMNS = 8192
 # Words whose hash a worker keeps; when there are more, it starts anew.
 CACHE = 1_000_000
 
@@ -73,11 +73,9 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return least
 
 
-def table_keys(least: np.ndarray) -> np.ndarray:
-    """One key per pair of collections, out of the collections' own keys."""
-    own = mix((least.reshape(COLLECTIONS, PER_COLLECTION) * _ODD[:PER_COLLECTION]).sum(axis=1, dtype=_U))
-    i, j = np.array(PAIRS).T
-    return mix(own[i] * _ODD[3] + own[j] * _ODD[4] + np.arange(len(PAIRS), dtype=_U))
+def collection_keys(least: np.ndarray) -> np.ndarray:
+    """One key for each collection, out of its minhashes."""
+    return mix((least.reshape(COLLECTIONS, PER_COLLECTION) * _ODD[:PER_COLLECTION]).sum(axis=1, dtype=_U))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -90,32 +88,24 @@ def _parts(batch: pa.RecordBatch, size: int = 1000) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n, cls, keys, sig): set size, set digest, table keys, minhashes."""
+    """(doc_id, text) to (doc_id, n, cls, halves): set size, set digest, the collections' keys."""
     words = WordHash()
     for whole in batches:
         for batch in _parts(whole):
-            n, cls, keys, sig = [], [], [], []
+            n, cls, halves = [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py(), words)
                 n.append(len(s))
-                if len(s):
-                    least = minhashes(s)
-                    cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    keys.append(_signed(table_keys(least)))
-                    sig.append((least >> _U(32)).astype("<u4").tobytes())
-                else:
-                    cls.append(None)
-                    keys.append(None)
-                    sig.append(None)
+                cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                halves.append(_signed(collection_keys(minhashes(s))) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(n, pa.int64()),
                     pa.array(cls, pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64())),
-                    pa.array(sig, pa.binary()),
+                    pa.array(halves, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "cls", "keys", "sig"],
+                names=["doc_id", "n", "cls", "halves"],
             )
 
 
@@ -129,10 +119,12 @@ def full_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def confirmed(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets share ``percent`` of their union or more."""
-    first = links.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = first.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    one = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+    other = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    x, y = F.length("sa"), F.length("sb")
+    both = pairs.join(one, "a").join(other, "b").where(100 * F.least(x, y) >= percent * F.greatest(x, y))
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +140,47 @@ def confirmed(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of some sets share, as a matrix."""
+    shingle = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    number, counts = np.unique(shingle, return_inverse=True, return_counts=True)[1:]
+    of_several = counts[number] > 1
+    shingle, owner = np.unique(number[of_several], return_inverse=True)[1], owner[of_several]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(shingle.max()) + 1 if len(shingle) else 0, COLUMNS):
+        here = (shingle >= at) & (shingle < at + COLUMNS)
+        holds = np.zeros((len(sets), COLUMNS), np.float32)
+        holds[owner[here], shingle[here] - at] = 1
+        out += holds @ holds.T
+    return out.astype(np.int64)
+
+
+def joined(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links in one crowd, or between two blocks of one: (a, b), b the smallest id that a reaches
+    in this group.  Every pair of different components is held against each other on full sets; no
+    pair leaves the task."""
+    rows = rows.sort_values("cid")
+    cid, comp, part = (rows[c].to_numpy() for c in ("cid", "component", "part"))
+    sets = [np.frombuffer(s, "<u8") for s in rows["s"]]
+    size = np.array([len(s) for s in sets])
+    common = overlaps(sets)
+    near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    near &= comp[:, None] != comp[None, :]
+    if rows["i"].iloc[0] != rows["j"].iloc[0]:
+        near &= part[:, None] != part[None, :]
+    a, b = np.nonzero(np.triu(near, 1))
+    label = cid.copy()
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, before[b])
+        np.minimum.at(label, b, label[a])
+        if (label == before).all():
+            break
+    moved = label < cid
+    return pd.DataFrame({"a": cid[moved], "b": label[moved]})
+
+
 def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """One row per row of ``df``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -155,61 +188,53 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     what links reach, and its smallest doc_id is kept.  Equal sets are one class and meet once.
     Classes that share a table key are candidates: 28 keys are formed from the pairs of 8
     collections of 3 minhashes, so 24 minhashes do the work of 168.  At 0.85 a pair shares a key
-    with probability 0.993, at 0.9 with 0.9995.
+    with probability 0.993, at 0.9 with 0.9995.  Only collections whose key another class has too
+    are paired, so texts like no other take no part in the tables.
 
-    First every class is held against the smallest and the largest of each key, then, in the keys
-    whose members are not yet one component, members of different components against each other,
-    in blocks if the key is crowded.  Every link is confirmed on the full sets.
+    First every class is held against the smallest of each of its keys.  Then, in the keys whose
+    members are not one component by that, members of different components are held against each
+    other, in blocks if the key is crowded.  Every link is confirmed on the full sets.
 
     Null and empty texts have no shingles and are linked with nothing.  Rows without a doc_id take
     no part: their component is null and they are kept.  Rows that share a doc_id are one document.
     """
     rows = cut(
         df.select(C.col(doc_id).cast("long").alias("doc_id"), C.col(text).alias("text")).mapInArrow(
-            signatures, "doc_id long, n long, cls binary, keys array<long>, sig binary"
+            signatures, "doc_id long, n long, cls binary, halves array<long>"
         ),
         "neardup-rows",
     )
+    known = rows.where("doc_id is not null and n > 0")
+    firsts = known.groupBy("cls").agg(F.min("doc_id").alias("cid"))
     classes = cut(
-        rows.where("doc_id is not null and n > 0")
-        .groupBy("cls")
-        .agg(F.min(F.struct("doc_id", "n", "keys", "sig")).alias("x"))
-        .select("cls", F.col("x.doc_id").alias("cid"), "x.n", "x.keys", "x.sig"),
+        known.join(firsts, "cls").where("doc_id = cid").dropDuplicates(["cls"]).select("cls", "cid", "halves"),
         "neardup-classes",
     )
     # Rows that share a doc_id may be of several classes; these are one document.
-    same = (
-        rows.where("doc_id is not null and n > 0")
-        .join(classes.select("cls", "cid"), "cls")
-        .where("doc_id <> cid")
-        .join(classes.select(F.col("cid").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
-        .distinct()
-    )
-    members = classes.select("cid", "n", F.explode("keys").alias("key"))
-    heads = (
-        members.groupBy("key")
-        .agg(F.min(F.struct("cid", "n")).alias("first"), F.max(F.struct("cid", "n")).alias("last"))
-        .where("first.cid < last.cid")
-    )
-    near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    of = known.join(firsts, "cls").select("doc_id", "cid").where("doc_id <> cid").distinct()
+    least = known.join(firsts, "cls").groupBy("doc_id").agg(F.min("cid").alias("b"))
+    same = of.join(least, "doc_id").select(F.col("cid").alias("a"), "b").where("a <> b")
+    # A class of its own doc_id is tied to the others of that doc_id as well.
+    own = firsts.join(least, firsts["cid"] == least["doc_id"]).select(F.col("cid").alias("a"), "b").where("a <> b")
+    same = same.unionByName(own).distinct()
+    members = cut(_members(classes), "neardup-members")
+    heads = members.groupBy("key").agg(F.min("cid").alias("b"))
     stars = (
-        members.join(heads, "key")
-        .select("cid", "n", F.explode(F.array("first", "last")).alias("head"))
-        .select(F.col("cid").alias("a"), F.col("head.cid").alias("b"), "n", F.col("head.n").alias("m"))
-        .where("a <> b")
-        .where(near)
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
+        members.join(heads, "key").select(F.col("cid").alias("a"), "b").where("a <> b").distinct()
+    )
+    wanted = members.select(F.col("cid").alias("id")).distinct()
+    texts = df.select(C.col(doc_id).cast("long").alias("id"), C.col(text).alias("text"))
+    sets = cut(
+        texts.join(wanted, "id", "left_semi")
+        .mapInArrow(full_sets, "id long, s binary")
+        .where("length(s) > 0")
+        .dropDuplicates(["id"]),
+        "neardup-sets",
     )
-    stars = cut(stars, "neardup-stars")
-    sets = _sets(df, doc_id, text, stars)
     links = cut(confirmed(stars, sets, percent).unionByName(same), "neardup-links")
-    so_far = cut(components(links), "neardup-so-far")
-    rest = _unsettled(classes, so_far, stars, percent)
-    rest = cut(rest, "neardup-rest")
-    more = cut(confirmed(rest, _sets(df, doc_id, text, rest), percent), "neardup-more")
-    final = components(links.unionByName(more))
+    so_far = cut(C.components(links, "neardup-components"), "neardup-so-far")
+    more = cut(_unsettled(members, so_far, sets, percent), "neardup-more")
+    final = C.components(links.unionByName(more), "neardup-components")
     by_class = (
         classes.select("cls", "cid")
         .join(final.select(F.col("id").alias("cid"), "component"), "cid", "left")
@@ -227,64 +252,43 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     )
 
 
-def components(links: DataFrame) -> DataFrame:
-    return C.components(links, "neardup-components")
-
-
-def _sets(df: DataFrame, doc_id: str, text: str, pairs: DataFrame) -> DataFrame:
-    """The full set of every class in ``pairs``, made again from the text of its document."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.select(C.col(doc_id).cast("long").alias("id"), C.col(text).alias("text"))
-    found = texts.join(wanted, "id", "left_semi").mapInArrow(full_sets, "id long, s binary")
-    return cut(found.where("length(s) > 0").dropDuplicates(["id"]), "neardup-sets")
+def _members(classes: DataFrame) -> DataFrame:
+    """(key, cid): the classes of every table key that two classes or more have."""
+    halves = classes.select("cid", F.posexplode("halves").alias("k", "half"))
+    shared = halves.groupBy("k", "half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    held = (
+        halves.join(shared, ["k", "half"])
+        .groupBy("cid")
+        .agg(F.array_sort(F.collect_list(F.struct("k", "half"))).alias("h"))
+        .where("size(h) > 1")
+    )
+    pairs = """flatten(transform(h, x -> transform(
+        filter(h, y -> y.k > x.k), y -> xxhash64(x.k, y.k, x.half, y.half))))"""
+    keyed = cut(held.select("cid", F.explode(F.expr(pairs)).alias("key")), "neardup-keyed")
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return keyed.join(met, "key")
 
 
-def _unsettled(classes: DataFrame, so_far: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) of different components that share a key and haven't met."""
-    member = (
-        classes.join(so_far.select(F.col("id").alias("cid"), "component"), "cid", "left")
-        .withColumn("component", F.coalesce("component", "cid"))
-        .select("cid", "n", "sig", "component", F.explode("keys").alias("key"))
+def _unsettled(members: DataFrame, so_far: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of classes that share a key and are of different components so far."""
+    placed = members.join(so_far.select(F.col("id").alias("cid"), "component"), "cid", "left").select(
+        "key", "cid", F.coalesce("component", "cid").alias("component")
     )
     mixed = (
-        member.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("x"), F.max("component").alias("y"))
-        .where("x < y and size > 2")
-        .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+        placed.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+        .where("x < y and n > 2")
+        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     )
-    mine = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     dealt = (
-        member.join(mixed, "key")
-        .withColumn("part", mine)
+        placed.join(mixed, "key")
+        .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("i", F.least("part", "other"))
-        .withColumn("j", F.greatest("part", "other"))
-        .select("key", "i", "j", "part", "cid", "n", "sig", "component")
+        .select("key", "cid", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        .join(sets.withColumnRenamed("id", "cid"), "cid")
     )
-
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cid")
-        n, cid, comp = (rows[c].to_numpy() for c in ("n", "cid", "component"))
-        part, i, j = rows["part"].to_numpy(), rows["i"].iloc[0], rows["j"].iloc[0]
-        sig = np.frombuffer(b"".join(rows["sig"]), "<u4").reshape(-1, HASHES)
-        a, b = [], []
-        for k in range(len(rows)):
-            to = slice(k + 1, None)
-            close = (comp[to] != comp[k]) & (100 * np.minimum(n[to], n[k]) >= percent * np.maximum(n[to], n[k]))
-            if i != j:
-                close &= part[to] != part[k]
-            hits = np.flatnonzero(close) + k + 1
-            hits = hits[(sig[hits] == sig[k]).sum(axis=1) >= LEAST_EQUAL]
-            a += cid[hits].tolist()
-            b += [int(cid[k])] * len(hits)
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    found = dealt.groupBy("key", "i", "j").applyInPandas(pairs, "a long, b long").distinct()
-    return found.join(seen, ["a", "b"], "left_anti")
-
-
-# Of 24 minhashes so many are equal at least; a pair at 0.85 has fewer with probability 1e-6.
-LEAST_EQUAL = 10
+    found = dealt.groupBy("key", "i", "j").applyInPandas(lambda rows: joined(rows, percent), "a long, b long")
+    return found.distinct()
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
