@@ -134,8 +134,27 @@ def test_stream_equals_batch(spark, tmp_path):
     out = str(tmp_path / "out")
     SM.message_stream(stream, SM.CREATION, out, str(tmp_path / "c")).awaitTermination()
     done, dead, _ = SM.route(rows, SM.CREATION)
-    assert sorted(r["uuid"] for r in spark.read.parquet(f"{out}/done").collect()) == sorted(r["uuid"] for r in done.collect())
-    assert spark.read.parquet(f"{out}/dead").count() == dead.count() == 1
+    assert sorted(r["uuid"] for r in SM.routed(spark, out, "done").collect()) == sorted(r["uuid"] for r in done.collect())
+    assert SM.routed(spark, out, "dead").count() == dead.count() == 1
+
+
+def test_retry_is_taken_up(spark, tmp_path):
+    """What fails in one batch is tried again with the next, and done once it succeeds."""
+    rows = envelope(spark, [f'{{"uuid":"u{i}","status":"success"}}' for i in range(6)])
+    for part in range(3):
+        rows.where(F.col("offset").between(part * 2, part * 2 + 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    tried = spark.sparkContext.accumulator(0)
+
+    def busy_at_first(good):
+        tried.add(1)
+        return good.withColumn("process_error", F.when(F.lit(tried.value == 1), "busy"))
+
+    handler = SM.MessageHandler(lambda _: F.lit(None).cast("string"), busy_at_first)
+    stream, out = MS.file_message_source(spark, str(tmp_path / "in"), 1), str(tmp_path / "out")
+    SM.message_stream(stream, handler, out, str(tmp_path / "c"), take_up=True).awaitTermination()
+    written = spark.read.parquet(out).groupBy("batch", "route").count().collect()
+    assert sorted(map(tuple, written)) == [(0, "retry", 2), (1, "done", 4), (2, "done", 2)]
+    assert SM.routed(spark, out, "done").count() == 6
 
 
 def test_stories(spark):

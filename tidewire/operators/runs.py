@@ -12,6 +12,9 @@ from tidewire.operators.ordered import PART_BYTES, ordered_parts
 LOG_KEPT = 50
 LOG_SHOWN = 10
 STATUSES = ("new", "duplicate", "failed", "error")
+# What a received payload does to its run.
+STATE_COMPLETE = "complete"
+PAYLOAD_LOGGED = "Webhook received from generation service!"
 
 
 def status_counts(results: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -77,13 +80,32 @@ def generation_requests(results: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def latest_payload(messages: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Last message wins, whatever its status or uuid."""
+def latest_payload(
+    messages: DataFrame, by: list[str], value: str = "value", match_uuid: str | None = None
+) -> DataFrame:
+    """Last message wins, whatever its status or uuid.
+
+    With ``match_uuid``, the column of the uuid that the run asked for, only messages
+    whose own ``uuid`` is that one count.
+    """
+    if match_uuid is not None:
+        messages = messages.where(F.col("uuid") == F.col(match_uuid))
     return messages.groupBy(*by).agg(
         F.max_by(value, "offset").alias("payload"), F.max("offset").alias("offset")
     )
 
 
+def completions(payloads: DataFrame, by: list[str]) -> DataFrame:
+    """The log rows by which a payload completes its run: ``by, seq, state, error, message``."""
+    return payloads.select(
+        *by,
+        F.col("offset").alias("seq"),
+        F.lit(STATE_COMPLETE).alias("state"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit(PAYLOAD_LOGGED).alias("message"),
+    )
+
+
 def run_status(results: DataFrame, logs: DataFrame, by: list[str]) -> DataFrame:
     """One row per run: last state and error of its log, and its result counts.
 

@@ -345,8 +345,8 @@ def _streamed(spark, sf, handler, split_by=None) -> str:
 def str2(spark, sf):
     """A stream of four files; good messages and dead letters read back together."""
     out = _streamed(spark, sf, SM.CREATION)
-    done = spark.read.parquet(f"{out}/done").select("offset", "topic", F.lit(None).cast("string").alias("reject_reason"))
-    dead = spark.read.parquet(f"{out}/dead").select("offset", "topic", "reject_reason")
+    done = SM.routed(spark, out, "done").select("offset", "topic", F.lit(None).cast("string").alias("reject_reason"))
+    dead = SM.routed(spark, out, "dead").select("offset", "topic", "reject_reason")
     return done.unionByName(dead)
 
 
@@ -367,8 +367,7 @@ _SQL_VOICE = """case when not ok then 'dead' when coalesce(uuid, '') = '' then '
 def _routes(spark, sf, always_mark: bool) -> DataFrame:
     out = _streamed(spark, sf, SM.MessageHandler(_needs_voice, _voice, always_mark))
     parts = [
-        spark.read.parquet(f"{out}/{name}").select("offset", F.lit(name).alias("route"))
-        for name in ("done", "dead", "retry")
+        SM.routed(spark, out, name).select("offset", F.lit(name).alias("route")) for name in SM.ROUTES
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -402,11 +401,11 @@ def str7(spark, sf):
 
 @register(
     "SNK8_topic_fan_out",
-    f"""with {SQL_MESSAGES} select topic, count(*) as messages from msg where {_SQL_REASON} is null group by topic""",
+    f"""with {SQL_MESSAGES} select "offset", topic, uuid from msg where {_SQL_REASON} is null""",
 )
 def snk8(spark, sf):
     out = _streamed(spark, sf, SM.CREATION, split_by="topic")
-    return spark.read.option("basePath", f"{out}/done").parquet(f"{out}/done").groupBy("topic").agg(F.count("*").alias("messages"))
+    return SM.routed(spark, out, "done").select("offset", "topic", "uuid")
 
 
 _DENSE_COLUMNS = (

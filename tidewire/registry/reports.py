@@ -13,6 +13,7 @@ from tidewire.registry.base import (
     SQL_MESSAGES, SQL_RESULTS, SQL_WORDS, caption_messages, message_values, register, run_results, table,
 )
 from tidewire.registry.scalars import _SQL_LIT, _sql_time
+from tidewire.sources.messages import decode
 
 # -- caption lines, events, files -------------------------------------------
 
@@ -165,6 +166,23 @@ def agg7(spark, sf):
     return R.latest_payload(message_values(spark, sf), ["key"])
 
 
+@register(
+    "AGG7_completed_runs",
+    f"""with {SQL_MESSAGES}, l as (
+          select key, '{R.STATE_COMPLETE}' as state, '{R.PAYLOAD_LOGGED}' as message, max("offset") as "offset"
+          from msg where ok and uuid = 'u' || "offset" group by key)
+        select m.key, coalesce(state, 'idle') as state, message, l."offset" from (select distinct key from msg) m left join l using (key)""",
+)
+def agg7_completed(spark, sf):
+    """Runs that a payload of their own uuid completes, and those that stay idle."""
+    asked = decode(message_values(spark, sf)).withColumn("asked", F.concat(F.lit("u"), F.col("offset").cast("string")))
+    payloads = R.latest_payload(asked, ["key"], match_uuid="asked")
+    logs = R.completions(payloads, ["key"])
+    shown = logs.select("key", "state", "message", F.col("seq").alias("offset"))
+    keys = asked.select("key").distinct()
+    return keys.join(shown, "key", "left").withColumn("state", F.coalesce("state", F.lit("idle")))
+
+
 @register(
     "AGG8_summary_folded",
     f"""with {SQL_RESULTS} select run_id, count(*) as total, count(*) filter (status = 'new') as new_count,

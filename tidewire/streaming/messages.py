@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import filters as FL
@@ -14,6 +15,7 @@ from tidewire.session import cut
 from tidewire.sources.messages import decode
 
 ENVELOPE = ("topic", "partition", "offset", "key", "value")
+ROUTES = ("done", "dead", "retry")
 
 
 @dataclass
@@ -75,28 +77,42 @@ def message_stream(
     checkpoint: str,
     every: str | None = None,
     split_by: str | None = None,
+    take_up: bool = False,
 ):
-    """Run ``handler`` over a stream into ``out/done``, ``out/dead`` and ``out/retry``.
+    """Run ``handler`` over a stream into ``out``: one table, split by ``batch`` and ``route``
+    (done, dead, retry), read back with ``routed``.
 
-    Each batch replaces its own folder, so a batch that runs twice is written
-    once.  ``split_by`` fans the output out by a column, such as the topic.
+    Each batch replaces its own folder, so a batch that runs twice is written once, and all its
+    routes in one write.  ``split_by`` fans the output out by a column, such as the topic.  With
+    ``take_up`` a batch begins with the messages that the one before it left for retry; those of
+    the last one wait for the next start.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        for name, rows in zip(("done", "dead", "retry"), route(batch, handler)):
-            writer = rows.write.mode("overwrite")
-            if split_by and name == "done":
-                writer = writer.partitionBy(split_by)
-            writer.parquet(f"{out}/{name}/batch={batch_id}")
+        rows = batch.select(*ENVELOPE)
+        if take_up and batch_id > 0:
+            last = routed(batch.sparkSession, out, "retry", f"batch = {batch_id - 1}")
+            if last is not None:
+                rows = last.select(*ENVELOPE).unionByName(rows)
+        named = [r.withColumn("route", F.lit(n)) for n, r in zip(ROUTES, route(rows, handler), strict=True)]
+        whole = named[0].unionByName(named[1], allowMissingColumns=True).unionByName(named[2], allowMissingColumns=True)
+        parts = ["route", *([split_by] if split_by else [])]
+        whole.write.mode("overwrite").partitionBy(*parts).parquet(f"{out}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
 
 
-def topic_fan_out(messages: DataFrame, path: str, by: str = "topic") -> None:
-    """One folder per category; each feeds its own consumer."""
-    messages.write.mode("overwrite").partitionBy(by).parquet(path)
+def routed(spark: SparkSession, out: str, name: str, where: str = "true") -> DataFrame | None:
+    """What ``message_stream`` has written on one route; None before its first batch."""
+    try:
+        rows = spark.read.option("mergeSchema", "true").parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return rows.where((F.col("route") == name) & F.expr(where)).drop("batch", "route")
 
 
 def latest_state_stream(stream: DataFrame, by: list[str], out: str, checkpoint: str, every: str | None = None):
