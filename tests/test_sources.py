@@ -43,7 +43,7 @@ def test_feeds(spark, tmp_path):
     assert two["url"] == "" and len(two["id"]) == 16 and none["id"] == ""
     assert (atom["url"], atom["author"], atom["categories"]) == ("http://b/1", "Bo", ["z"])
     assert atom["published_at"] == datetime(2006, 1, 2, 13, 4, 5)
-    assert FD.feed_articles(parsed, NOW, 1).count() == 2
+    assert FD.feed_scan(spark, str(tmp_path), NOW, 1).count() == 2
 
 
 RDF = """<rdf:RDF xmlns:rdf="r" xmlns="p" xmlns:dc="d"><channel><title>f</title></channel>

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import runs as R
 from tidewire.operators.stories import stories_after
-from tidewire.plans.dedup import Outcome, clear, process, with_articles
+from tidewire.plans.dedup import Outcome, clear, process
 from tidewire.plans.state import State
 from tidewire.session import cut
 from tidewire.sources.feeds import feed_articles, feed_errors, in_feed_order, parse_feeds
@@ -62,7 +62,3 @@ def ingest(
         segments,
         feed_errors(parsed),
     )
-
-
-def run_articles(run: Run, articles: DataFrame) -> DataFrame:
-    return with_articles(run.outcome.results, articles)

@@ -298,19 +298,17 @@ def ded3_vectors(spark, sf):
 @register(
     "DED5_process_all",
     f"""with recursive {_SQL_DENSE}, {sql_walk(PAIR_THRESHOLD)}
-        select count(*) filter (matching_id is null and seq % 10 <> 3) as new_count,
-               count(*) filter (matching_id is not null and seq % 10 <> 3) as duplicate_count,
-               count(*) filter (seq % 10 = 3) as failed_count, 0::bigint as error_count
-        from (select * from judged union all select vec_id, 'x', null, null from embeddings where vec_id % 10 = 3)"""
+        select id, case when matching_id is null then 'new' else 'duplicate' end as status from judged where seq % 10 <> 3
+        union all select 'v' || lpad(vec_id::varchar, 9, '0'), 'failed' from embeddings where vec_id % 10 = 3"""
     .replace("survivors as (select seq, id from v)", "survivors as (select seq, id from v where seq % 10 <> 3)")
     .replace("join v b on b.seq < a.seq)", "join v b on b.seq < a.seq where a.seq % 10 <> 3 and b.seq % 10 <> 3)"),
 )
 def ded5(spark, sf):
-    """All articles in one batch; every tenth failed extraction and stays in the counts."""
+    """All articles in one batch; every tenth failed extraction and is reported as such."""
     failed = F.when(F.col("seq") % 10 == 3, F.concat(F.lit("timeout "), "id"))
     articles = _vector_articles(spark, sf).withColumn("extraction_error", failed)
     out = D.process(articles, State.empty(spark, DenseEmbedder.vector_type), NOW, _dense())
-    return R.status_counts(out.results)
+    return out.results.select("id", "status")
 
 
 def _vector_store(spark, sf) -> State:

@@ -206,13 +206,13 @@ def src3(spark, sf):
 
 @register(
     "PRJ6_enrich_fill",
-    """select page_id, case when page_id % 2 = 0 then case when page_id % 5 = 0 then '' else 'by ' || page_id end
+    f"""select page_id, case when page_id % 2 = 0 then case when page_id % 5 = 0 then '' else coalesce({SQL_TITLE}, '') end
             else 'staff' end as author from pages""",
 )
 def prj6(spark, sf):
     n = F.col("page_id")
     old = F.when(n % 2 == 0, "").otherwise("staff")
-    found = F.when(n % 5 != 0, F.concat(F.lit("by "), n))
+    found = F.when(n % 5 != 0, H.html_title(F.col("html")))
     return table(spark, sf, "pages").select("page_id", X.enrich_fill(old, found).alias("author"))
 
 

@@ -591,14 +591,13 @@ def prj28(spark, sf):
     "PRJ29_payload_report",
     f"""with {SQL_MESSAGES}
         select "offset", uuid, status, '' as error,
-          case when len(voiceover) > 200 then voiceover[1:200] || '...' else voiceover end as voiceover_preview,
-          n_words::bigint as captions, 1::bigint as n_timings,
-          'step=' || format('{{:.2f}}', ("offset" % 100)::double) || 's' as timings
-        from msg where ok and uuid is not null""",
+          case when voiceover is null then '' when len(voiceover) > 200 then voiceover[1:200] || '...' else voiceover end as voiceover_preview,
+          n_words::bigint as captions, (ok and json_type(j) = 'OBJECT')::bigint as n_timings,
+          case when ok and json_type(j) = 'OBJECT' then 'step=' || format('{{:.2f}}', ("offset" % 100)::double) || 's' end as timings
+        from msg""",
 )
 def prj29(spark, sf):
-    good = decode(message_values(spark, sf)).where("decode_error is null and uuid is not null")
-    report = R.payload_report(good)
+    report = R.payload_report(decode(message_values(spark, sf)))
     return report.select(
         "offset",
         *[c for c in report.columns if c not in ("offset", "captions", "n_timings")],
@@ -617,12 +616,12 @@ def prj30(spark, sf):
 
 @register(
     "FLT1_extraction_ok",
-    """select page_id, case when page_id % 9 = 0 then 'failed' else 'taken' end as status,
-              case when page_id % 9 = 0 then 'timeout ' || page_id end as error from pages""",
+    """select page_id, case when length(html) < 3000 then 'failed' else 'taken' end as status,
+              case when length(html) < 3000 then 'too short: ' || length(html) end as error from pages""",
 )
 def flt1(spark, sf):
-    n = F.col("page_id")
-    error = F.when(n % 9 == 0, F.concat(F.lit("timeout "), n)).when(n % 2 == 0, "")
+    size = F.length("html")
+    error = F.when(size < 3000, F.concat(F.lit("too short: "), size)).when(F.col("page_id") % 2 == 0, "")
     ok = FL.extraction_ok(error)
     return table(spark, sf, "pages").select(
         "page_id",
@@ -647,19 +646,17 @@ def flt2(spark, sf):
 
 @register(
     "FLT3_request_valid",
-    f"""with {SQL_MESSAGES} select "offset", case
+    f"""with {SQL_MESSAGES} select "offset", case when not ok then 'cannot decode message'
           when coalesce(status, '') <> 'success' then 'Input status must be ''success'''
           when coalesce(uuid, '') = '' then 'UUID is required'
           when coalesce(voiceover, '') = '' then 'Voiceover URL is required'
           when n_words = 0 then 'Subtitle timestamps are required' end as reject_reason
-        from msg where ok""",
+        from msg""",
 )
 def flt3(spark, sf):
-    return decode(message_values(spark, sf)).where("decode_error is null").select(
-        "offset",
-        FL.request_reject(
-            F.col("status"), F.col("uuid"), F.col("voiceover"), F.col("subtitle_timestamps")
-        ).alias("reject_reason"),
+    reject = FL.request_reject(F.col("status"), F.col("uuid"), F.col("voiceover"), F.col("subtitle_timestamps"))
+    return decode(message_values(spark, sf)).select(
+        "offset", F.coalesce("decode_error", reject).alias("reject_reason")
     )
 
 

@@ -79,13 +79,13 @@ def agg1(spark, sf):
 @register(
     "SNK3_store_add_many",
     """select 'v' || vec_id as id, 'content ' || vec_id as content from embeddings
-       union all select 'b' || item_id, text from benchmark where text <> ''""",
+       union all select 'b' || item_id, text from benchmark""",
 )
 def snk3(spark, sf):
     store = table(spark, sf, "embeddings").select(
         F.concat(F.lit("v"), "vec_id").alias("id"), F.concat(F.lit("content "), "vec_id").alias("content")
     )
-    more = table(spark, sf, "benchmark").where("text <> ''").select(
+    more = table(spark, sf, "benchmark").select(
         F.concat(F.lit("b"), "item_id").alias("id"), F.col("text").alias("content")
     )
     return ST.store_add_many(store, more)
@@ -114,9 +114,14 @@ def snk5(spark, sf):
     return ST.store_delete(embedding_store(spark, sf), gone).select("id")
 
 
-@register("SNK6_store_clear", "select vec_id as id from embeddings where false")
+@register("SNK6_store_clear", "select vec_id + 1000000000 as id, label::bigint as label from embeddings")
 def snk6(spark, sf):
-    return ST.store_clear(embedding_store(spark, sf)).select("id")
+    """The whole store cleared and filled again with the same rows under other ids."""
+    store = embedding_store(spark, sf)
+    again = store.withColumn("id", F.col("id") + 1_000_000_000)
+    filled = ST.store_add_many(ST.store_clear(store), again)
+    title = F.try_element_at("metadata", F.lit("title"))
+    return filled.select("id", F.regexp_extract(title, "label (.*)", 1).cast("long").alias("label"))
 
 
 @register(

@@ -27,8 +27,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = 8, app: str = "tidewire", memory: str = "12g") -> SparkSession:
-    """A session for tests and the bench; clusters bring their own."""
+def local_session(
+    cores: int | str = 8, app: str = "tidewire", memory: str = "12g", scratch: str | None = None
+) -> SparkSession:
+    """A session for tests and the bench; clusters bring their own.
+
+    ``scratch`` is the folder for written intermediates (``spark.checkpoint.dir``).
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -38,6 +43,8 @@ def local_session(cores: int | str = 8, app: str = "tidewire", memory: str = "12
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

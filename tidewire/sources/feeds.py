@@ -216,11 +216,3 @@ def in_feed_order(articles: DataFrame) -> DataFrame:
     """
     ordered = articles.orderBy("feed", "pos").withColumn("seq", F.monotonically_increasing_id())
     return cut(ordered, "ordered")
-
-
-def feed_union(*feeds: DataFrame) -> DataFrame:
-    """Articles of several scans; the scans that failed are left out by the caller."""
-    out = feeds[0]
-    for more in feeds[1:]:
-        out = out.unionByName(more, allowMissingColumns=True)
-    return out
