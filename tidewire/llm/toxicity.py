@@ -25,6 +25,8 @@ TERMS = 2048
 LEAST_G2 = 20.0
 NEIGHBOURS = 25
 BLOCK = 32
+# Examples whose vote without themselves calibrates the score, at most.
+CALIBRATED = 1000
 # Weight of the prior among the votes.
 PRIOR_WEIGHT = 0.5
 # Vectors whose neighbours a worker remembers; when there are more, it starts anew.
@@ -92,12 +94,12 @@ class Index:
             w = self.importance[bare]
             self.empty = float((w @ self.y[bare] + self.prior) / (w.sum() + 1))
         self.slope, self.shift = 1.0, 0.0
-        votes = np.array([self.vote(v[2], v[3], skip=e)[0] for e, v in enumerate(vectors) if len(v[2])])
-        held = ~bare
-        if len(votes) and 0 < self.y[held].mean() < 1:
-            x = np.log(votes / (1 - votes))
-            weight = self.importance[held] / self.importance[held].mean()
-            self.slope, self.shift = logistic(x[:, None], self.y[held], weight, ridge=0.1)
+        tried = np.flatnonzero(~bare)
+        tried = tried[:: max(1, -(-len(tried) // CALIBRATED))]
+        if len(tried) and 0 < self.y[tried].mean() < 1:
+            votes = np.array([self.vote(vectors[e][2], vectors[e][3], skip=e)[0] for e in tried])
+            weight = self.importance[tried] / self.importance[tried].mean()
+            self.slope, self.shift = logistic(np.log(votes / (1 - votes))[:, None], self.y[tried], weight, ridge=0.1)
 
     def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(terms, np.int64)
@@ -108,21 +110,23 @@ class Index:
         """The examples of largest cosine, equal ones by their place, and the cosines."""
         bound = w @ self.most[t]
         order = np.argsort(-bound, kind="stable")
+        order = order[: int((bound > 0).sum())]
         got, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for at in range(0, len(order), 8):
-            part = order[at : at + 8]
-            part = part[bound[part] > 0]
-            if not len(part) or (len(got) >= NEIGHBOURS and bound[part[0]] < least - 1e-12):
+        at, size = 0, 4
+        while at < len(order):
+            part = order[at : at + size]
+            if len(got) >= NEIGHBOURS and bound[part[0]] < least - 1e-12:
                 break
-            found, value = [], []
-            for term, weight in zip(t, w, strict=True):
-                first, last = self.start[term * self.blocks + part], self.start[term * self.blocks + part + 1]
-                for a, b in zip(first.tolist(), last.tolist(), strict=True):
-                    if a < b:
-                        found.append(self.example[a:b])
-                        value.append(weight * self.weight[a:b])
-            ex, inverse = np.unique(np.concatenate(found), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate(value))
+            at, size = at + size, 2 * size
+            # All postings of these terms in these blocks, as one run of indices.
+            cell = t[:, None] * self.blocks + part[None, :]
+            first = self.start[cell].ravel()
+            many = self.start[cell + 1].ravel() - first
+            ends = np.cumsum(many)
+            index = np.arange(ends[-1]) + np.repeat(first - ends + many, many)
+            value = self.weight[index] * np.repeat(np.repeat(w, len(part)), many)
+            ex, inverse = np.unique(self.example[index], return_inverse=True)
+            total = np.bincount(inverse, value)
             fresh = ex != skip
             got, scores = np.concatenate([got, ex[fresh]]), np.concatenate([scores, total[fresh]])
             best = np.lexsort((got, -np.round(scores, 12)))[:NEIGHBOURS]
