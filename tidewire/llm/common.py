@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.session import cut, tune
+from tidewire.session import tune
 
 # White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,8 @@ LEAST_CELLS = 1024
 HOT_SHARE = 0.001
 # A lookup table of so many narrow rows at most is sent to every executor.
 LOOKUP_ROWS = 100_000
+# And a list of so many ids, some 100 MB.
+LOOKUP_IDS = 4_000_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -70,44 +72,12 @@ def attach(docs: DataFrame, lookup: DataFrame, key: str, count: str, total: int)
     )
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """Connected components of ``edges`` (a, b): one row (id, component) per node that has an edge.
+def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """``df`` restricted to (or, with ``left_anti``, rid of) the keys in ``ids``, a table of one column.
 
-    ``component`` is the smallest id reachable.  Rounds of large-star and small-star: every node is
-    tied to the smallest neighbour of its neighbourhood until the edges are stars.  Only minima are
-    aggregated, no neighbour list is built, and each round is a written table.
+    Up to ``LOOKUP_IDS`` ids are counted first and then broadcast, so that ``df`` with its texts isn't
+    shuffled; beyond, both sides are.
     """
-    e = cut(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        name,
-    )
-    seen = None
-    while True:
-        print_ = e.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
-        ).first()
-        if (print_["n"], print_["s"]) == seen:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        seen = (print_["n"], print_["s"])
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u")
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(
-            tied.unionByName(least.select("u", F.col("m").alias("v")))
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            .where("u <> v")
-            .distinct(),
-            name,
-        )
+    if ids.limit(LOOKUP_IDS + 1).count() <= LOOKUP_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, key, how)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import common as C
+from tidewire.operators.components import components
 from tidewire.session import cut
 
 # Collections of so many minhashes each; every pair of collections is one table.
@@ -148,37 +149,49 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     of_several = counts[number] > 1
     shingle, owner = np.unique(number[of_several], return_inverse=True)[1], owner[of_several]
     out = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(shingle.max()) + 1 if len(shingle) else 0, COLUMNS):
+    width = int(shingle.max()) + 1 if len(shingle) else 0
+    for at in range(0, width, COLUMNS):
         here = (shingle >= at) & (shingle < at + COLUMNS)
-        holds = np.zeros((len(sets), COLUMNS), np.float32)
+        holds = np.zeros((len(sets), min(COLUMNS, width - at)), np.float32)
         holds[owner[here], shingle[here] - at] = 1
         out += holds @ holds.T
     return out.astype(np.int64)
 
 
 def joined(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links in one crowd, or between two blocks of one: (a, b), b the smallest id that a reaches
-    in this group.  Every pair of different components is held against each other on full sets; no
+    """Links in crowds, or between two blocks of one: (a, b), b the smallest id that a reaches in
+    its crowd.  Every pair of different components is held against each other on full sets; no
     pair leaves the task."""
-    rows = rows.sort_values("cid")
+    rows = rows.sort_values(["key", "i", "j", "cid"])
+    at = rows[["key", "i", "j"]].to_numpy()
     cid, comp, part = (rows[c].to_numpy() for c in ("cid", "component", "part"))
     sets = [np.frombuffer(s, "<u8") for s in rows["s"]]
+    edges = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+    label = cid.copy()
+    for first, last in zip([0, *edges], [*edges, len(cid)], strict=True):
+        if last - first > 1:
+            s = slice(first, last)
+            label[s] = _reached(cid[s], comp[s], part[s] if at[first, 1] != at[first, 2] else None, sets[s], percent)
+    moved = label < cid
+    return pd.DataFrame({"a": cid[moved], "b": label[moved]})
+
+
+def _reached(cid, comp, part, sets: list[np.ndarray], percent: int) -> np.ndarray:
     size = np.array([len(s) for s in sets])
     common = overlaps(sets)
     near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
     near &= comp[:, None] != comp[None, :]
-    if rows["i"].iloc[0] != rows["j"].iloc[0]:
+    if part is not None:
         near &= part[:, None] != part[None, :]
     a, b = np.nonzero(np.triu(near, 1))
     label = cid.copy()
-    while True:
+    while len(a):
         before = label.copy()
         np.minimum.at(label, a, before[b])
         np.minimum.at(label, b, label[a])
         if (label == before).all():
             break
-    moved = label < cid
-    return pd.DataFrame({"a": cid[moved], "b": label[moved]})
+    return label
 
 
 def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -222,19 +235,19 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     stars = (
         members.join(heads, "key").select(F.col("cid").alias("a"), "b").where("a <> b").distinct()
     )
-    wanted = members.select(F.col("cid").alias("id")).distinct()
+    wanted = cut(members.select(F.col("cid").alias("id")).distinct(), "neardup-wanted")
     texts = df.select(C.col(doc_id).cast("long").alias("id"), C.col(text).alias("text"))
     sets = cut(
-        texts.join(wanted, "id", "left_semi")
+        C.only(texts, wanted, "id")
         .mapInArrow(full_sets, "id long, s binary")
         .where("length(s) > 0")
         .dropDuplicates(["id"]),
         "neardup-sets",
     )
     links = cut(confirmed(stars, sets, percent).unionByName(same), "neardup-links")
-    so_far = cut(C.components(links, "neardup-components"), "neardup-so-far")
+    so_far = cut(components(links, "neardup-components"), "neardup-so-far")
     more = cut(_unsettled(members, so_far, sets, percent), "neardup-more")
-    final = C.components(links.unionByName(more), "neardup-components")
+    final = components(links.unionByName(more), "neardup-components")
     by_class = (
         classes.select("cls", "cid")
         .join(final.select(F.col("id").alias("cid"), "component"), "cid", "left")
@@ -274,28 +287,33 @@ def _unsettled(members: DataFrame, so_far: DataFrame, sets: DataFrame, percent:
     placed = members.join(so_far.select(F.col("id").alias("cid"), "component"), "cid", "left").select(
         "key", "cid", F.coalesce("component", "cid").alias("component")
     )
-    mixed = (
+    mixed = cut(
         placed.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
         .where("x < y and n > 2")
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+        .select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")),
+        "neardup-mixed",
     )
+    # Small crowds are handed over many at a time, a large one block pair by block pair.
+    small = max(1, -(-(mixed.agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    alone = F.lit(small) + F.pmod(F.xxhash64("key", "i", "j"), F.lit(1 << 40))
+    bundle = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(small))).otherwise(alone)
     dealt = (
         placed.join(mixed, "key")
         .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "cid", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        .select("*", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        .withColumn("bundle", bundle)
+        .drop("other", "parts", "n")
         .join(sets.withColumnRenamed("id", "cid"), "cid")
     )
-    found = dealt.groupBy("key", "i", "j").applyInPandas(lambda rows: joined(rows, percent), "a long, b long")
+    found = dealt.groupBy("bundle").applyInPandas(lambda rows: joined(rows, percent), "a long, b long")
     return found.distinct()
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """The rows of ``df`` whose document is kept; rows without a doc_id stay."""
-    kept = duplicates(df, doc_id, text, percent).where("kept and doc_id is not null")
-    kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = df.select(C.packed(df), C.col(doc_id).cast("long").alias("_id"))
-    gone = named.join(kept, F.col("_id") == F.col("_kept_id"), "left_semi")
-    out = [F.col("row").getField(c).alias(c) for c in df.columns]
-    return gone.select(*out).unionByName(named.where("_id is null").select(*out))
+    gone = duplicates(df, doc_id, text, percent).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    named = df.select(C.packed(df), C.col(doc_id).cast("long").alias("id"))
+    kept = C.only(named, cut(gone, "neardup-gone"), "id", "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
