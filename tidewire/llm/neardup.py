@@ -21,8 +21,6 @@ HASHES = COLLECTIONS * PER_COLLECTION
 # Members of a crowded key that are compared in one task, and shingles that are looked at at once.
 BLOCK = 256
 COLUMNS = 8192
-# Words whose hash a worker keeps; when there are more, it starts anew.
-CACHE = 1_000_000
 
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
@@ -38,15 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=_U) * _ODD[0])[:, None]
 
 
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: str | None, words: WordHash) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
     """The distinct shingles of five words of a whole text, sorted, as 64-bit hashes.
 
     A to Z are lower-cased; words are separated by ASCII white space.  A text of fewer words has
@@ -55,7 +45,7 @@ def shingles(text: str | None, words: WordHash) -> np.ndarray:
     found = text.encode("utf-8", "replace").lower().split() if text else []
     if not found:
         return np.zeros(0, _U)
-    h = np.fromiter(map(words.__getitem__, found), _U, len(found))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), _U, len(found))
     if len(h) < 5:
         return mix((h * _ODD[: len(h)]).sum(keepdims=True, dtype=_U) + _U(len(h)))
     n = len(h) - 4
@@ -90,12 +80,11 @@ def _parts(batch: pa.RecordBatch, size: int = 1000) -> Iterator[pa.RecordBatch]:
 
 def signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n, cls, halves): set size, set digest, the collections' keys."""
-    words = WordHash()
     for whole in batches:
         for batch in _parts(whole):
             n, cls, halves = [], [], []
             for text in batch.column("text"):
-                s = shingles(text.as_py(), words)
+                s = shingles(text.as_py())
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 halves.append(_signed(collection_keys(minhashes(s))) if len(s) else None)
@@ -111,10 +100,9 @@ def signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHash()
     for whole in batches:
         for batch in _parts(whole):
-            sets = [shingles(t.as_py(), words).tobytes() for t in batch.column("text")]
+            sets = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(sets, pa.binary())], names=["id", "s"]
             )
