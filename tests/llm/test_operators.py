@@ -526,13 +526,50 @@ def test_rules_query_equals_sql(spark):
     assert rows(got) == rows(want)
 
 
+def test_same_id_is_one_document(spark):
+    rows = [(1, "a b c d e f g h"), (1, "q r s t u v w x"), (2, "q r s t u v w x"), (3, "a b c d e f g h"), (4, "alone it stands here so")]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_pipeline(spark):
+    """Every stage against brute force on what the one before it kept."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    kept = corpus_pipeline.good(spark, docs, SMALL)
-    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
-    alone = corpus_pipeline.unlike(spark, kept, SMALL)
-    assert alone.columns == docs.columns and alone.count() == neardup.duplicates(kept).where("kept").count()
-    out = entry.queries()["pipeline"](spark, SMALL).toPandas()
-    assert out.groupby("sequence_id")["length"].sum().max() <= 2048
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        docs = spark.createDataFrame(out.toPandas(), out.schema)
+        kept.append(docs)
+        if name != "packing":
+            assert docs.columns == corpus_pipeline.COLUMNS
+    good, alone, private, mixed, packed = [d.toPandas() for d in kept]
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").toPandas().set_index("doc_id")["quality"]
+    judged = labels[labels.index.isin(good["doc_id"])]
+    assert 0 < len(good) < 200 and (judged == 1).mean() > 0.97
+    sets = shingle_sets(list(zip(good["doc_id"], good["text"], strict=True)))
+    firsts = {a for (a, _), c in zip(sets, brute_components(sets), strict=True) if a == c}
+    assert set(alone["doc_id"]) == firsts and len(alone) == len(firsts)
+    assert sorted(private["doc_id"]) == sorted(alone["doc_id"])
+    before = alone.set_index("doc_id")["text"]
+    for doc_id, text in zip(private["doc_id"], private["text"], strict=True):
+        for found in re.findall(r"\b4\d{15}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\S+@mail\d\S+", before[doc_id]):
+            assert found not in text
+        assert len(text.split()) == len(before[doc_id].split())
+    size = private.assign(n=[len(WORD.findall(t)) for t in private["text"]]).groupby("source")["n"].sum().sort_index()
+    taken = mixed.assign(n=[len(WORD.findall(t)) for t in mixed["text"]]).groupby("source")["n"].sum()
+    for source, target in zip(size.index, expected_targets(size.tolist()), strict=True):
+        assert abs(taken.get(source, 0) - target) <= 1
+    whole = private.set_index("doc_id")["text"]
+    assert all(
+        whole[i] == t or whole[i].split()[: len(t.split())] == t.split()
+        for i, t in zip(mixed["doc_id"], mixed["text"], strict=True)
+    )
+    plain = Tokenizer.from_file(packing.vocabulary())
+    counts = sorted(len(plain.encode(t, add_special_tokens=False).ids) + 1 for t in mixed["text"])
+    assert sorted(packed[packed["start"] == 0]["doc_tokens"]) == counts
+    assert packed["length"].sum() == sum(counts)
+    assert packed.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert entry.queries()["pipeline"](spark, SMALL).count() == len(packed)

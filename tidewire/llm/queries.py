@@ -23,7 +23,7 @@ from tidewire.llm import (
 from tidewire.session import cut
 
 QUERIES = {}
-ORACLES: dict[str, str] = {"op4_rules": sql.RULES}
+ORACLES: dict[str, str] = {"op4_rules": sql.RULES, "op8_lattice": sql.LATTICE, "op9_minhash": sql.NEARDUP}
 
 
 def register(fn):

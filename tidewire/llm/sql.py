@@ -47,3 +47,43 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not base_failed and not (case when rate > 0.5 then beyond_1 else beyond_2 end) as kept
 from judged join rates using (host)
 """
+
+_REACH = """
+reach(id, r) as (
+  select id, id from nodes
+  union
+  select l.b, reach.r from reach join links l on l.a = reach.id)
+"""
+
+NEARDUP = rf"""
+with recursive words as (
+  select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i, len(ws) as n
+  from (select doc_id, regexp_extract_all(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x20\x09-\x0D]+') as ws from documents)),
+windows as (
+  select doc_id, n, concat_ws(chr(1), w, lead(w, 1) over o, lead(w, 2) over o, lead(w, 3) over o, lead(w, 4) over o) as s,
+         lead(w, 4) over o is not null or (n < 5 and i = 1) as whole
+  from words window o as (partition by doc_id order by i)),
+sets as (select distinct doc_id, s from windows where whole),
+sizes as (select doc_id, count(*) as n from sets group by 1),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+nodes as (select doc_id as id from documents),
+{_REACH}
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join sizes using (doc_id)
+join (select id, min(r) as component_id from reach group by 1) c on c.id = d.doc_id
+"""
+
+LATTICE = f"""
+with recursive links as (
+  select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b
+    on a.vec_id <> b.vec_id and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.95),
+nodes as (select vec_id as id from embeddings),
+{_REACH}
+select vec_id, (select count(*) from links where a = vec_id)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings join (select id, min(r) as component_id from reach group by 1) c on c.id = vec_id
+"""
