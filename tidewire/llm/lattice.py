@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import common as C
 from tidewire.llm.neardup import mix
+from tidewire.operators.components import components
 from tidewire.session import cut
 
 # Tables, and lattice points that make up a cell of a table.
-TABLES, LATTICES = 14, 2
+TABLES, LATTICES = 20, 3
 # The lattice's scale, in standard deviations of a projected random unit vector.
 SCALE = 2.0
-# Vectors of a cell that are compared in one task.
+# Vectors of a cell that are compared at once, and rows of small cells that one call is given.
 BLOCK = 1024
+BUNDLE = 4096
 # The 240 shortest vectors of the lattice: steps to the neighbours of a point.
 STEPS = np.array(
     [
@@ -56,7 +58,7 @@ _ODD = mix(np.arange(1, 8 * LATTICES + 1, dtype=np.uint64)) | np.uint64(1)
 def cells(x: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """For unit vectors of one dimension each table's home cell and the neighbouring cell to probe.
 
-    A table projects at random to 16 dimensions and decodes each half to a lattice point.  The
+    A table projects at random to 24 dimensions and decodes each third to a lattice point.  The
     neighbour is reached by the one step that comes nearest to the projected vector.
     """
     n, d = x.shape
@@ -132,32 +134,22 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def compare(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links within one cell, or between two blocks of one: (cid, links, label).
-
-    A pair is counted in the first table in which it meets, and there in one cell; ``label`` is
-    the smallest cid that links reach inside this group.  No pair leaves the task.
-    """
-    rows = rows.sort_values("cid").reset_index(drop=True)
-    cid, mult, part = (rows[c].to_numpy() for c in ("cid", "mult", "part"))
-    home, t = rows["home"].to_numpy(bool), int(rows["t"].iloc[0])
-    x = unit_rows(rows["raw"].tolist())[1]
+def _linked(cid, mult, x, homes, probes, part, home, t: int, apart: bool, least: float):
+    """Links and labels of one cell, or of two blocks of one; the arrays are in order of cid."""
     near = x @ x.T >= least
     near &= home[:, None] | home[None, :]
-    if rows["i"].iloc[0] != rows["j"].iloc[0]:
+    if apart:
         near &= part[:, None] != part[None, :]
     a, b = np.nonzero(np.triu(near, 1))
-    if not len(a):
-        return pd.DataFrame({"cid": cid[:0], "links": mult[:0], "label": cid[:0]})
     label = cid.copy()
+    if not len(a):
+        return np.zeros(len(cid), np.int64), label
     while True:
         before = label.copy()
         np.minimum.at(label, a, before[b])
         np.minimum.at(label, b, label[a])
         if (label == before).all():
             break
-    homes = np.frombuffer(b"".join(rows["homes"]), np.int64).reshape(-1, TABLES)
-    probes = np.frombuffer(b"".join(rows["probes"]), np.int64).reshape(-1, TABLES)
     count = np.zeros(len(a), bool)
     for at in range(0, len(a), 200_000):
         p, q = a[at : at + 200_000], b[at : at + 200_000]
@@ -168,14 +160,38 @@ def compare(rows: pd.DataFrame, least: float) -> pd.DataFrame:
         count[at : at + 200_000] = first & ~(both & ~home[p])
     a, b = a[count], b[count]
     links = np.bincount(a, mult[b], len(cid)) + np.bincount(b, mult[a], len(cid))
-    out = pd.DataFrame({"cid": cid, "links": links.astype(np.int64), "label": label})
-    return out[(out["links"] > 0) | (out["label"] < out["cid"])]
+    return links.astype(np.int64), label
+
+
+def compare(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links within cells, or between two blocks of one: (cid, links, label).
+
+    A pair is counted in the first table in which it meets, and there in one cell; ``label`` is
+    the smallest cid that links reach inside its cell.  No pair leaves the task.
+    """
+    rows = rows.sort_values(["t", "cell", "i", "j", "cid"])
+    at = rows[["t", "cell", "i", "j"]].to_numpy()
+    cid, mult, part = (rows[c].to_numpy() for c in ("cid", "mult", "part"))
+    home, raw = rows["home"].to_numpy(bool), rows["raw"].to_numpy()
+    homes = np.frombuffer(b"".join(rows["homes"]), np.int64).reshape(-1, TABLES)
+    probes = np.frombuffer(b"".join(rows["probes"]), np.int64).reshape(-1, TABLES)
+    edges = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+    links, label = np.zeros(len(cid), np.int64), cid.copy()
+    for a, b in zip([0, *edges], [*edges, len(cid)], strict=True):
+        if b - a > 1 and home[a:b].any():
+            s = slice(a, b)
+            x = unit_rows(raw[s].tolist())[1]
+            links[s], label[s] = _linked(
+                cid[s], mult[s], x, homes[s], probes[s], part[s], home[s], int(at[a, 0]), at[a, 2] != at[a, 3], least
+            )
+    kept = (links > 0) | (label < cid)
+    return pd.DataFrame({"cid": cid[kept], "links": links[kept], "label": label[kept]})
 
 
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95) -> DataFrame:
     """One row per row of ``df``: ``vec_id``, ``n_links``, ``component_id`` and ``kept``.
 
-    Vectors that share a cell, or one's cell and the cell that the other probes, in any of 14
+    Vectors that share a cell, or one's cell and the cell that the other probes, in any of 20
     tables are compared by cosine in double precision; those at ``least`` or more are linked.
     Equal vectors are one class that is compared once and counted as often as it occurs.  A cell of
     any size is compared block by block, and only counts and labels leave a task.
@@ -210,25 +226,32 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
         spots.groupBy("t", "cell")
         .agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("held"))
         .where("n > 1 and held")
-        .select("t", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+        .select("t", "cell", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     )
+    shared = cut(shared, "lattice-shared")
+    size = shared.agg(F.sum("n")).first()[0] or 0
+    # Small cells are handed over many at a time, a large one block pair by block pair.
+    small = max(1, -(-size // BUNDLE))
+    alone = F.lit(small) + F.pmod(F.xxhash64("t", "cell", "i", "j"), F.lit(1 << 40))
+    bundle = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("t", "cell"), F.lit(small))).otherwise(alone)
     part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     members = (
         spots.join(shared, ["t", "cell"])
         .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("*", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        .drop("other", "parts")
+        .withColumn("bundle", bundle)
+        .drop("other", "parts", "n")
         .join(hashed.drop("cells"), "cid")
     )
     met = cut(
-        members.groupBy("t", "cell", "i", "j").applyInPandas(
+        members.groupBy("bundle").applyInPandas(
             lambda rows: compare(rows, least), "cid long, links long, label long"
         ),
         "lattice-met",
     )
     links = met.groupBy("cid").agg(F.sum("links").alias("links"))
-    reached = C.components(met.select(F.col("cid").alias("a"), F.col("label").alias("b")), "lattice-components")
+    reached = components(met.select(F.col("cid").alias("a"), F.col("label").alias("b")), "lattice-components")
     placed = (
         classes.select("cls", "cid", "mult", "first_id")
         .join(links, "cid", "left")
