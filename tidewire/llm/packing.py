@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -17,10 +19,12 @@ from pyspark.sql import types as T
 from tidewire.llm import common as C
 from tidewire.session import cut
 
+# ASCII punctuation around one run of other characters.
+MARKED = re.compile(r"([!-/:-@\[-`{-~]*)([^\s!-/:-@\[-`{-~]+)([!-/:-@\[-`{-~]*)")
 # Pieces that are packed together, on average.
 BATCH = 256
 # Words whose ids a worker keeps; when there are more, it starts anew.
-CACHE = 1_000_000
+CACHE = 800_000
 # Characters of text that are tokenized at once.
 CHUNK = 500_000
 
@@ -34,9 +38,9 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class WordIds(dict):
     """Token ids of words, as bytes of little-endian unsigned 32-bit numbers.
 
-    The tokenizer lowers case and never joins words across white space, nor a letter and the
-    comma or full stop behind it.  So texts are tokenized word by word, and a word that a worker
-    still holds is not tokenized again.
+    The tokenizer lowers case and never joins words across white space, nor letters and the
+    punctuation around them.  So texts are tokenized word by word, letters and marks apart, and
+    what a worker still holds is not tokenized again.
     """
 
     def __init__(self, path: str):
@@ -47,30 +51,50 @@ class WordIds(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {m: self.one(m) for m in (b",", b".")}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        """Tokenize new words; those of letters alone many at a time, cut where a token ends a word."""
-        marked = {w: w[:-1] for w in words if w[-1:] in self.marks and w[-2:-1].isalpha()}
-        stems = list((words - marked.keys()).union(set(marked.values()) - self.keys()))
-        texts = [w.decode() for w in stems]
-        letters = [i for i, t in enumerate(texts) if t.isalpha()]
-        for at in range(0, len(letters), 2000):
-            part = letters[at : at + 2000]
-            got = self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in part)], add_special_tokens=False)
+        """Tokenize new words; letters many words at a time, cut where a token ends a word."""
+        apart, alone, plain = {}, [], set()
+        for w in words:
+            text = w.decode()
+            if text.isascii() and text.isalpha():
+                plain.add(w)
+                continue
+            # A lone apostrophe may be joined to the letters behind it, as in 's.
+            m = MARKED.fullmatch(text)
+            if m and m[2].lower().isalpha() and m[1] != "'" and not any(map(text.__contains__, self.special)):
+                apart[w] = m.groups()
+            else:
+                alone.append(w)
+        plain.update(m[1].encode() for m in apart.values())
+        stems = [w for w in plain if w not in self]
+        for at in range(0, len(stems), 2000):
+            part = stems[at : at + 2000]
+            got = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
             ids = np.array(got[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 raw, bounds = ids.tobytes(), (4 * ends).tolist()
-                self.update(zip((stems[i] for i in part), map(raw.__getitem__, map(slice, [0, *bounds], bounds))))
-        for w in stems:
-            if w not in self:
-                self[w] = self.one(w)
-        for w, stem in marked.items():
-            self[w] = self[stem] + self.marks[w[-1:]]
+                self.update(zip(part, map(raw.__getitem__, map(slice, [0, *bounds], bounds))))
+            else:
+                alone += part
+        for w in alone:
+            self[w] = self.one(w)
+        for w, (before, stem, behind) in apart.items():
+            if before or behind:
+                self[w] = self.mark(before) + self[stem.encode()] + self.mark(behind)
+
+    def mark(self, run: str) -> bytes:
+        if run not in self.marks:
+            if len(self.marks) >= CACHE:
+                self.marks = {"": b""}
+            self.marks[run] = self.one(run.encode())
+        return self.marks[run]
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         if len(self) > CACHE:
@@ -80,7 +104,7 @@ class WordIds(dict):
         gaps = [i for i, ids in enumerate(found) if None in ids]
         self.learn({w for i in gaps for w, ids in zip(split[i], found[i], strict=True) if ids is None})
         for i in gaps:
-            found[i] = map(self.__getitem__, split[i])
+            found[i] = [ids or self[w] for w, ids in zip(split[i], found[i], strict=True)]
         return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
 
 
@@ -91,6 +115,12 @@ def cuts(total: int, window: int, tail: int) -> list[int]:
     return [window] * whole + [rest // parts + (i < rest % parts) for i in range(parts)]
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """A worker's one instance: what a task has learnt serves the next."""
+    return WordIds(path)
+
+
 def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``CHUNK`` bytes of text each."""
     ends = np.cumsum([len(t) if t else 0 for t in batch.column("text").to_pylist()])
@@ -175,7 +205,7 @@ def pack(
     )
 
     def tokenize(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for whole in batches:
             for batch in chunks(whole):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
