@@ -20,7 +20,7 @@ from tidewire.session import cut
 # Labelled examples of each class in the index, at most.
 PER_CLASS = 4000
 # Terms of the vectors, at most: those that tell the classes apart best.
-TERMS = 2048
+TERMS = 256
 # The least log-likelihood ratio of a term (chance alone gives 20 once in 130,000 terms).
 LEAST_G2 = 20.0
 NEIGHBOURS = 25
