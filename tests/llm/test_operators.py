@@ -396,6 +396,23 @@ def test_toxicity(spark, docs):
     assert toxicity.score(empty(spark), labels).count() == 0
 
 
+def test_rare_words_find_their_examples(spark):
+    """A word of one labelled example alone is a term: who has it has that example as evidence."""
+    rare = lambda k: f"zq{chr(97 + k // 20)}{chr(97 + k % 20)}"
+    body = texts(seed=8, n=400)
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5][:400]
+    rows = [(i, f"{t} {'grobnik' if k < 100 else ''} {rare(k)}") for k, (i, t) in enumerate(zip(ids, body, strict=True))]
+    labels = [(i, int(k < 100)) for k, i in enumerate(ids)]
+    asked = [0, 57, 99, 100, 250, 399]
+    rows += [(10_000 + k, rare(k)) for k in asked] + [(20_000, "Grobniks"), (20_001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = toxicity.score(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in scored.select("row.doc_id", "score", "evidence").collect()}
+    assert len(got) == len(rows)
+    assert all(got[10_000 + k]["evidence"][0] == ids[k] for k in asked)
+    assert got[20_000]["score"] >= 0.5 > got[20_001]["score"] and not got[20_001]["evidence"]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(6)
     idf = rng.random(40) + 0.5

@@ -6,9 +6,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,17 +21,19 @@ from tidewire.session import cut
 
 # Labelled examples of each class in the index, at most.
 PER_CLASS = 4000
-# Terms of the vectors, at most: those that tell the classes apart best.
-TERMS = 256
-# The least log-likelihood ratio of a term (chance alone gives 20 once in 130,000 terms).
+# A log-likelihood ratio that adds to a term's weight (chance alone gives 20 once in 130,000 terms).
 LEAST_G2 = 20.0
 NEIGHBOURS = 25
 BLOCK = 32
+# The terms by which examples are sorted into blocks.
+LEADING = 8
+# Blocks that are scored before the others are held against what they give.
+FIRST_BLOCKS = 4
 # Examples whose vote without themselves calibrates the score, at most.
 CALIBRATED = 1000
 # Weight of the prior among the votes.
 PRIOR_WEIGHT = 0.5
-# Vectors whose neighbours a worker remembers; when there are more, it starts anew.
+# Scored vectors that a worker remembers by digest; when there are more, it starts anew.
 CACHE = 50_000
 # Words whose terms a worker remembers, likewise.
 CACHE_WORDS = 500_000
@@ -60,11 +64,19 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
+def runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each ``first`` to before its ``last``, one run after the other; the runs' lengths."""
+    many = last - first
+    ends = np.cumsum(many)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + many, many), many
+
+
 class Index:
     """Postings of the examples in blocks of 32, with every block's largest weight of each term.
 
-    The largest score that a block can reach is the sum of its largest weights; blocks are scored
-    in that order until none can beat the neighbours found.  So the search is exact.
+    The largest score that a block can reach is the sum of its largest weights; the blocks of the
+    largest bounds are scored first, then those that can beat the neighbours found.  So the search
+    is exact.  Cells (a term in a block) are held only where there are postings.
     """
 
     def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], counts: dict[int, int]):
@@ -72,24 +84,26 @@ class Index:
         self.idf = idf
         # Examples with the same leading terms share blocks, which keeps the bounds tight.
         vectors = [(i, y, *self.vector(t, n)) for i, y, t, n in examples]
-        vectors.sort(key=lambda v: (sorted(zip(-v[3], v[2].tolist(), strict=True)), v[0]))
+        vectors.sort(key=lambda v: (v[2][np.lexsort((v[2], -v[3]))[:LEADING]].tolist(), v[0]))
         self.ids = np.array([v[0] for v in vectors], np.int64)
         self.y = np.array([v[1] for v in vectors], float)
         sampled = Counter(self.y.tolist())
         self.importance = np.array([counts.get(int(y), 1) / sampled[y] for y in self.y])
         self.prior = min(max((counts.get(1, 0) + 1) / (sum(counts.values()) + 2), 0.001), 0.999)
         self.blocks = -(-len(vectors) // BLOCK)
-        terms = len(idf)
-        flat = sorted((int(t), e, w) for e, v in enumerate(vectors) for t, w in zip(v[2], v[3], strict=True))
-        self.example = np.array([f[1] for f in flat], np.int64)
-        self.weight = np.array([f[2] for f in flat], float)
-        cell = np.array([f[0] * self.blocks + f[1] // BLOCK for f in flat], np.int64)
-        self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
-        self.most = np.zeros(terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(terms, self.blocks)
+        sizes = [len(v[2]) for v in vectors]
+        term = np.concatenate([np.zeros(0, np.int64), *[v[2] for v in vectors]])
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
+        order = np.argsort(term, kind="stable")
+        term, self.example = term[order], example[order]
+        self.weight = np.concatenate([np.zeros(0), *[v[3] for v in vectors]])[order]
+        cell, first = np.unique(term * max(self.blocks, 1) + self.example // BLOCK, return_index=True)
+        self.first = np.append(first, len(term)).astype(np.int64)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.block = (cell % max(self.blocks, 1)).astype(np.int32)
+        self.cells = np.searchsorted(cell, np.arange(len(idf) + 1) * max(self.blocks, 1))
         self.empty = self.prior
-        bare = np.array([not len(v[2]) for v in vectors], bool)
+        bare = np.array([not n for n in sizes], bool)
         if bare.any():
             w = self.importance[bare]
             self.empty = float((w @ self.y[bare] + self.prior) / (w.sum() + 1))
@@ -102,36 +116,32 @@ class Index:
             self.slope, self.shift = logistic(np.log(votes / (1 - votes))[:, None], self.y[tried], weight, ridge=0.1)
 
     def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(terms, np.int64)
-        w = (1 + np.log(np.array(counts, float))) * self.idf[t] if len(t) else np.zeros(0)
+        t = np.asarray(terms, np.int64)
+        w = (1 + np.log(np.asarray(counts, float))) * self.idf[t] if len(t) else np.zeros(0)
         return t, w / max(math.sqrt(float(w @ w)), 1e-12)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The examples of largest cosine, equal ones by their place, and the cosines."""
-        bound = w @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        order = order[: int((bound > 0).sum())]
-        got, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        at, size = 0, 4
-        while at < len(order):
-            part = order[at : at + size]
-            if len(got) >= NEIGHBOURS and bound[part[0]] < least - 1e-12:
-                break
-            at, size = at + size, 2 * size
-            # All postings of these terms in these blocks, as one run of indices.
-            cell = t[:, None] * self.blocks + part[None, :]
-            first = self.start[cell].ravel()
-            many = self.start[cell + 1].ravel() - first
-            ends = np.cumsum(many)
-            index = np.arange(ends[-1]) + np.repeat(first - ends + many, many)
-            value = self.weight[index] * np.repeat(np.repeat(w, len(part)), many)
-            ex, inverse = np.unique(self.example[index], return_inverse=True)
-            total = np.bincount(inverse, value)
-            fresh = ex != skip
-            got, scores = np.concatenate([got, ex[fresh]]), np.concatenate([scores, total[fresh]])
+        cell, many = runs(self.cells[t], self.cells[t + 1])
+        w = np.repeat(w, many)
+        block = self.block[cell]
+        bound = np.bincount(block, self.most[cell] * w, self.blocks)
+        left = bound > 0
+        chosen = np.zeros(self.blocks, bool)
+        chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        got, scores = np.zeros(0, np.int64), np.zeros(0)
+        while (chosen := chosen & left).any():
+            mine = chosen[block]
+            at, many = runs(self.first[cell[mine]], self.first[cell[mine] + 1])
+            total = np.bincount(self.example[at], self.weight[at] * np.repeat(w[mine], many), len(self.ids))
+            if skip >= 0:
+                total[skip] = 0
+            ex = np.flatnonzero(total > 0)
+            got, scores = np.concatenate([got, ex]), np.concatenate([scores, total[ex]])
             best = np.lexsort((got, -np.round(scores, 12)))[:NEIGHBOURS]
             got, scores = got[best], scores[best]
-            least = scores[-1] if len(scores) else 0.0
+            left &= ~chosen
+            chosen = bound >= scores[-1] - 1e-9 if len(got) == NEIGHBOURS else left
         return got, scores
 
     def vote(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
@@ -144,122 +154,164 @@ class Index:
 
     def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
         """The calibrated score, and the ids of the nearest examples as evidence."""
-        if not terms:
+        if not len(terms):
             return self.empty, []
         vote, near = self.vote(*self.vector(terms, counts))
         z = self.slope * math.log(vote / (1 - vote)) + self.shift
         return 1 / (1 + math.exp(-min(max(z, -30), 30))), self.ids[near[:5]].tolist()
 
 
-def _terms_of(df: DataFrame, keep: dict[str, int] | None) -> DataFrame:
-    """(row, terms, counts) of (row, text): of all tokens, or of the kept ones by their numbers."""
+def planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^32 by their bytes, all lowest ones first; so small ones compress well."""
+    return np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplanes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _terms_of(df: DataFrame) -> DataFrame:
+    """(row, terms, counts) of (row, text): of all tokens."""
     kind = T.StructType(
         [
             df.schema["row"],
-            T.StructField("terms", T.ArrayType(T.StringType() if keep is None else T.IntegerType())),
+            T.StructField("terms", T.ArrayType(T.StringType())),
             T.StructField("counts", T.ArrayType(T.IntegerType())),
         ]
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Kept(keep or {})
         for batch in batches:
             terms, counts = [], []
             for text in batch.column("text"):
                 found = Counter()
-                words = tokens(text.as_py())
-                if keep is None:
-                    for w, n in Counter(words).items():
-                        for x in parts(w):
-                            found[x] += n
-                else:
-                    found.update(x for xs in filter(None, map(known.__getitem__, words)) for x in xs)
+                for w, n in Counter(tokens(text.as_py())).items():
+                    for x in parts(w):
+                        found[x] += n
                 names = sorted(found)
                 terms.append(names)
                 counts.append([found[x] for x in names])
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"),
-                    pa.array(terms, pa.list_(pa.string() if keep is None else pa.int32())),
-                    pa.array(counts, pa.list_(pa.int32())),
-                ],
+                [batch.column("row"), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))],
                 names=["row", "terms", "counts"],
             )
 
     return df.mapInArrow(run, kind)
 
 
-def _telling(examples: DataFrame, sizes: dict[int, int]) -> list[str]:
-    """The terms whose presence tells the classes apart, by log-likelihood ratio."""
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return []
-    by_term = (
-        examples.select("row.y", F.explode("terms").alias("term"))
-        .groupBy("term")
-        .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-        .where("a + b >= 3")
+def _numbers_of(df: DataFrame, keep: dict[str, int]) -> DataFrame:
+    """(row, terms, counts) of (row, text): the numbers of the kept terms, as steps, and their counts, packed."""
+    kind = T.StructType(
+        [df.schema["row"], T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType())]
     )
-    part = lambda x, n, total: F.when(x > 0, x * F.log(x * (n1 + n0) / (n * total))).otherwise(0.0)
-    a, b, both = F.col("a"), F.col("b"), F.col("a") + F.col("b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Kept(keep)
+        for batch in batches:
+            terms, counts = [], []
+            for text in batch.column("text"):
+                found = list(chain.from_iterable(map(known.__getitem__, tokens(text.as_py()))))
+                number, n = np.unique(np.array(found, np.int64), return_counts=True)
+                terms.append(planes(np.diff(number, prepend=0)))
+                counts.append(planes(n))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
+                names=["row", "terms", "counts"],
+            )
+
+    return df.mapInArrow(run, kind)
+
+
+def _having(found: DataFrame, size: int) -> np.ndarray:
+    """In how many rows each of ``size`` terms is."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        having = np.zeros(size, np.int64)
+        for batch in batches:
+            for terms in batch.column("terms"):
+                having[np.cumsum(unplanes(terms.as_py()))] += 1
+        some = np.flatnonzero(having)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(having[some])], names=["term", "n"])
+
+    counted = found.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    got = counted.toArrow()
+    out = np.zeros(size, np.int64)
+    out[got["term"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def telling(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How well terms tell the classes apart: the root of the log-likelihood ratio, 1 where it may be chance.
+
+    ``a`` of the ``n1`` examples and ``b`` of the ``n0`` have the term.
+    """
+    if not n1 or not n0:
+        return np.ones(len(a))
+
+    def part(x, n, both):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1) * (n1 + n0) / (n * np.maximum(both, 1))), 0.0)
+
+    both = a + b
     none = n1 + n0 - both
     g2 = 2 * (part(a, n1, both) + part(b, n0, both) + part(n1 - a, n1, none) + part(n0 - b, n0, none))
-    best = by_term.select("term", g2.alias("g2")).where(F.col("g2") >= LEAST_G2)
-    return sorted(r["term"] for r in best.orderBy(F.desc("g2"), "term").limit(TERMS).collect())
+    return np.where(g2 >= LEAST_G2, np.sqrt(np.maximum(g2, 1)), 1.0)
 
 
 def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(row, score, evidence) of every row of ``df``; ``row`` has all its columns but the text.
 
     At most ``PER_CLASS`` labelled documents of each class, none of them held out, are the
-    examples; their bounded index is what tasks get.  Vectors hold the terms that tell the classes
-    apart, weighed by TF-IDF with document frequencies over all documents.  ``score`` is the
-    calibrated vote of the nearest examples by exact cosine, ``evidence`` the ids of the first five.
-
-    A text without such terms, as an empty or null one, gets the rate of such examples.  Equal
-    texts have equal scores.  With one class alone every score is the smoothed rate.  Texts are
-    read twice (examples, all) and never shuffled.
+    examples; the bounded index of all their terms is what tasks get.  Terms are weighed by TF-IDF
+    with document frequencies over all documents, times how well they tell the classes apart (1 or
+    more, so none is left out).  Other terms of a document are in no example and change no order
+    of its neighbours.  ``score`` is the calibrated vote of the nearest examples by exact cosine,
+    ``evidence`` the ids of the first five.
+
+    A text without terms of the examples, as an empty or null one, gets the rate of examples
+    without terms.  Equal texts have equal scores.  With one class alone every score is the
+    smoothed rate.  Texts are read twice (examples, all) and never shuffled.
     """
     chosen, counts = sample(labels, label, PER_CLASS)
     texts = df.select(C.col(doc_id).cast("long").alias("doc_id"), C.col(text).alias("text"))
     few = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    examples = cut(
-        _terms_of(few.select(F.struct("doc_id", "y").alias("row"), "text"), None), "toxicity-examples"
-    )
-    sizes = {r["y"]: r["n"] for r in examples.groupBy("row.y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    names = _telling(examples, sizes)
-    keep = {w: i for i, w in enumerate(names)}
+    examples = cut(_terms_of(few.select(F.struct("doc_id", "y").alias("row"), "text")), "toxicity-examples")
+    rows = examples.select("row.doc_id", "row.y", "terms", "counts").toArrow().sort_by("doc_id")
+    ids, y = rows["doc_id"].to_pylist(), rows["y"].to_numpy()
+    terms, having = rows["terms"].combine_chunks(), rows["counts"].combine_chunks()
+    length = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = terms.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    # Terms are numbered by how many examples have them, the commonest first.
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size = len(names)
+    order = sorted(range(size), key=lambda k, n=np.bincount(code, minlength=size).tolist(): (-n[k], names[k]))
+    number = np.zeros(size, np.int64)
+    number[order] = np.arange(size)
+    keep = {names[k]: i for i, k in enumerate(order)}
+    code, of = number[code], np.repeat(y, length)
+    sizes = Counter(y.tolist())
+    split = np.cumsum(length)[:-1]
+    vectors = list(
+        zip(ids, y.tolist(), np.split(code, split), np.split(having.flatten().to_numpy(), split), strict=True)
+    ) if ids else []
     found = cut(
-        _terms_of(df.select(C.packed(df.drop(text)), C.col(text).alias("text")), keep), "toxicity-terms"
-    )
-    total = found.count()
-    having = {
-        r["term"]: r["n"]
-        for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-    idf = np.array([math.log((total + 1) / (having.get(i, 0) + 1)) + 1 for i in range(len(names))])
-    mine = F.array(*[F.lit(w) for w in names]) if names else F.array().cast("array<string>")
-    rows = (
-        examples.select(
-            "row.doc_id", "row.y", F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(mine, x["terms"])).alias("x")
-        ).collect()
+        _numbers_of(df.select(C.packed(df.drop(text)), C.col(text).alias("text")), keep), "toxicity-terms"
     )
-    vectors = [
-        (r["doc_id"], r["y"], [keep[x["terms"]] for x in r["x"]], [x["counts"] for x in r["x"]])
-        for r in sorted(rows, key=lambda r: r["doc_id"])
-    ]
-    index = Index(idf, vectors, {y: counts[y] for y in sizes})
+    idf = np.log((found.count() + 1) / (_having(found, size) + 1)) + 1
+    a, b = np.bincount(code[of == 1], minlength=size), np.bincount(code[of == 0], minlength=size)
+    weight = idf * telling(a, b, sizes.get(1, 0), sizes.get(0, 0))
+    index = Index(weight, vectors, {y: counts[y] for y in sizes})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple[float, list[int]]] = {}
+        known: dict[bytes, tuple[float, list[int]]] = {}
         for batch in batches:
             scores, evidence = [], []
             for t, n in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (*t, -1, *n)
+                key = xxhash.xxh3_128_digest(t + n)
                 if key not in known:
                     if len(known) >= CACHE:
                         known.clear()
-                    known[key] = index.score(t, n)
+                    known[key] = index.score(np.cumsum(unplanes(t)), unplanes(n))
                 scores.append(known[key][0])
                 evidence.append(known[key][1])
             yield pa.RecordBatch.from_arrays(
