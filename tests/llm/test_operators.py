@@ -437,6 +437,18 @@ def test_block_max_search_is_exact():
         assert len(scores) == min(toxicity.NEIGHBOURS, sum(float(q @ v) > 0 for v in dense.values()))
 
 
+def test_matrix_search_equals_block_max(monkeypatch):
+    rng = np.random.default_rng(7)
+    draw = lambda n: sorted(rng.choice(90, n, replace=False).tolist())
+    examples = [(i, i % 2, t := draw(rng.integers(0, 9)), [1] * len(t)) for i in range(700)]
+    monkeypatch.setattr(toxicity, "DENSE", 20)
+    index = toxicity.Index(rng.random(90) + 0.5, examples, {0: 350, 1: 350})
+    asked = [index.vector(t := draw(6), [1] * len(t)) for _ in range(100)]
+    for (t, w), (near, cosine) in zip(asked, index.several(asked), strict=True):
+        want = index.nearest(t, w)
+        assert near.tolist() == want[0].tolist() and np.allclose(cosine, want[1])
+
+
 # Pages
 
 
