@@ -471,6 +471,24 @@ def test_markup():
         assert (text if text is not None else extraction.unrepeated(outside, aside, [])) == want
 
 
+def test_attributes_and_names():
+    """Values hold no attributes, only whole names set aside, and no name does with the article in it."""
+    text = "The text of the article is here."
+    for attribute in (
+        'style="overflow:hidden"', 'data-hidden="0"', 'class="post comments-open"', 'class="has-sidebar"',
+        "class='no-sidebar article-header'", 'id="legal"', 'href="?id=search" data-x="a hidden b"', "class=widget",
+    ):
+        for page in (f"<article {attribute}><p>{text}</p></article>", f"<div {attribute}><main><p>{text}</p></main></div>"):
+            assert extraction.parse(page)[0] == text, page
+    for attribute in ('href="/hidden-valley"', 'href="?id=search"', 'id="search"', 'class="has-share"'):
+        assert extraction.parse(f"<article><h2 {attribute}>A</h2>b <a {attribute}>c</a> d</article>")[0] == "A\nb c d"
+    for attribute in ("hidden", 'class="share-box"', 'id="site-footer"', 'aria-hidden="true"', 'role="search"', 'class="x post-comments"'):
+        assert extraction.parse(f"<article><p>a</p><div {attribute}><p>b</p></div></article>")[0] == "a"
+    comments = "<div id='comments'><article class='comment'>first!</article><article class='comment'>second</article></div>"
+    assert extraction.parse(f"<article><p>{text}</p></article>{comments}")[0] == text
+    assert extraction.parse(f"<main><p>a</p><div class='widget'><article>{text}</article></div></main>")[0].endswith(text)
+
+
 def test_extraction(spark):
     notice = "Welcome to our site please accept everything and subscribe to the letter now"
     rows = [(i, f"http://h{i % 2}.example/{i}", f"<div>{notice}</div><p>own text number {i} of the page alone {i * 7}</p>") for i in range(12)]
