@@ -502,6 +502,21 @@ def test_extraction(spark):
     assert all(got[200 + i]["text"] == notice for i in range(5))
 
 
+def test_copies_are_one_page(spark):
+    """Copies on one host keep their text; what stands on three different pages still goes, on every copy."""
+    notice = "Welcome to our site please accept everything and subscribe to the letter now"
+    whole = "<p>a text that stands on every one of many exact copies of one single page</p>"
+    rows = [(i, f"http://a.example/{i}", whole) for i in range(40)] + [(100 + i, "http://a.example/same", whole) for i in range(3)]
+    rows += [(200 + i, f"http://b.example/{i}", f"<div>{notice}</div><p>{i % 4} is the number of this page</p>") for i in range(12)]
+    rows += [(300 + i, f"http://c.example/{i}", f"<div>{notice}</div><p>{i % 2} is the number of this page</p>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in extraction.extract(df).collect()}
+    assert len(got) == len(rows)
+    assert all(t == whole[3:-4] for i, t in got.items() if i < 200)
+    assert all(got[200 + i] == f"{i % 4} is the number of this page" for i in range(12))
+    assert all(got[300 + i] == f"{notice}\n{i % 2} is the number of this page" for i in range(12))
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(0)
     stream = rng.integers(0, 3, 200).astype(np.uint64)
