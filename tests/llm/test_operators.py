@@ -558,6 +558,41 @@ def test_pii(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def iban(country, bban):
+    return f"{country}{98 - int(''.join(str(int(c, 36)) for c in bban + country + '00')) % 97:02}{bban}"
+
+
+def test_ibans_and_phones_abroad(spark):
+    """Letters stand anywhere in an IBAN; of it and of a phone number all that tells the holder changes."""
+    bbans = [
+        ("MT", "MALT011000012345MTLCAST001S"), ("MU", "BOMM0101101030300200000MUR"), ("BR", "00360305000010009795493C1"),
+        ("SC", "SSCB11010000000000001497USD"), ("DE", "370400440532013000"), ("FR", "20041010050500013M02606"),
+        ("GB", "WEST12345698765432"), ("NO", "86011117947"),
+    ]
+    plain = [iban(*x) for x in bbans]
+    rows = [(i, f"to {x}, or {' '.join(x[k : k + 4] for k in range(0, len(x), 4))}.") for i, x in enumerate(plain)]
+    numbers = ["+49 30 1234 5678", "+44 20-7946-0958", "+353 86 123 4567", "+39 06 698 1234", "+7 495 123 45 67", "+36 (20) 555 1234"]
+    rows += [(100 + i, f"call {x} now") for i, x in enumerate(numbers)]
+    rows += [(1000 + i, iban("DE", f"{i:018}")) for i in range(500)] + [(2000 + i, f"+49 30 1234 {i:04}") for i in range(500)]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    form = lambda x: re.sub("[0-9]", "0", re.sub("[A-Z]", "A", x))
+    same = lambda x, y: sum(a == b for a, b in zip(x, y, strict=True)) / len(x)
+    for i, x in enumerate(plain):
+        m = re.fullmatch(r"to (\w+), or ([\w ]+)\.", got[i])
+        assert m[1] == m[2].replace(" ", "") and len(got[i]) == len(rows[i][1]) and form(m[1]) == form(x)
+        assert m[1] == iban(m[1][:2], m[1][4:]) and m[1][:2] == x[:2]
+        skip = 8 if x[4:8].isalpha() else 4
+        assert same(m[1][skip:], x[skip:]) < 0.5 and m[1][-6:] != x[-6:] and m[1][skip : skip + 6] != x[skip : skip + 6]
+    for i, x in enumerate(numbers):
+        new, code = got[100 + i][5:-4], [2, 2, 3, 2, 1, 2][i] + 1
+        assert form(new) == form(x) and new[:code] == x[:code] and same(new[code:], x[code:]) < 0.75
+        old, new = (re.sub(r"\D", "", y[code:]) for y in (x, new))
+        assert old[: len(old) // 2] != new[: len(old) // 2] and (old[0] == "0") == (new[0] == "0")
+    for at in (1000, 2000):
+        assert len({got[at + i] for i in range(500)}) == 500
+    assert sum(got[2000 + i].startswith("+49 30 1234") for i in range(500)) < 5
+
+
 def test_whole_secrets(spark):
     """Values of any length go to their end, wherever their digits are; a scan stays linear."""
     long = "Aa" * 150 + "7" + "Bb" * 400

@@ -58,6 +58,30 @@ def feistel(kind: str, left: str, right: str, a: str, b: str, key: str) -> str:
     )
 
 
+def string_feistel(kind: str, value: str, key: str) -> str:
+    """SQL: a keyed permutation of strings of one form: digits become digits and A to Z letters.
+
+    As ``feistel``, with each half a number of mixed radix: its characters are shifted one by one,
+    modulo 10 or 26, by four digits each of a keyed hash of the other half.  At most 32 characters.
+    """
+    def shifted(half: str, other: str) -> str:
+        char, hashed = f"substr(s.{half}, p, 1)", f"sha2(concat('{key}|{kind}|', i, '|', s.{other}), 256)"
+        by = "cast(conv(substr(<hash>, 4 * p - 3, 4), 16, 10) as int)"
+        each = (
+            f"if({char} between '0' and '9', cast((cast({char} as int) + {by}) % 10 as string), "
+            f"if({char} between 'A' and 'Z', chr(65 + (ascii({char}) - 65 + {by}) % 26), {char}))"
+        )
+        moved = f"array_join(transform(sequence(1, length(s.{half})), p -> {each}), '')"
+        return _with({"hash": hashed}, moved)
+
+    k = f"cast(length({value}) div 2 as int)"
+    halves = (
+        f"aggregate(sequence(1, {ROUNDS}), named_struct('l', substr({value}, 1, {k}), 'r', substr({value}, {k} + 1)),"
+        f" (s, i) -> named_struct('l', if(i % 2 = 1, {shifted('l', 'r')}, s.l), 'r', if(i % 2 = 0, {shifted('r', 'l')}, s.r)))"
+    )
+    return _with({"halves": halves}, "concat(<halves>.l, <halves>.r)")
+
+
 def _with(values: dict[str, str], then: str) -> str:
     """SQL ``let``: ``then`` sees each value under its name, computed once."""
     fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
@@ -132,9 +156,16 @@ def pseudonym(key: str) -> str:
     us_any = f"concat(substr({d}, 1, length({d}) - 10), " + _two(
         "usany", f"substr({national}, 1, 3)", f"substr({national}, 4, 7)", "10", "3", key
     ) + ")"
-    abroad = f"concat(substr({d}, 1, length({d}) - 6), " + _two(
-        "abroad", f"substr({d}, length({d}) - 5, 3)", f"right({d}, 3)", "6", "3", key
-    ) + ")"
+    # The country's code stays, and a first digit that isn't 0 isn't 0 afterwards.
+    code = f"case when {d} like '7%' then 1 when {d} rlike '^(2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])' then 2 else 3 end"
+    k = "cast(length(<nat>) div 2 as int)"
+    unit, lead = f"cast(power(10, {k} - 1) as bigint)", "if(<nat> like '0%', 0, 1)"
+    moved = feistel(
+        "abroad", f"cast(substr(<nat>, 1, {k}) as bigint) - {lead} * {unit}", f"substr(<nat>, {k} + 1)",
+        f"if(<nat> like '0%', 1, 9) * {unit}", f"cast(power(10, length(<nat>) - {k}) as bigint)", key,
+    )
+    moved = _with({"moved": moved}, f"concat(lpad(<moved>.l + {lead} * {unit}, {k}, '0'), lpad(<moved>.r, length(<nat>) - {k}, '0'))")
+    abroad = _with({"code": code}, f"concat(substr({d}, 1, <code>), " + _with({"nat": f"substr({d}, <code> + 1)"}, moved) + ")")
     body = _two(
         "card", f"substr({d}, 2, 6)", f"substr({d}, 8, length({d}) - 8)", f"(length({d}) - 2)", "6", key
     )
@@ -150,8 +181,11 @@ def pseudonym(key: str) -> str:
             "if(c between 'A' and 'Z', (r * 100 + ascii(c) - 55) % 97, r)))"
         )
 
-    tail = _two("iban", f"substr({plain}, length({plain}) - 5, 3)", f"right({plain}, 3)", "6", "3", key)
-    iban_body = f"concat(substr({plain}, 5, length({plain}) - 10), {tail})"
+    # Four letters in front name the bank and stay.
+    bank = f"regexp_extract({plain}, '^.{{4}}([A-Z]{{4}})', 1)"
+    iban_body = _with(
+        {"bank": bank}, f"concat(<bank>, {_with({'account': f'substr({plain}, 5 + length(<bank>))'}, string_feistel('iban', '<account>', key))})"
+    )
     iban = _with(
         {"bban": iban_body},
         "concat(substr(m, 1, 2), lpad(98 - "
@@ -192,7 +226,7 @@ def pseudonym(key: str) -> str:
       when {_is(SSN)} then if({area} not in ('000', '666') and {area} < '900' and {group} <> '00' and {serial} <> '0000', {ssn}, m)
       when {_is(US_PHONE)} then {_with({'usd': f"if(substr({national}, 1, 1) >= '2' and substr({national}, 4, 1) >= '2', {us_digits}, {us_any})"}, _filled('<usd>'))}
       when {_is(PHONE)} then if(length({d}) between 8 and 15, {_with({'abd': abroad}, _filled('<abd>'))}, m)
-      when {_is(IBAN)} then if(length({plain}) between 15 and 34 and right({plain}, 6) rlike '^[0-9]+$'
+      when {_is(IBAN)} then if(length({plain}) between 15 and 34
         and {mod97(f"concat(substr({plain}, 5), substr({plain}, 1, 4))")} = 1, {spaced}, m)
       when {_is(CARD)} then if(luhn_check({d}), {_with({'cd': card}, _filled('<cd>'))}, m)
       else m end"""
@@ -203,7 +237,8 @@ def pseudonymize(df: DataFrame, text: str = "text", key: str = DEMO_KEY, count:
 
     Replaced are mail addresses, IPv4 addresses, card numbers (Luhn), IBANs (mod 97), social
     security and phone numbers, dates, access keys and passwords or tokens that are assigned.
-    Numbers and dates go through a keyed Feistel permutation inside their format: valid stays
+    Numbers and dates go through a keyed Feistel permutation inside their format (of a phone number
+    all but the country's code, of an IBAN all but the country and four letters of a bank): valid stays
     valid, separators stay, equal values stay equal in all documents and different ones different.
     Addresses and secrets have no format to permute in; they become a keyed hash.  A number that
     fails its check isn't of the kind and stays as it is, but for phone numbers outside the US plan.
