@@ -24,8 +24,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id."""
-    return neardup.keep_one(docs)
+    """One document of each group of near duplicates (0.8 alike or more), that of the smallest doc_id."""
+    return neardup.keep_one(docs, percent=80)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

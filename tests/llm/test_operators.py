@@ -646,6 +646,25 @@ def test_same_id_is_one_document(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_pipeline_joins_copies_at_80(spark):
+    """Copies from 0.80 to under 0.85 alike go in the stage, and stay in op9's 85."""
+    import corpus_pipeline
+
+    assert neardup.collections_for(85) == 8 and neardup.collections_for(80) == 10
+    rng = random.Random(17)
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(184)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:164], *(f"x{rng.randrange(10**6)}" for _ in range(17))]))]
+    sets = shingle_sets(rows)
+    alike = [len(p & q) / len(p | q) for (_, p), (_, q) in zip(sets[::2], sets[1::2], strict=True)]
+    assert all(0.8 <= x < 0.85 for x in alike)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == list(range(600))
+    kept = {r["doc_id"] for r in corpus_pipeline.unlike(spark, df, SMALL).collect()}
+    assert kept >= set(range(0, 600, 2)) and len(kept) <= 300 + 300 * 0.02
+
+
 def test_pipeline(spark):
     """Every stage against brute force on what the one before it kept."""
     import corpus_pipeline

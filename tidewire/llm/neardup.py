@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,10 @@ from tidewire.llm import common as C
 from tidewire.operators.components import components
 from tidewire.session import cut
 
-# Collections of so many minhashes each; every pair of collections is one table.
+# Collections of so many minhashes each; every pair of collections is one table.  There are more
+# collections where it takes more to find a pair at the threshold with at least this probability.
 COLLECTIONS, PER_COLLECTION = 8, 3
-HASHES = COLLECTIONS * PER_COLLECTION
+FOUND = 0.99
 # Members of a crowded key that are compared in one task, and shingles that are looked at at once.
 BLOCK = 256
 COLUMNS = 8192
@@ -33,7 +35,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_SEEDS = mix(np.arange(1, HASHES + 1, dtype=_U) * _ODD[0])[:, None]
+@cache
+def _seeds(hashes: int) -> np.ndarray:
+    return mix(np.arange(1, hashes + 1, dtype=_U) * _ODD[0])[:, None]
+
+
+def collections_for(percent: int) -> int:
+    """The collections with which a pair that shares ``percent`` has two of them in common, mostly."""
+    alike, n = max(percent / 100, 0.2) ** PER_COLLECTION, COLLECTIONS
+    while (1 - alike) ** n + n * alike * (1 - alike) ** (n - 1) > 1 - FOUND:
+        n += 1
+    return n
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -55,18 +67,18 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def minhashes(s: np.ndarray) -> np.ndarray:
-    """The smallest of each of ``HASHES`` permutations; ``s`` isn't empty."""
-    least = np.full(HASHES, np.iinfo(_U).max, _U)
+def minhashes(s: np.ndarray, hashes: int) -> np.ndarray:
+    """The smallest of each of ``hashes`` permutations; ``s`` isn't empty."""
+    least = np.full(hashes, np.iinfo(_U).max, _U)
     for at in range(0, len(s), 4096):
-        x = (s[None, at : at + 4096] ^ _SEEDS) * _ODD[1]
+        x = (s[None, at : at + 4096] ^ _seeds(hashes)) * _ODD[1]
         least = np.minimum(least, (x ^ (x >> _U(32))).min(axis=1))
     return least
 
 
 def collection_keys(least: np.ndarray) -> np.ndarray:
     """One key for each collection, out of its minhashes."""
-    return mix((least.reshape(COLLECTIONS, PER_COLLECTION) * _ODD[:PER_COLLECTION]).sum(axis=1, dtype=_U))
+    return mix((least.reshape(-1, PER_COLLECTION) * _ODD[:PER_COLLECTION]).sum(axis=1, dtype=_U))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -78,7 +90,7 @@ def _parts(batch: pa.RecordBatch, size: int = 1000) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, size)
 
 
-def signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def signatures(batches: Iterable[pa.RecordBatch], collections: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n, cls, halves): set size, set digest, the collections' keys."""
     for whole in batches:
         for batch in _parts(whole):
@@ -87,7 +99,7 @@ def signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = shingles(text.as_py())
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                halves.append(_signed(collection_keys(minhashes(s))) if len(s) else None)
+                halves.append(_signed(collection_keys(minhashes(s, collections * PER_COLLECTION))) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -189,7 +201,8 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     what links reach, and its smallest doc_id is kept.  Equal sets are one class and meet once.
     Classes that share a table key are candidates: 28 keys are formed from the pairs of 8
     collections of 3 minhashes, so 24 minhashes do the work of 168.  At 0.85 a pair shares a key
-    with probability 0.993, at 0.9 with 0.9995.  Only collections whose key another class has too
+    with probability 0.993, at 0.9 with 0.9995.  A lower ``percent`` has more collections, so that at
+    it a pair still shares a key with 0.99 (at 0.8: 45 keys of 10 collections).  Only collections whose key another class has too
     are paired, so texts like no other take no part in the tables.
 
     First every class is held against the smallest of each of its keys.  Then, in the keys whose
@@ -199,9 +212,10 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     Null and empty texts have no shingles and are linked with nothing.  Rows without a doc_id take
     no part: their component is null and they are kept.  Rows that share a doc_id are one document.
     """
+    collections = collections_for(percent)
     rows = cut(
         df.select(C.col(doc_id).cast("long").alias("doc_id"), C.col(text).alias("text")).mapInArrow(
-            signatures, "doc_id long, n long, cls binary, halves array<long>"
+            lambda batches: signatures(batches, collections), "doc_id long, n long, cls binary, halves array<long>"
         ),
         "neardup-rows",
     )
