@@ -91,25 +91,37 @@ class Index:
         """``examples``: (id, label, terms, frequencies); ``counts``: all labelled rows by class."""
         self.idf = idf
         # Examples with the same leading terms share blocks, which keeps the bounds tight.
-        vectors = [(i, y, *self.vector(t, n)) for i, y, t, n in examples]
-        vectors.sort(key=lambda v: (v[2][np.lexsort((v[2], -v[3]))[:LEADING]].tolist(), v[0]))
-        self.ids = np.array([v[0] for v in vectors], np.int64)
-        self.y = np.array([v[1] for v in vectors], float)
+        keys = []
+        for k, (i, _, terms, n) in enumerate(examples):
+            t, w = self.vector(terms, n)
+            keys.append((t[np.lexsort((t, -w))[:LEADING]].tolist(), i, k))
+        examples = [examples[k] for _, _, k in sorted(keys)]
+        del keys
+        self.ids = np.array([x[0] for x in examples], np.int64)
+        self.y = np.array([x[1] for x in examples], float)
         sampled = Counter(self.y.tolist())
         self.importance = np.array([counts.get(int(y), 1) / sampled[y] for y in self.y])
         self.prior = min(max((counts.get(1, 0) + 1) / (sum(counts.values()) + 2), 0.001), 0.999)
-        self.blocks = -(-len(vectors) // BLOCK)
-        sizes = [len(v[2]) for v in vectors]
-        term = np.concatenate([np.zeros(0, np.int64), *[v[2] for v in vectors]])
-        example = np.repeat(np.arange(len(vectors), dtype=np.int32), sizes)
-        order = np.argsort(term, kind="stable")
-        term, self.example = term[order], example[order]
-        self.weight = np.concatenate([np.zeros(0), *[v[3] for v in vectors]])[order]
-        cell, first = np.unique(term * max(self.blocks, 1) + self.example // BLOCK, return_index=True)
-        self.first = np.append(first, len(term)).astype(np.int64)
+        self.blocks = -(-len(examples) // BLOCK)
+        sizes = [len(x[2]) for x in examples]
+        term = np.concatenate([np.zeros(0, np.int32), *[np.asarray(x[2], np.int32) for x in examples]])
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        term = term[order]
+        self.example = np.repeat(np.arange(len(examples), dtype=np.int32), sizes)[order]
+        count = np.concatenate([np.zeros(0, np.int32), *[np.asarray(x[3], np.int32) for x in examples]])[order]
+        self.count = count.astype(np.min_scalar_type(count.max(initial=0)))
+        del order, count
+        self.begin = np.searchsorted(term, np.arange(len(idf) + 1))
+        self.norm = np.array([self.length(x[2], x[3]) for x in examples])
+        self.weight = self.weights()
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (self.example[1:] // BLOCK != self.example[:-1] // BLOCK)
+        first = np.flatnonzero(new)
+        self.first = np.append(first, len(term))
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.block = (cell % max(self.blocks, 1)).astype(np.int32)
-        self.cells = np.searchsorted(cell, np.arange(len(idf) + 1) * max(self.blocks, 1))
+        self.block = self.example[first] // BLOCK
+        self.cells = np.searchsorted(first, self.begin)
+        del term, new, first
         self.empty = self.prior
         bare = np.array([not n for n in sizes], bool)
         if bare.any():
@@ -119,14 +131,36 @@ class Index:
         tried = np.flatnonzero(~bare)
         tried = tried[:: max(1, -(-len(tried) // CALIBRATED))]
         if len(tried) and 0 < self.y[tried].mean() < 1:
-            votes = np.array([self.vote(vectors[e][2], vectors[e][3], skip=e)[0] for e in tried])
+            votes = np.array([self.vote(*self.vector(*examples[e][2:]), skip=e)[0] for e in tried])
             weight = self.importance[tried] / self.importance[tried].mean()
             self.slope, self.shift = logistic(np.log(votes / (1 - votes))[:, None], self.y[tried], weight, ridge=0.1)
 
+    def __getstate__(self) -> dict:
+        """What ``score`` needs: tasks get counts, not weights, and no bounds."""
+        left_out = ("weight", "first", "most", "block", "cells", "dense")
+        out = {k: v for k, v in self.__dict__.items() if k not in left_out}
+        return out | {"example": self.example.astype(np.min_scalar_type(max(len(self.ids), 1)))}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.example = self.example.astype(np.int32)
+        self.weight = self.weights()
+
+    def weights(self) -> np.ndarray:
+        """Of the postings."""
+        out = (1 + np.log(self.count.astype(float))) * np.repeat(self.idf, np.diff(self.begin))
+        out /= self.norm[self.example]
+        return out
+
+    def raw(self, terms: list[int], counts: list[int]) -> np.ndarray:
+        return (1 + np.log(np.asarray(counts, float))) * self.idf[np.asarray(terms, np.int32)]
+
+    def length(self, terms: list[int], counts: list[int]) -> float:
+        w = self.raw(terms, counts)
+        return max(math.sqrt(float(w @ w)), 1e-12)
+
     def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.asarray(terms, np.int64)
-        w = (1 + np.log(np.asarray(counts, float))) * self.idf[t] if len(t) else np.zeros(0)
-        return t, w / max(math.sqrt(float(w @ w)), 1e-12)
+        return np.asarray(terms, np.int32), self.raw(terms, counts) / self.length(terms, counts)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The examples of largest cosine, equal ones by their place, and the cosines."""
@@ -155,8 +189,7 @@ class Index:
     @cached_property
     def dense(self) -> tuple[np.ndarray, np.ndarray]:
         """The row of each common term (-1 of others), and their weights by example."""
-        begin = self.first[self.cells]
-        many = np.diff(begin)
+        begin, many = self.begin, np.diff(self.begin)
         common = np.argsort(-many, kind="stable")[:DENSE]
         row = np.full(len(many), -1)
         row[common] = np.arange(len(common))
@@ -177,7 +210,7 @@ class Index:
                 common[i, row[t[held]]] = w[held]
             for total, (t, w) in zip(common @ matrix, part, strict=True):
                 rare = row[t] < 0
-                at, many = runs(self.first[self.cells[t[rare]]], self.first[self.cells[t[rare] + 1]])
+                at, many = runs(self.begin[t[rare]], self.begin[t[rare] + 1])
                 total += np.bincount(self.example[at], self.weight[at] * np.repeat(w[rare], many), len(total))
                 least = max(np.partition(total, -NEIGHBOURS)[-NEIGHBOURS] - 1e-9, 0) if len(total) > NEIGHBOURS else 0
                 ex = np.flatnonzero((total >= least) & (total > 0))
@@ -326,15 +359,16 @@ def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     coded = terms.flatten().dictionary_encode()
     names = coded.dictionary.to_pylist()
     # Terms are numbered by how many examples have them, the commonest first.
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    code = coded.indices.to_numpy(zero_copy_only=False)
     size = len(names)
     order = sorted(range(size), key=lambda k, n=np.bincount(code, minlength=size).tolist(): (-n[k], names[k]))
-    number = np.zeros(size, np.int64)
+    number = np.zeros(size, np.int32)
     number[order] = np.arange(size)
     keep = {names[k]: i for i, k in enumerate(order)}
     code, of = number[code], np.repeat(y, length)
     sizes = Counter(y.tolist())
     split = np.cumsum(length)[:-1]
+    del rows, terms, coded, names, order
     vectors = list(
         zip(ids, y.tolist(), np.split(code, split), np.split(having.flatten().to_numpy(), split), strict=True)
     ) if ids else []
@@ -344,7 +378,9 @@ def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     idf = np.log((found.count() + 1) / (_having(found, size) + 1)) + 1
     a, b = np.bincount(code[of == 1], minlength=size), np.bincount(code[of == 0], minlength=size)
     weight = idf * telling(a, b, sizes.get(1, 0), sizes.get(0, 0))
+    del of
     index = Index(weight, vectors, {y: counts[y] for y in sizes})
+    del vectors, code, having
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[float, list[int]]] = {}
