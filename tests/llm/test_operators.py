@@ -646,10 +646,8 @@ def test_same_id_is_one_document(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
-def test_pipeline_joins_copies_at_80(spark):
-    """Copies from 0.80 to under 0.85 alike go in the stage, and stay in op9's 85."""
-    import corpus_pipeline
-
+def test_copies_are_found_at_80(spark):
+    """Copies from 0.80 to under 0.85 alike go at 80 percent, and stay at op9's 85."""
     assert neardup.collections_for(85) == 8 and neardup.collections_for(80) == 10
     rng = random.Random(17)
     rows = []
@@ -661,7 +659,7 @@ def test_pipeline_joins_copies_at_80(spark):
     assert all(0.8 <= x < 0.85 for x in alike)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == list(range(600))
-    kept = {r["doc_id"] for r in corpus_pipeline.unlike(spark, df, SMALL).collect()}
+    kept = {r["doc_id"] for r in neardup.keep_one(df, percent=80).collect()}
     assert kept >= set(range(0, 600, 2)) and len(kept) <= 300 + 300 * 0.02
 
 
