@@ -10,6 +10,7 @@ from tidewire.llm import (
     extraction,
     lattice,
     learning,
+    merkle,
     mixing,
     neardup,
     packing,
@@ -19,6 +20,7 @@ from tidewire.llm import (
     sharding,
     sql,
     toxicity,
+    whitening,
 )
 from tidewire.session import cut
 
@@ -113,6 +115,42 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.pseudonymize(docs, "text", pii.DEMO_KEY, count="n_replaced")
 
 
+@register
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    rows = C.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows, "embedding").select(
+        "row.vec_id",
+        "component",
+        "n",
+        F.expr("try_cast(deviation as bigint)").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+    )
+
+
+@register
+def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    docs = C.table(spark, sf, "documents")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    leaves = docs.select(
+        "doc_id",
+        "source",
+        merkle.leaf(*head, F.col("text")).alias("leaf"),
+        F.when(tampered.isNotNull(), merkle.leaf(*head, tampered)).alias("tampered"),
+    )
+    proven = merkle.manifest(leaves, "source", "doc_id", "leaf")
+    return proven.select(
+        "row.doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.joined(merkle.siblings(F.col("proof"))).alias("proof_sha256"),
+        merkle.fold(F.coalesce("row.tampered", "leaf"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 @register
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
