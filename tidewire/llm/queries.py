@@ -16,6 +16,7 @@ from tidewire.llm import (
     packing,
     pii,
     quality,
+    repeats,
     rules,
     sharding,
     sql,
@@ -115,6 +116,18 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.pseudonymize(docs, "text", pii.DEMO_KEY, count="n_replaced")
 
 
+@register
+def op11_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    docs = C.table(spark, sf, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs).select(
+        "row.doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @register
 def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
     rows = C.table(spark, sf, "embeddings").select("vec_id", "embedding")
