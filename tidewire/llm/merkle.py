@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -164,11 +165,11 @@ def _by_digit(x: Column, y: Column) -> Column:
     return (x["digit"] - y["digit"]).cast("int")
 
 
-def trees(leaves: DataFrame, fanout: int = FANOUT, height: int = HEIGHT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(rows, tops, below)`` of leaves (tree, o, leaf, row).
+def trees(leaves: DataFrame, fanout: int = FANOUT, height: int = HEIGHT) -> tuple[DataFrame, Callable]:
+    """``(tops, below)`` of leaves (tree, o, leaf, row).
 
-    ``rows`` has the leaves dealt to partitions, ``tops`` (tree, part, digest, up) what each partition
-    knows after the exchange, and ``below(rows, tops)`` joins both to (row, tree, leaf, digest, proof).
+    ``tops`` (tree, part, digest, up) is what each partition knows after the exchange, and
+    ``below(tops)`` joins it, with any other columns it has got, to (row, tree, leaf, digest, proof).
     """
     span = fanout**height
     part = F.floor(F.col("pos") / span).cast("long")
@@ -201,16 +202,19 @@ def trees(leaves: DataFrame, fanout: int = FANOUT, height: int = HEIGHT) -> tupl
         mine = pa.array(np.repeat(np.arange(len(runs)), [b - a for a, b in runs]), pa.int64())
         local = pa.chunked_array(proofs, pa.list_(pa.list_(pa.string())))
         out = table.select(["row", "tree", "leaf"]).append_column("local", local)
-        for name in ("digest", "up"):
-            out = out.append_column(name, tops.column(name).combine_chunks().take(mine))
+        for name in tops.column_names:
+            if name not in ("tree", "part", "bundle"):
+                out = out.append_column(name, tops.column(name).combine_chunks().take(mine))
         return out
 
     def below(tops: DataFrame) -> DataFrame:
         keyed = rows.withColumn("bundle", bundle).groupBy("bundle")
+        own = [f for f in tops.schema if f.name not in ("tree", "part")]
+        shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
         out = keyed.cogroup(tops.withColumn("bundle", bundle).groupBy("bundle")).applyInArrow(
-            proven, f"row {row_type}, tree string, leaf string, local {PROOF}, digest string, up {PROOF}"
+            proven, f"row {row_type}, tree string, leaf string, local {PROOF}, {shape}"
         )
-        return out.select("row", "tree", "leaf", "digest", F.concat("local", "up").alias("proof"))
+        return out.withColumn("proof", F.concat("local", "up")).drop("local", "up")
 
     return tops, below
 
@@ -244,15 +248,7 @@ def manifest(
     crowns = cut(
         above(over).select(F.col("row.tree").alias("tree"), F.col("digest").alias("root"), "proof"), "merkle-crowns"
     )
-    whole = tops.join(crowns, "tree").select(
-        "tree", "part", F.struct("digest", "root").alias("digest"), F.concat("up", "proof").alias("up")
-    )
-    # Both digests travel as one text through the last pass.
-    whole = cut(whole.withColumn("digest", F.concat("digest.digest", "digest.root")), "merkle-tops")
-    return below(whole).select(
-        "row",
-        "leaf",
-        F.substring("digest", 1, 64).alias("subroot"),
-        F.substring("digest", 65, 64).alias("root"),
-        "proof",
+    whole = tops.join(crowns, "tree").select("tree", "part", "digest", "root", F.concat("up", "proof").alias("up"))
+    return below(cut(whole, "merkle-tops")).select(
+        "row", "leaf", F.col("digest").alias("subroot"), "root", "proof"
     )

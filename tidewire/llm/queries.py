@@ -26,7 +26,13 @@ from tidewire.llm import (
 from tidewire.session import cut
 
 QUERIES = {}
-ORACLES: dict[str, str] = {"op4_rules": sql.RULES, "op8_lattice": sql.LATTICE, "op9_minhash": sql.NEARDUP}
+ORACLES: dict[str, str] = {
+    "op4_rules": sql.RULES,
+    "op8_lattice": sql.LATTICE,
+    "op9_minhash": sql.NEARDUP,
+    "op11_repeats": sql.REPEATS,
+    "op13_merkle": sql.MERKLE,
+}
 
 
 def register(fn):

@@ -22,6 +22,12 @@ SLICE, CHUNK = 1_000_000, 8_000_000
 # Contexts that are handed to one task, sorted at once, and that may share one key.
 BUNDLE, SORTED, CROWD = 1 << 14, 1 << 12, 1 << 10
 
+KINDS = "a long, t long, pos int, left int, size int, key long, ctx binary"
+CONTEXTS = pa.schema(
+    [("a", pa.int64()), ("t", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("size", pa.int32())]
+    + [("key", pa.int64()), ("ctx", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())]
+)
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -83,8 +89,8 @@ def _runs(changes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_sort(h: Prefixes, at: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes ``at`` by group and their first ``most`` bytes, and which of them equal
-    the one before.
+    """Order of the suffixes ``at`` by group and their first ``most`` bytes, and how many bytes each has
+    in common with the one before it (-1 for the first of a group).
 
     A mergesort from the bottom up, of all groups at once: every suffix looks up its place in the
     run beside its own by binary search.  Hashes may collide, so every two neighbours are compared by
@@ -112,18 +118,19 @@ def suffix_sort(h: Prefixes, at: np.ndarray, group: np.ndarray, most: int) -> tu
         merged[moved] = order
         order = merged
         width *= 2
-    equal = proven(h, at[order], group[order], most)
-    if equal is None:
+    common = proven(h, at[order], group[order], most)
+    if common is None:
         raw = h.flat.tobytes()
         keys = [(g, raw[p : p + most]) for g, p in zip(group.tolist(), at.tolist(), strict=True)]
         order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
-        equal = np.array([False] + [keys[x] == keys[y] for x, y in zip(order[:-1], order[1:], strict=True)])
-    return order, equal
+        common = proven(h, at[order], group[order], most)
+    return order, common
 
 
 def proven(h: Prefixes, at: np.ndarray, group: np.ndarray, most: int, rows: int = 1 << 15) -> np.ndarray | None:
-    """Which suffixes equal the one before, by their bytes; None if one sorts before its predecessor."""
-    equal = np.zeros(len(at), bool)
+    """How many bytes each suffix has in common with the one before, by the bytes themselves; None if
+    one sorts before its predecessor."""
+    common = np.full(len(at), -1)
     same = np.flatnonzero(group[1:] == group[:-1])
     for part in range(0, len(same), rows):
         i = same[part : part + rows]
@@ -135,8 +142,8 @@ def proven(h: Prefixes, at: np.ndarray, group: np.ndarray, most: int, rows: int
         k = np.arange(len(i))
         if not (alike | (x[k, where] < y[k, where])).all():
             return None
-        equal[i + 1] = alike
-    return equal
+        common[i + 1] = np.where(alike, most, where)
+    return common
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -279,51 +286,83 @@ def stretches(a, t, start, size) -> tuple[np.ndarray, ...]:
     return a[first], t[first], start[first], (reach - doc * top)[last] - start[first]
 
 
+def spread_out(ctx: list[bytes], left: np.ndarray, before: int, behind: int) -> np.ndarray:
+    """Contexts as rows of a matrix, their anchors in one column.  The rest holds a byte that UTF-8 has not."""
+    size = np.array([len(c) for c in ctx], np.int64)
+    flat = np.frombuffer(b"".join(ctx), np.uint8)
+    column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size + left - before, size)
+    out = np.full((len(ctx), before + behind), 0xFF, np.uint8)
+    out[np.repeat(np.arange(len(ctx)), size), column] = flat
+    return out
+
+
+def shared_windows(grid: np.ndarray, before: int, group: np.ndarray, least: np.ndarray, most: np.ndarray, length: int):
+    """(row, away): the windows, beginning ``away`` bytes before the anchor, that an earlier row of the
+    group has too.  A row's windows begin from ``least`` to ``most`` bytes before its anchor.
+
+    Rows are sorted by what follows the anchor and by what precedes it, read backwards.  Two windows
+    are equal if so much is common on both sides, so the classes that common extensions of neighbours
+    leave, on either side, tell which.
+    """
+    rows, behind = len(grid), grid.shape[1] - before
+    sides = []
+    for part, size in ((grid[:, before:], behind), (grid[:, :before][:, ::-1], before)):
+        flat = np.ascontiguousarray(part).ravel()
+        order, common = suffix_sort(Prefixes(flat), np.arange(rows) * size, group, size)
+        rank = np.empty(rows, np.int64)
+        rank[order] = np.arange(rows)
+        widest = np.maximum(common, np.append(common[1:], -1))
+        sides.append((common, rank, widest[rank]))
+    (right, at_right, most_right), (left, at_left, most_left) = sides
+    least, most = np.maximum(least, length - most_right), np.minimum(most, most_left)
+    out_row, out_away = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for away in range(int(least.min(initial=length)), int(most.max(initial=-1)) + 1):
+        here = np.flatnonzero((least <= away) & (away <= most))
+        if not len(here):
+            continue
+        after = np.cumsum(right < length - away)[at_right[here]]
+        ahead = np.cumsum(left < away)[at_left[here]]
+        _, first, of = np.unique(after * (rows + 1) + ahead, return_index=True, return_inverse=True)
+        again = here[here != here[first][of]]
+        out_row.append(again)
+        out_away.append(np.full(len(again), away))
+    return np.concatenate(out_row), np.concatenate(out_away)
+
+
 def repeated(table: pa.Table, length: int) -> pa.Table:
     """Contexts of some keys to (a, t, pos, size): what windows around an anchor repeat of earlier ones."""
-    table = table.sort_by("key")
+    a, t, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "t", "pos"))
+    # In the order of documents and places; repeated rows share a turn.
+    order = np.lexsort((pos, t, a))
+    table = table.take(pa.array(order))
     a, t, pos, left, lo, hi, key = (
         table.column(c).to_numpy().astype(np.int64) for c in ("a", "t", "pos", "left", "lo", "hi", "key")
     )
     ctx = table.column("ctx").to_pylist()
     size = np.array([len(c) for c in ctx], np.int64)
     least, most = np.maximum(lo, length - (size - left)), np.minimum(hi, left)
-    # The turn of each anchor in the order of documents and places; repeated rows share one.
-    order = np.lexsort((pos, t, a))
-    new = (np.diff(a[order]) != 0) | (np.diff(t[order]) != 0) | (np.diff(pos[order]) != 0)
-    turn = np.empty(len(a), np.int64)
-    turn[order] = np.concatenate([[0], np.cumsum(new)]) if len(a) else []
+    turn = np.cumsum(np.append(0, (np.diff(a) != 0) | (np.diff(t) != 0) | (np.diff(pos) != 0)))[: len(a)]
     nearest, farthest = np.full(len(a), length), np.full(len(a), -1)
     # Equal contexts: the earliest stands for all, the others repeat it whole.
     leader: dict[tuple, int] = {}
-    for i in order.tolist():
-        j = leader.setdefault((key[i], lo[i], left[i], ctx[i]), i)
-        if turn[i] != turn[j]:
-            nearest[i], farthest[i] = least[i], most[i]
-    mine = np.sort(np.fromiter(leader.values(), np.int64, len(leader)))
+    names = zip(key.tolist(), lo.tolist(), left.tolist(), ctx, strict=True)
+    lead = np.fromiter((leader.setdefault(name, i) for i, name in enumerate(names)), np.int64, len(a))
+    later = turn != turn[lead]
+    nearest[later], farthest[later] = least[later], most[later]
+    mine = np.flatnonzero(lead == np.arange(len(a)))
+    mine = mine[np.argsort(key[mine], kind="stable")]
     starts, sizes = _runs(np.diff(key[mine]) != 0) if len(mine) else (np.zeros(0, int), np.zeros(0, int))
     several = np.repeat(sizes > 1, sizes)
     mine, of = mine[several], np.repeat(np.arange(len(sizes)), sizes)[several]
+    before = int(hi.max(initial=0))
     begin = 0
     while begin < len(mine):
         end = np.searchsorted(of, of[min(begin + SORTED, len(mine)) - 1], side="right")
         rows, group, begin = mine[begin:end], of[begin:end], end
-        flat = np.frombuffer(b"".join([ctx[i] for i in rows]), np.uint8)
-        base = np.concatenate([[0], np.cumsum(size[rows])[:-1]])
-        count = np.maximum(most[rows] - least[rows] + 1, 0)
-        row = np.repeat(np.arange(len(rows)), count)
-        away = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + least[rows][row]
-        order, equal = suffix_sort(
-            Prefixes(flat), (base + left[rows])[row] - away, group[row] * (length + 1) + away, length
-        )
-        if not len(order):
-            continue
-        own = turn[rows][row[order]]
-        firsts, runs = _runs(~equal[1:])
-        held = own > np.repeat(np.minimum.reduceat(own, firsts), runs)
-        who, gap = rows[row[order][held]], away[order][held]
-        np.minimum.at(nearest, who, gap)
-        np.maximum.at(farthest, who, gap)
+        grid = spread_out([ctx[i] for i in rows], left[rows], max(before, int(left[rows].max()), 1), length)
+        row, away = shared_windows(grid, grid.shape[1] - length, group, least[rows], most[rows], length)
+        np.minimum.at(nearest, rows[row], away)
+        np.maximum.at(farthest, rows[row], away)
     hit = farthest >= nearest
     begin = (pos - farthest)[hit]
     return pa.table(
@@ -331,51 +370,61 @@ def repeated(table: pa.Table, length: int) -> pa.Table:
     )
 
 
-def _halves(crowded: DataFrame, length: int) -> DataFrame:
-    """Contexts of crowded keys under two longer keys each, one for either half of their windows."""
-    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-    halves = F.array(
-        F.struct(F.col("lo").alias("x"), middle.alias("y")), F.struct((middle + 1).alias("x"), F.col("hi").alias("y"))
-    )
-    both = crowded.where("lo < hi").withColumn("_h", F.explode(halves))
-    narrowed = both.select("a", "t", "pos", "left", "ctx", F.col("_h.x").alias("lo"), F.col("_h.y").alias("hi"))
-    there = narrowed.where(
-        F.greatest("lo", F.lit(length) - (F.length("ctx") - F.col("left"))) <= F.least("hi", "left")
-    )
-    shared = F.expr(f"substring(ctx, left - lo + 1, {length} - hi + lo)")
-    return there.withColumn("key", F.xxhash64(shared, "lo", "hi"))
-
+def halved(table: pa.Table, length: int) -> pa.Table:
+    """Contexts of one crowded key under two longer keys each, one for either half of their windows.
 
-def _windows(crowded: DataFrame, length: int, total: int) -> DataFrame:
-    """(a, t, pos, size) of crowded windows: all but the earliest of each."""
-    window = F.expr(f"substring(ctx, left - lo + 1, {length})")
-    own = crowded.where("lo = hi").select(
-        "a", "t", (F.col("pos") - F.col("lo")).alias("pos"), F.struct("lo", window.alias("w")).alias("key")
-    )
-    firsts = own.groupBy("key").agg(F.min(F.struct("a", "t", "pos")).alias("f"), F.count(F.lit(1)).alias("n"))
-    met = C.attach(own, cut(firsts, "repeats-firsts"), "key", "n", total)
-    return met.where(F.struct("a", "t", "pos") > F.col("f")).select("a", "t", "pos", F.lit(length).alias("size"))
+    What the windows of a half don't reach is cut off; of contexts that are equal then the earliest
+    goes on, the others repeat it whole (rows without ``ctx``).
+    """
+    a, t, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "t", "pos"))
+    table = table.take(pa.array(np.lexsort((pos, t, a))))
+    columns = (table.column(c).to_pylist() for c in ("a", "t", "pos", "left", "lo", "hi", "ctx"))
+    seen: dict[tuple, tuple] = {}
+    out = []
+    for a, t, pos, left, lo, hi, ctx in zip(*columns, strict=True):
+        middle = (lo + hi) // 2
+        for x, y in ((lo, middle), (middle + 1, hi)):
+            low, high = max(x, length - (len(ctx) - left)), min(y, left)
+            if low > high:
+                continue
+            span = ctx[left - high : left - low + length]
+            first = seen.setdefault((x, high, span), (a, t, pos))
+            if first != (a, t, pos):
+                out.append((a, t, pos - high, 0, len(span), 0, None, x, y))
+            else:
+                shared = ctx[left - x : left - y + length]
+                key = xxhash.xxh3_64_intdigest(shared, seed=x << 8 | y)
+                out.append((a, t, pos, high, len(span), key - (key >> 63 << 64), span, x, y))
+    columns = zip(*out, strict=True) if out else [()] * len(CONTEXTS)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, CONTEXTS, strict=True)], schema=CONTEXTS)
 
 
 def _repeats(found: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     """(a, t, pos, size): all stretches of contexts that repeat earlier ones."""
-    shape = "a long, t long, pos int, size int"
-    out = [found.where("ctx is null").select("a", "t", "pos", "size")]
-    todo = found.where("ctx is not null").drop("size")
-    todo = todo.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - gram))
+    out = []
+    todo = found.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - gram))
     while True:
+        out.append(todo.where("ctx is null").select("a", "t", "pos", "size"))
+        todo = todo.where("ctx is not null")
         counts = cut(todo.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "repeats-counts")
         total, many = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > crowd)).first()
-        crowded = counts.where(F.col("n") > crowd).select("key")
-        calm = C.only(todo, crowded, "key", "left_anti") if many else todo
+        crowded = counts.where(F.col("n") > crowd)
+        calm = C.only(todo, crowded.select("key"), "key", "left_anti") if many else todo
         bundle = F.pmod(F.xxhash64("key"), F.lit(total // BUNDLE + 1))
-        sorted_ = calm.groupBy(bundle.alias("bundle")).applyInArrow(lambda table: repeated(table, length), shape)
+        sorted_ = calm.groupBy(bundle.alias("bundle")).applyInArrow(
+            lambda table: repeated(table, length), "a long, t long, pos int, size int"
+        )
         out.append(cut(sorted_, "repeats-sorted"))
         if not many:
             return reduce(DataFrame.unionByName, out)
-        wide = C.only(todo, crowded, "key")
-        out.append(_windows(wide, length, total))
-        todo = cut(_halves(wide, length), "repeats-halves")
+        # A crowded key is dealt to parts; what each of them collapses is counted anew.
+        parts = F.ceil(F.col("n") / BUNDLE).cast("long").alias("parts")
+        wide = todo.join(crowded.select("key", parts), "key")
+        part = F.pmod(F.xxhash64("a", "t", "pos"), F.col("parts"))
+        halves = wide.groupBy("key", part.alias("part")).applyInArrow(
+            lambda table: halved(table, length), KINDS + ", lo int, hi int"
+        )
+        todo = cut(halves, "repeats-halves")
 
 
 def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,6 +449,21 @@ def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _ordered(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(row, a, t, text): documents in the order of (a, t), the id and, where several rows share it, a hash of
+    the text."""
+    docs = df.select(
+        F.struct(*[C.col(c) for c in df.columns if c != text]).alias("row"),
+        F.coalesce(C.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("a"),
+        C.col(text).cast("binary").alias("text"),
+    )
+    twice = cut(docs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeats-ids")
+    if twice.isEmpty():
+        return docs.withColumn("t", F.lit(0).cast("long"))
+    tie = F.when(F.col("n").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0))
+    return C.attach(docs, twice, "a", "n", docs.count()).withColumn("t", tie).drop("n")
+
+
 def remove_repeats(
     df: DataFrame,
     doc_id: str = "doc_id",
@@ -415,24 +479,18 @@ def remove_repeats(
     by bytes, ``kept`` the remaining bytes, which may end inside a character.
 
     Every window of ``length`` bytes is met at its anchors, so only anchors are counted and only
-    those that occur twice bring their surroundings along.  These are sorted as suffixes, from every
-    place where a window can begin, and equal neighbours are repeats of the earliest.  Equal grams and
+    those that occur twice bring their surroundings along.  These are sorted as suffixes, on both
+    sides of the anchor, and what neighbours have in common tells the windows that are equal.  Equal grams and
     contexts are collapsed in each task before they are shuffled.  A key of more than ``crowd``
-    contexts is replaced by two longer ones, each for half of the windows, until keys are whole
-    windows, which need their earliest only.
+    contexts is replaced by two longer ones, each for half of the windows and with shorter contexts, of
+    which equal ones collapse; keys of whole windows have equal contexts only.
 
     Null texts are empty ones; texts shorter than ``length`` lose nothing.  Documents without an id come
     after all others.  Equal ids with different texts stand in the order of a hash of the text; rows
     equal in id and text are one document and have equal results.  No rows give no rows.  Any other
     column names are fine.
     """
-    last = F.lit((1 << 63) - 1)
-    docs = df.select(
-        F.struct(*[C.col(c) for c in df.columns if c != text]).alias("row"),
-        F.coalesce(C.col(doc_id).cast("long"), last).alias("a"),
-        F.xxhash64(C.col(text)).alias("t"),
-        C.col(text).cast("binary").alias("text"),
-    )
+    docs = _ordered(df, doc_id, text)
     texts = docs.select("a", "t", "text").where(F.length("text") >= length)
     kinds = "a long, t long, pos int, gram long, again boolean, first boolean"
     marks = cut(texts.mapInArrow(lambda b: marked(b, length, gram), kinds), "repeats-marks")
@@ -440,9 +498,8 @@ def remove_repeats(
     elsewhere = marks.where("first").withColumn("n", met).where("n > 1 and not again")
     shared = marks.where("again").select("a", "t", "pos").unionByName(elsewhere.select("a", "t", "pos"))
     places = shared.groupBy("a", "t").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    kinds = "a long, t long, pos int, left int, size int, key long, ctx binary"
     found = cut(
-        texts.join(places, ["a", "t"]).mapInArrow(lambda b: contexts(b, length, gram), kinds), "repeats-contexts"
+        texts.join(places, ["a", "t"]).mapInArrow(lambda b: contexts(b, length, gram), KINDS), "repeats-contexts"
     )
     cuts = _repeats(found, length, gram, crowd).groupBy("a", "t").agg(
         F.collect_list(F.struct("pos", "size")).alias("cuts")

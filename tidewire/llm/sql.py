@@ -87,3 +87,98 @@ nodes as (select vec_id as id from embeddings),
 select vec_id, (select count(*) from links where a = vec_id)::bigint as n_links, component_id, vec_id = component_id as kept
 from embeddings join (select id, min(r) as component_id from reach group by 1) c on c.id = vec_id
 """
+
+REPEATS = r"""
+with docs as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+parts as (
+  select doc_id, n, b, substring(h, 2 * b + 1, 1000) as h
+  from (select doc_id, n, h, unnest(range(0, n - 99, 400)) as b from docs where n >= 100)),
+places as (select doc_id, b, h, unnest(range(least(400, n - b - 99))) as p from parts),
+ranked as (
+  select doc_id, b + p as p, row_number() over (partition by substring(h, 2 * p + 1, 200) order by doc_id, b + p) as k from places),
+begun as (
+  select doc_id, p, coalesce(p > lag(p) over (partition by doc_id order by p) + 100, true) as fresh from ranked where k > 1),
+numbered as (select doc_id, p, sum(fresh::int) over (partition by doc_id order by p) as span from begun),
+spans as (select doc_id, min(p) as s, max(p) + 100 as e from numbered group by doc_id, span),
+pieces as (
+  select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as b from spans),
+cuts as (
+  select doc_id, sum(e - s)::bigint as n_removed, count(*) as n_spans, max(e) as last,
+         string_agg(substring(h, 2 * b + 1, 2 * (s - b)), '' order by s) as kept
+  from pieces join docs using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from docs left join cuts using (doc_id)
+"""
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::varchar)) || ':' || {value}::varchar, '-')"
+
+
+_HEAD = " || ".join(_framed(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# The lowest bit of a CRC-32 is the inverse of that of the last remainder.
+_EVEN = """list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+    lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) & 1 = 1"""
+
+
+def _levels(name: str, leaves: str) -> str:
+    return f"""
+{name}(k, lvl, i, n, d) as (
+  select k, 0, i, n, d from {leaves}
+  union all
+  select k, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' order by i)) from {name} where n > 1
+  group by k, lvl, i // 3, n)"""
+
+
+MERKLE = rf"""
+with recursive hashed as (
+  select doc_id, coalesce('=' || source, '') as k, sha256({_HEAD} || {_framed("text")}) as leaf,
+         case when {_EVEN} and text is not null
+              then sha256({_HEAD} || {_framed("replace(text, chr(10), '')")}) end as tampered
+  from documents),
+leaves as (
+  select *, row_number() over (partition by k order by doc_id, leaf) - 1 as i, count(*) over (partition by k) as n, leaf as d
+  from hashed),
+{_levels("low", "leaves")},
+tops as (
+  select k as group_key, '' as k, row_number() over (order by encode(k)) - 1 as i, count(*) over () as n, d from low where n = 1),
+{_levels("high", "tops")},
+nodes as (
+  select 'l' || k as k, lvl, i, n, d from low union all select 'h' as k, lvl, i, n, d from high),
+folded(doc_id, leaf, k, phase, lvl, i, d) as (
+  select doc_id, leaf, k, 'l' || k, 0, i, coalesce(tampered, leaf) from leaves
+  union all
+  select f.doc_id, f.leaf, f.k, f.phase, f.lvl + 1, f.i // 3,
+         sha256(string_agg(case when x.i = f.i then f.d else x.d end, '' order by x.i))
+  from folded f join nodes x on x.k = f.phase and x.lvl = f.lvl and x.n > 1 and x.i // 3 = f.i // 3
+  group by f.doc_id, f.leaf, f.k, f.phase, f.lvl, f.i),
+subfolded as (
+  select f.doc_id, f.leaf, t.i, t.d as subroot, f.d
+  from folded f join (select k, max(lvl) as lvl from low group by k) m on m.k = f.k and m.lvl = f.lvl
+  join tops t on t.group_key = f.k),
+crowned(doc_id, leaf, subroot, lvl, i, d) as (
+  select doc_id, leaf, subroot, 0, i, d from subfolded
+  union all
+  select f.doc_id, f.leaf, f.subroot, f.lvl + 1, f.i // 3,
+         sha256(string_agg(case when x.i = f.i then f.d else x.d end, '' order by x.i))
+  from crowned f join high x on x.lvl = f.lvl and x.n > 1 and x.i // 3 = f.i // 3
+  group by f.doc_id, f.leaf, f.subroot, f.lvl, f.i),
+beside as (
+  select l.doc_id, l.leaf, 0 as phase, x.lvl, x.i, x.d
+  from leaves l join low x on x.k = l.k and x.n > 1
+   and x.i // 3 = l.i // (3 ** (x.lvl + 1))::bigint and x.i <> l.i // (3 ** x.lvl)::bigint
+  union all
+  select l.doc_id, l.leaf, 1, x.lvl, x.i, x.d
+  from leaves l join tops t on t.group_key = l.k join high x on x.n > 1
+   and x.i // 3 = t.i // (3 ** (x.lvl + 1))::bigint and x.i <> t.i // (3 ** x.lvl)::bigint),
+proofs as (
+  select doc_id, leaf, sha256(string_agg(d, '' order by phase, lvl, i)) as proof_sha256 from beside group by doc_id, leaf),
+root as (select d as root from high where n = 1)
+select c.doc_id, c.leaf, c.subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, c.d as folded_root,
+       c.d = root as verified
+from crowned c cross join root left join proofs p on p.doc_id = c.doc_id and p.leaf = c.leaf
+where c.lvl = (select max(lvl) from high)
+"""
