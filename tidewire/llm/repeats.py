@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import common as C
-from tidewire.session import cut
+from tidewire.session import cut, scratch_path
 
 # Strings of so many bytes are looked for, by way of anchors of so many.
 LENGTH, GRAM = 100, 40
@@ -419,12 +419,13 @@ def _repeats(found: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
             return reduce(DataFrame.unionByName, out)
         # A crowded key is dealt to parts; what each of them collapses is counted anew.
         parts = F.ceil(F.col("n") / BUNDLE).cast("long").alias("parts")
-        wide = todo.join(crowded.select("key", parts), "key")
+        keys = crowded.select("key", parts)
+        wide = todo.join(F.broadcast(keys) if many <= C.LOOKUP_ROWS else keys, "key")
         part = F.pmod(F.xxhash64("a", "t", "pos"), F.col("parts"))
         halves = wide.groupBy("key", part.alias("part")).applyInArrow(
             lambda table: halved(table, length), KINDS + ", lo int, hi int"
         )
-        todo = cut(halves, "repeats-halves")
+        todo = _cut_small(halves, "repeats-halves")
 
 
 def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,6 +450,13 @@ def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _cut_small(df: DataFrame, name: str) -> DataFrame:
+    """``cut`` for large tables that are read few times: smaller, and a little slower."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _ordered(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(row, a, t, text): documents in the order of (a, t), the id and, where several rows share it, a hash of
     the text."""
@@ -493,12 +501,12 @@ def remove_repeats(
     docs = _ordered(df, doc_id, text)
     texts = docs.select("a", "t", "text").where(F.length("text") >= length)
     kinds = "a long, t long, pos int, gram long, again boolean, first boolean"
-    marks = cut(texts.mapInArrow(lambda b: marked(b, length, gram), kinds), "repeats-marks")
+    marks = _cut_small(texts.mapInArrow(lambda b: marked(b, length, gram), kinds), "repeats-marks")
     met = F.count(F.lit(1)).over(Window.partitionBy("gram"))
     elsewhere = marks.where("first").withColumn("n", met).where("n > 1 and not again")
     shared = marks.where("again").select("a", "t", "pos").unionByName(elsewhere.select("a", "t", "pos"))
     places = shared.groupBy("a", "t").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    found = cut(
+    found = _cut_small(
         texts.join(places, ["a", "t"]).mapInArrow(lambda b: contexts(b, length, gram), KINDS), "repeats-contexts"
     )
     cuts = _repeats(found, length, gram, crowd).groupBy("a", "t").agg(
