@@ -23,8 +23,9 @@ from tidewire.session import cut
 MARKED = re.compile(r"([!-/:-@\[-`{-~]*)([^\s!-/:-@\[-`{-~]+)([!-/:-@\[-`{-~]*)")
 # Pieces that are packed together, on average.
 BATCH = 256
-# Words whose ids a worker keeps; when there are more, it starts anew.
-CACHE = 800_000
+# Bytes that a worker may hold in words and their ids, and what an entry takes beside them; when there
+# are more, it starts anew.
+CACHE, ENTRY = 32 << 20, 200
 # Characters of text that are tokenized at once.
 CHUNK = 500_000
 
@@ -52,8 +53,17 @@ class WordIds(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.marks: dict[str, bytes] = {"": b""}
+        self.held = 0
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def __setitem__(self, word: bytes, ids: bytes) -> None:
+        self.held += len(word) + len(ids) + ENTRY
+        super().__setitem__(word, ids)
+
+    def forget(self) -> None:
+        self.clear()
+        self.marks, self.held = {"": b""}, 0
+
     def one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -81,6 +91,7 @@ class WordIds(dict):
             if len(ends) == len(part) and ends[-1] == len(ids):
                 raw, bounds = ids.tobytes(), (4 * ends).tolist()
                 self.update(zip(part, map(raw.__getitem__, map(slice, [0, *bounds], bounds))))
+                self.held += sum(map(len, part)) + len(raw) + ENTRY * len(part)
             else:
                 alone += part
         for w in alone:
@@ -91,14 +102,13 @@ class WordIds(dict):
 
     def mark(self, run: str) -> bytes:
         if run not in self.marks:
-            if len(self.marks) >= CACHE:
-                self.marks = {"": b""}
             self.marks[run] = self.one(run.encode())
+            self.held += len(run) + len(self.marks[run]) + ENTRY
         return self.marks[run]
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self) > CACHE:
-            self.clear()
+        if self.held > CACHE:
+            self.forget()
         split = [t.encode("utf-8", "replace").lower().split() for t in texts]
         found = [list(map(self.get, ws)) for ws in split]
         gaps = [i for i, ids in enumerate(found) if None in ids]
