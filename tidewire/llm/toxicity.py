@@ -7,7 +7,6 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +51,30 @@ def parts(word: str) -> list[str]:
 
 
 class Kept(dict):
-    """The numbers of a word's terms, as far as they are kept."""
+    """A number for every word seen, and by it the numbers of the word's terms, as far as they are kept."""
 
     def __init__(self, keep: dict[str, int]):
-        self.keep = keep
-
-    def __missing__(self, word: str) -> list[int]:
+        self.keep, self.flat, self.ends = keep, [], [0]
+
+    def __missing__(self, word: str) -> int:
+        # An example's term that is longer than this beginning comes with it.
+        if len(word) <= 4 or word[:4] + "~" in self.keep:
+            self.flat += [self.keep[p] for p in parts(word) if p in self.keep]
+        self.ends.append(len(self.flat))
+        self[word] = number = len(self.ends) - 2
+        return number
+
+    def terms(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The numbers of the terms of each text's tokens, one after the other."""
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = out = [self.keep[p] for p in parts(word) if p in self.keep]
-        return out
+            self.flat, self.ends = [], [0]
+        found = map(tokens, texts)
+        words = [np.fromiter(map(self.__getitem__, ws), np.int64, len(ws)) for ws in found]
+        flat, ends = np.array(self.flat, np.int64), np.array(self.ends, np.int64)
+        for w in words:
+            at, _ = runs(ends[w], ends[w + 1])
+            yield flat[at]
 
 
 def tokens(text: str | None) -> list[str]:
@@ -286,11 +299,12 @@ def _numbers_of(df: DataFrame, keep: dict[str, int]) -> DataFrame:
         known = Kept(keep)
         for batch in batches:
             terms, counts = [], []
-            for text in batch.column("text"):
-                found = list(chain.from_iterable(map(known.__getitem__, tokens(text.as_py()))))
-                number, n = np.unique(np.array(found, np.int64), return_counts=True)
-                terms.append(planes(np.diff(number, prepend=0)))
-                counts.append(planes(n))
+            texts = batch.column("text")
+            for at in range(0, len(texts), 500):
+                for found in known.terms(texts.slice(at, 500).to_pylist()):
+                    number, n = np.unique(found, return_counts=True)
+                    terms.append(planes(np.diff(number, prepend=0)))
+                    counts.append(planes(n))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
                 names=["row", "terms", "counts"],
