@@ -1,35 +1,29 @@
 """Similarity joins and nearest neighbours, exact.
 
 Term vectors meet on the keys they must share (see ``functions.vectors``).
-Dense vectors are compared block by block: rows are hashed into blocks of a
-fixed size, every pair of blocks is one group, and a group is one matrix product
-that returns only its hits.  Many rows are first cut into cells around pivots, so
-that only rows near enough to reach the threshold share a cell.
+Dense vectors meet in cells around pivots, so that only rows near enough to reach
+the threshold are compared (see ``operators.nearest``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import vectors as V
+from tidewire.operators import nearest as N
 from tidewire.operators.greedy import MAX_DEPTH
 from tidewire.operators.spread import spread_join
 from tidewire.session import cut, cut_counted
 
-BLOCK_ROWS = 2048
-# Texts may be long, so blocks of term vectors hold fewer rows.
+# Texts may be long, so blocks of term vectors hold few rows.
 CROWDED_ROWS = 512
-# Cells pay once all pairs of blocks do not; their number bounds what is broadcast.
-CELLS_FROM = 200_000
-ROWS_PER_CELL = 20_000
-MAX_CELLS = 4096
-SCORE_DIGITS = 6
+# Products of two entries that are summed up at once.
+PRODUCTS = 2_000_000
+SCORE_DIGITS = N.SCORE_DIGITS
 
 
 # -- term vectors -----------------------------------------------------------
@@ -48,8 +42,15 @@ def _possible(joined: DataFrame, threshold: float) -> DataFrame:
     """Pairs that can still reach ``threshold`` given the keys they share.
 
     Up to the last shared key the product is known; beyond it at most the tail
-    of the side whose head ends first times what is left of the other.
+    of the side whose head ends first times what is left of the other.  Where crowded
+    keys were left out of the join, the lengths of what the sides have of them
+    (``lq``, ``rq``) bound what those keys could add.
     """
+    unknown = F.lit(0.0)
+    lengths = [c for c in ("lq", "rq") if c in joined.columns]
+    if lengths:
+        unknown = F.col("lq") * F.col("rq")
+
     def beyond(tail: str, other: str):
         return F.col(tail) * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col(other)))
 
@@ -57,16 +58,26 @@ def _possible(joined: DataFrame, threshold: float) -> DataFrame:
         joined.groupBy("lid", "rid")
         .agg(
             F.sum(F.col("lw").cast("double") * F.col("rw")).alias("s"),
-            *[F.max(c).cast("double").alias(c) for c in ("lc", "rc", "lr", "rr")],
+            *[F.max(c).cast("double").alias(c) for c in ("lc", "rc", "lr", "rr", *lengths)],
         )
         .where(
-            F.col("s") + F.greatest(beyond("lr", "rc"), beyond("rr", "lc"))
+            F.col("s") + unknown + F.greatest(beyond("lr", "rc"), beyond("rr", "lc"))
             >= threshold - V.ROUNDING
         )
         .select("lid", "rid")
     )
 
 
+def _quiet(keys: DataFrame, crowd: DataFrame, p: str) -> DataFrame:
+    """A side's keys without the crowded ones, and the length of what each row has of those."""
+    id_, w = f"{p}id", F.col(f"{p}w").cast("double")
+    lengths = (
+        keys.join(crowd.select("key"), "key", "left_semi").groupBy(id_).agg(F.sqrt(F.sum(w * w)).alias(f"{p}q"))
+    )
+    rest = keys.join(crowd.select("key"), "key", "left_anti").join(lengths, id_, "left")
+    return rest.withColumn(f"{p}q", F.coalesce(f"{p}q", F.lit(0.0)))
+
+
 def shared_keys(
     left: DataFrame, right: DataFrame, threshold: float, total: int, floor: int | None
 ) -> DataFrame:
@@ -123,12 +134,8 @@ def similar_pairs(
     if not n["rows"]:
         pairs = shared_keys(left, right, threshold, total, floor)
         return score_pairs(pairs, left, right, threshold, floor)
-    quiet = rk.select("rid", "key").join(crowd.select("key"), "key", "left_anti")
-    pairs = (
-        spread_join(lk.select("lid", "key"), quiet, ["key"], "inner", "lid", total, floor)
-        .select("lid", "rid")
-        .distinct()
-    )
+    quiet = spread_join(_quiet(lk, crowd, "l"), _quiet(rk, crowd, "r"), ["key"], "inner", "lid", total, floor)
+    pairs = _possible(quiet, threshold)
     few = score_pairs(pairs, left, right, threshold, floor)
     many = crowded_pairs(
         lk.select("lid", "key"), rk.select("rid", "key"), crowd, left, right, threshold, block
@@ -178,15 +185,12 @@ def term_finder(
             scored = cut(score_pairs(pairs, byid, byid, threshold, floor), "edges")
             edges = scored.select(F.col("lid").alias("seq"), F.col("rid").alias("earlier"))
             return edges, live.select("seq").join(incomplete, "seq", "left_anti")
-        # Crowded keys by blocks, the others as before; a bound needs all shared
-        # keys of a pair, so pairs of the others are scored without it.
-        quiet = first.join(crowd.select("key"), "key", "left_anti").select("key", "rid")
-        pairs = (
-            spread_join(keys.select("lid", "key"), quiet, ["key"], "inner", "lid", total, floor)
-            .where("rid < lid")
-            .select("lid", "rid")
-            .distinct()
-        )
+        # Crowded keys by blocks, the others as before: what is not deeper than ``depth`` is
+        # in ``first`` whole, so the lengths of the crowded keys alone are unknown.
+        ours = _quiet(keys, crowd, "l")
+        theirs = _quiet(keys.select("key", *[F.col(f"l{x}").alias(f"r{x}") for x in ("id", "w", "c", "r")]), crowd, "r")
+        quiet = spread_join(ours, theirs, ["key"], "inner", "lid", total, floor)
+        pairs = _possible(quiet.where("rid < lid"), threshold)
         scored = score_pairs(pairs, byid, byid, threshold, floor).select("lid", "rid")
         found = cut(
             crowded_pairs(
@@ -241,11 +245,11 @@ def crowded_pairs(
     none_l, none_r = (F.lit(None).cast(kind) for kind in (lkind, rkind))
     nl, nr = F.col("nl"), F.col("nr")
     as_left = members(lkeys, left, "lid").select(
-        "key", F.pmod(F.xxhash64("lid"), nl).alias("lb"), F.explode(_numbers(nr)).alias("rb"),
+        "key", F.pmod(F.xxhash64("lid"), nl).alias("lb"), F.explode(N.numbers(nr)).alias("rb"),
         "lid", none_r.alias("rid"), "vec",
     )
     as_right = members(rkeys, right, "rid").select(
-        "key", F.explode(_numbers(nl)).alias("lb"), F.pmod(F.xxhash64("rid"), nr).alias("rb"),
+        "key", F.explode(N.numbers(nl)).alias("lb"), F.pmod(F.xxhash64("rid"), nr).alias("rb"),
         none_l.alias("lid"), "rid", "vec",
     )
 
@@ -254,39 +258,21 @@ def crowded_pairs(
         lefts = table.filter(is_left)
         rights = table.filter(pc.invert(is_left)).sort_by("rid")
         lid, rid = lefts.column("lid").combine_chunks(), rights.column("rid").combine_chunks()
-        lf, lw, lend = _flat(lefts)
-        rf, rw, rend = _flat(rights)
-        rrow = np.repeat(np.arange(len(rid)), np.diff(rend))
-        by_term = np.argsort(rf, kind="stable")
-        rf, rw, rrow = rf[by_term], rw[by_term], rrow[by_term]
-        hits, owners, sims_out, more = [], [], [], []
-        for i in range(len(lid)):
-            span = slice(lend[i], lend[i + 1])
-            lo, hi = np.searchsorted(rf, lf[span]), np.searchsorted(rf, lf[span], side="right")
-            sizes = hi - lo
-            starts = np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-            at = (starts + np.arange(sizes.sum())).astype(np.int64)
-            sims = np.bincount(rrow[at], rw[at] * np.repeat(lw[span], sizes), minlength=len(rid))
-            found = np.nonzero(sims >= threshold)[0]
-            if earlier_depth is not None:
-                found = found[rid.to_numpy()[found] < lid[i].as_py()]
-            kept = found if earlier_depth is None else found[:earlier_depth]
-            hits.append(kept)
-            owners.append(np.full(len(kept), i))
-            sims_out.append(sims[kept])
-            more.append(np.full(len(kept), len(found) > len(kept)))
-
-        def whole(parts: list, kind: type) -> np.ndarray:
-            return np.concatenate(parts).astype(kind) if parts else np.empty(0, dtype=kind)
-
-        return pa.table(
-            {
-                "lid": lid.take(pa.array(whole(owners, np.int64))),
-                "rid": rid.take(pa.array(whole(hits, np.int64))),
-                "sim": whole(sims_out, np.float64),
-                "more": whole(more, bool),
-            }
-        )
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))]
+        before = None
+        if earlier_depth is not None:
+            before = rid.to_numpy()[None, :] < lid.to_numpy()[:, None]
+        for at, sims in _products(_flat(lefts), _flat(rights)):
+            hit = sims >= threshold
+            more = np.zeros(len(sims), bool)
+            if before is not None:
+                hit &= before[at : at + len(sims)]
+                more = hit.sum(axis=1) > earlier_depth
+                hit &= np.cumsum(hit, axis=1) <= earlier_depth
+            i, j = np.nonzero(hit)
+            found.append((i + at, j, sims[i, j], more[i]))
+        i, j, sim, more = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"lid": lid.take(pa.array(i)), "rid": rid.take(pa.array(j)), "sim": sim, "more": more})
 
     return (
         as_left.unionByName(as_right)
@@ -295,6 +281,32 @@ def crowded_pairs(
     )
 
 
+def _products(left: tuple, right: tuple):
+    """Rows of the matrix of dot products of two blocks of term vectors, some left rows at a time.
+
+    The right block is turned into lists by term; every left entry meets the list of its term, and
+    the products are summed up by pair.
+    """
+    (lf, lw, lend), (rf, rw, rend) = left, right
+    width = len(rend) - 1
+    owner = np.repeat(np.arange(width), np.diff(rend))
+    by_term = np.argsort(rf, kind="stable")
+    rf, rw, owner = rf[by_term], rw[by_term], owner[by_term]
+    low = np.searchsorted(rf, lf)
+    met = np.searchsorted(rf, lf, side="right") - low
+    upto = np.concatenate([[0], np.cumsum(met)])[lend]
+    at = 0
+    while at < len(lend) - 1:
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + PRODUCTS, side="right")) - 1)
+        own = slice(lend[at], lend[to])
+        sizes = met[own]
+        place = np.repeat(low[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        row = np.repeat(np.repeat(np.arange(to - at), np.diff(lend[at : to + 1])), sizes)
+        sums = np.bincount(row * width + owner[place], rw[place] * np.repeat(lw[own], sizes), (to - at) * width)
+        yield at, sums.reshape(to - at, width)
+        at = to
+
+
 def _flat(side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Terms, weights and row ends of a table's vectors."""
     vec = side.column("vec").combine_chunks()
@@ -312,230 +324,45 @@ def _flat(side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # -- dense vectors ----------------------------------------------------------
 
 
-def _blocks(n: int, rows: int) -> int:
-    return max(1, -(-n // rows))
-
-
-def _numbers(n: int | Column) -> Column:
-    last = F.lit(n - 1) if isinstance(n, int) else n - 1
-    return F.sequence(F.lit(0).cast("long"), last.cast("long"))
-
-
-def _copies(rows: DataFrame, other: DataFrame, own: str, blocks: Column, across: Column) -> DataFrame:
-    """One side of a grid: its own block by hash, copied to every block of the other side."""
-    mine, theirs = ("lb", "rb") if own == "lid" else ("rb", "lb")
-    missing = "rid" if own == "lid" else "lid"
-    return rows.select(
-        "cell",
-        F.col("id").alias(own),
-        F.lit(None).cast(other.schema["id"].dataType).alias(missing),
-        "vec",
-        F.pmod(F.xxhash64("id"), blocks).alias(mine),
-        F.explode(_numbers(across)).alias(theirs),
-    ).select("cell", "lid", "rid", "vec", "lb", "rb")
-
-
-def _grid(
-    left: DataFrame, right: DataFrame, n_left: int, n_right: int, rows: int
-) -> DataFrame:
-    """Both inputs hashed into blocks and copied to every block of the other side."""
-    lb, rb = F.lit(_blocks(n_left, rows)), F.lit(_blocks(n_right, rows))
-    one = F.lit(0).alias("cell")
-    return _copies(left.select("id", "vec", one), right, "lid", lb, rb).unionByName(
-        _copies(right.select("id", "vec", one), left, "rid", rb, lb)
-    )
-
-
-class Cells:
-    """Space cut by a bounded number of pivots, so that far rows never meet.
-
-    A row's home is its nearest pivot.  It visits every cell whose border is no
-    farther than the distance that ``threshold`` allows: a row at home there is
-    on the other side of the border, hence at least that far away.  So each pair
-    at or above the threshold meets, once, in the home of its right row.
-    """
-
-    def __init__(self, rows: DataFrame, threshold: float, n: int):
-        k = int(min(MAX_CELLS, max(2, n // ROWS_PER_CELL)))
-        spread = rows.select("vec").orderBy(F.xxhash64("id")).limit(k)
-        self.pivots = np.array([r[0] for r in spread.collect()])
-        self.reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-        self.shared = rows.sparkSession.sparkContext.broadcast((self.pivots, self.reach))
-
-    def home(self) -> Callable[[Column], Column]:
-        shared = self.shared
-
-        @F.arrow_udf("int")
-        def nearest(vec: pa.Array) -> pa.Array:
-            pivots, _ = shared.value
-            rows = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
-            return pa.array(np.argmax(rows @ pivots.T, axis=1), pa.int32())
-
-        return nearest
-
-    def visits(self) -> Callable[[Column], Column]:
-        shared = self.shared
-
-        @F.arrow_udf("array<int>")
-        def reached(vec: pa.Array) -> pa.Array:
-            pivots, reach = shared.value
-            rows = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
-            dots = rows @ pivots.T
-            home = np.argmax(dots, axis=1)
-            # Squared distances of unit vectors differ by twice the dot products.
-            gap = 2 * (dots[np.arange(len(rows)), home][:, None] - dots)
-            apart = np.sqrt(np.maximum(0.0, 2 - 2 * pivots @ pivots.T))[home]
-            inside = gap <= 2 * apart * reach + 1e-9
-            ends = np.concatenate([[0], np.cumsum(inside.sum(axis=1))])
-            return pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.nonzero(inside)[1], pa.int32())
-            )
-
-        return reached
-
-
-def _cell_grid(left: DataFrame, right: DataFrame, rows: int) -> DataFrame:
-    """Grid within every cell.  ``left``: ``id, vec, cells``; ``right``: ``id, vec, cell``.
-
-    The sizes are one row per cell, at most ``MAX_CELLS``, so they are broadcast.
-    """
-    visiting = left.select("id", "vec", F.explode("cells").alias("cell"))
-
-    def sized(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("long").alias(name))
-
-    sizes = F.broadcast(sized(visiting.select("cell"), "nl").join(sized(right, "nr"), "cell"))
-    nl, nr = F.col("nl"), F.col("nr")
-    return _copies(visiting.join(sizes, "cell"), right, "lid", nl, nr).unionByName(
-        _copies(right.join(sizes, "cell"), left, "rid", nr, nl)
-    )
-
-
-def _id_types(left: DataFrame, right: DataFrame) -> tuple[str, str]:
-    return (
-        left.schema["id"].dataType.simpleString(),
-        right.schema["id"].dataType.simpleString(),
-    )
-
-
-def _sides(table: pa.Table):
-    """Ids of both sides, the right one in id order, and their dot products."""
-    is_left = pc.is_valid(table.column("lid"))
-    left, right = table.filter(is_left), table.filter(pc.invert(is_left))
-    if left.num_rows == 0 or right.num_rows == 0:
-        return None
-    right = right.sort_by("rid")
-
-    def matrix(side: pa.Table) -> np.ndarray:
-        flat = side.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(side.num_rows, -1)
-
-    return (
-        left.column("lid").combine_chunks(),
-        right.column("rid").combine_chunks(),
-        matrix(left) @ matrix(right).T,
-    )
-
-
-def _compare_blocks(
-    grid: DataFrame, threshold: float, kinds: tuple[str, str], earlier_only: bool, depth: int | None
-) -> DataFrame:
-    def compare(table: pa.Table) -> pa.Table:
-        sides = _sides(table)
-        if sides is None:
-            return pa.table({"lid": table.column("lid")[:0], "rid": table.column("rid")[:0],
-                             "sim": pa.array([], pa.float64()), "more": pa.array([], pa.bool_())})
-        lid, rid, sims = sides
-        hit = sims >= threshold
-        if earlier_only:
-            hit &= rid.to_numpy()[None, :] < lid.to_numpy()[:, None]
-        more = np.zeros(len(lid), dtype=bool)
-        if depth is not None:
-            more = hit.sum(axis=1) > depth
-            hit &= np.cumsum(hit, axis=1) <= depth
-        i, j = np.nonzero(hit)
-        return pa.table({"lid": lid.take(pa.array(i)), "rid": rid.take(pa.array(j)),
-                         "sim": sims[i, j], "more": more[i]})
-
-    return grid.groupBy("cell", "lb", "rb").applyInArrow(
-        compare, f"lid {kinds[0]}, rid {kinds[1]}, sim double, more boolean"
-    )
-
-
-def block_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    threshold: float,
-    n_left: int,
-    n_right: int,
-    rows: int = BLOCK_ROWS,
-    earlier_only: bool = False,
-    depth: int | None = None,
-    cells_from: int | None = None,
-) -> DataFrame:
-    """``lid, rid, sim, more`` of dense unit vectors at or above ``threshold``.
-
-    ``earlier_only`` keeps pairs with ``rid < lid``.  With ``depth`` a left row
-    returns, per block, its ``depth`` smallest right ids, and ``more`` tells that
-    others exist.  From ``cells_from`` rows on, cells keep far rows apart.
-    """
-    kinds = _id_types(left, right)
-    if max(n_left, n_right) < (CELLS_FROM if cells_from is None else cells_from):
-        grid = _grid(left, right, n_left, n_right, rows)
-    else:
-        cells = Cells(right, threshold, n_right)
-        visiting = cut(left.withColumn("cells", cells.visits()("vec")), "visits")
-        at_home = cut(right.withColumn("cell", cells.home()("vec")), "homes")
-        grid = _cell_grid(visiting, at_home, rows)
-    return _compare_blocks(grid, threshold, kinds, earlier_only, depth)
-
-
 def dense_finder(
-    rows: DataFrame, threshold: float, block: int = BLOCK_ROWS, cells_from: int | None = None
+    rows: DataFrame, threshold: float, block: int = N.VISITORS, cell_rows: int = N.CELL_ROWS
 ):
     """Conflict finder over dense unit vectors for ``keep_first``.  ``rows``: ``seq, vec``.
 
-    Few rows are compared with all others.  Many are cut into cells, and until
-    the last depth a row only meets the first rows at home in the cells it
-    visits, so a cell of near copies falls in one round at linear cost.
+    All rows are placed in cells once, and with them the cells they have to visit.  Until the last
+    depth a row only meets the first rows at home there, as many as a task holds or ``depth`` if that
+    is more; only a cell of copies, which can't be cut, has more.  So it falls in one round at
+    linear cost.
     """
-    cells_from = CELLS_FROM if cells_from is None else cells_from
     placed: dict[str, DataFrame] = {}
+    all_rows = rows.select(F.col("seq").alias("id"), "vec")
 
-    def place(n: int) -> DataFrame:
-        """Cells of all rows, found and written once."""
+    def place(n: int) -> N.Cells:
         if not placed:
-            all_rows = rows.select(F.col("seq").alias("id"), "vec")
-            cells = Cells(all_rows, threshold, n)
-            placed["rows"] = cut(
-                all_rows.withColumn("cell", cells.home()("vec")).withColumn("cells", cells.visits()("vec")),
-                "placed",
-            )
-        return placed["rows"]
+            cells = placed["cells"] = N.Cells(all_rows, n, cell_rows)
+            placed["visits"] = cells.visits(all_rows.withColumn("least", F.lit(float(threshold))))
+        return placed["cells"]
 
     def find(live: DataFrame, depth: int, n: int) -> tuple[DataFrame, DataFrame]:
+        cells = place(n)
         living = live.select(F.col("seq").alias("id"))
+        visitors = placed["visits"].join(living, "id", "left_semi")
+        homes = cells.placed.join(living, "id", "left_semi")
         incomplete = None
-        if n < cells_from:
-            ids = rows.select(F.col("seq").alias("id"), "vec").join(living, "id", "left_semi")
-            grid = _grid(ids, ids, n, n, block)
-        else:
-            ids = place(n).join(living, "id", "left_semi")
-            homes = ids.select("id", "vec", "cell")
-            if depth < MAX_DEPTH:
-                order = Window.partitionBy("cell").orderBy("id")
-                homes = homes.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= depth)
-                full = homes.groupBy("cell").agg(F.max("id").alias("last"), F.count("*").alias("n"))
-                full = F.broadcast(full.where(F.col("n") >= depth).select("cell", "last"))
-                incomplete = (
-                    ids.select("id", F.explode("cells").alias("cell"))
-                    .join(full, "cell")
-                    .where(F.col("id") > F.col("last"))
-                    .select(F.col("id").alias("seq"))
-                    .distinct()
-                )
-            grid = _cell_grid(ids.select("id", "vec", "cells"), homes.select("id", "vec", "cell"), block)
-        found = cut(_compare_blocks(grid, threshold, _id_types(living, living), True, depth), "block")
+        first = max(depth, cell_rows)
+        if depth < MAX_DEPTH and n > first:
+            order = Window.partitionBy("cell").orderBy("id")
+            homes = homes.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= first).drop("_n")
+            full = homes.groupBy("cell").agg(F.max("id").alias("last"), F.count("*").alias("n"))
+            incomplete = (
+                visitors.select("id", "cell")
+                .join(full.where(F.col("n") >= first).select("cell", "last"), "cell")
+                .where(F.col("id") > F.col("last"))
+                .select(F.col("id").alias("seq"))
+                .distinct()
+            )
+        grid = N.grid(cells, visitors, homes, n, n, block)
+        found = cut(N.pairs_in(grid, threshold, _id_types(living, living), True, depth), "block")
         edges = found.select(F.col("lid").alias("seq"), F.col("rid").alias("earlier"))
         cut_short = found.where("more").select(F.col("lid").alias("seq")).distinct()
         settled = live.select("seq").join(cut_short, "seq", "left_anti")
@@ -546,6 +373,13 @@ def dense_finder(
     return find
 
 
+def _id_types(left: DataFrame, right: DataFrame) -> tuple[str, str]:
+    return (
+        left.schema["id"].dataType.simpleString(),
+        right.schema["id"].dataType.simpleString(),
+    )
+
+
 def knn(
     queries: DataFrame,
     store: DataFrame,
@@ -553,42 +387,18 @@ def knn(
     n_queries: int,
     n_store: int,
     threshold: float | None = None,
-    rows: int = BLOCK_ROWS,
     skip_self: bool = False,
+    block: int = N.VISITORS,
+    cell_rows: int = N.CELL_ROWS,
 ) -> DataFrame:
     """``query_id, rank, id, distance``: the k nearest stored vectors of every query.
 
-    Each block returns its own k best, so at most k rows per query and block
-    reach the final ranking.  A threshold may go before the top k: whatever
-    ranks above a row that passes, passes too.  Equal scores rank by id.
+    Cells and tasks return their own k best, so few rows per query reach the final ranking.  A
+    threshold may go before the top k: whatever ranks above a row that passes, passes too, and
+    it bounds the search from the start.  Equal scores rank by id.
     """
-    qkind, skind = _id_types(queries, store)
-
-    def best(table: pa.Table) -> pa.Table:
-        sides = _sides(table)
-        if sides is None:
-            return pa.table({"query_id": table.column("lid")[:0], "id": table.column("rid")[:0],
-                             "sim": pa.array([], pa.float64())})
-        qid, sid, sims = sides
-        sims = np.round(sims, SCORE_DIGITS)
-        ok = np.ones_like(sims, dtype=bool)
-        if threshold is not None:
-            ok &= sims >= threshold
-        if skip_self:
-            ok &= sid.to_numpy(zero_copy_only=False)[None, :] != qid.to_numpy(zero_copy_only=False)[:, None]
-        ranked = np.argsort(np.where(ok, -sims, np.inf), axis=1, kind="stable")[:, :k]
-        i = np.repeat(np.arange(len(qid)), ranked.shape[1])
-        j = ranked.ravel()
-        good = ok[i, j]
-        return pa.table({"query_id": qid.take(pa.array(i[good])), "id": sid.take(pa.array(j[good])),
-                         "sim": sims[i[good], j[good]]})
-
-    local = (
-        _grid(queries, store, n_queries, n_store, rows)
-        .groupBy("cell", "lb", "rb")
-        .applyInArrow(best, f"query_id {qkind}, id {skind}, sim double")
-    )
-    return top_k(local, k)
+    hits = N.nearest_join(queries, store, k, n_queries, n_store, threshold, skip_self, block, cell_rows)
+    return top_k(hits, k)
 
 
 def top_k(hits: DataFrame, k: int) -> DataFrame:

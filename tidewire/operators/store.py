@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import times
 from tidewire.operators.filters import ttl_valid
 from tidewire.plans.state import stamped
+from tidewire.session import cut, scratch_path
+
+# Rows of one range of a page index.
+RANGE_ROWS = 100_000
 
 
 def store_get(store: DataFrame, id_: str) -> DataFrame:
@@ -28,6 +32,35 @@ def store_list(store: DataFrame, limit: int = 0, offset: int = 0) -> DataFrame:
     return page.limit(limit) if limit else page
 
 
+class PageIndex:
+    """A store laid out in ranges of ids, with the rank at which each range begins.
+
+    The ranges are written in the order of their ids, a folder each; how many rows each holds is summed
+    up once.  A page is then read from the ranges it lies in, wherever it begins, and only these are
+    sorted.  The index has a row per range, ``range_rows`` times fewer than the store.
+    """
+
+    def __init__(self, store: DataFrame, range_rows: int = RANGE_ROWS):
+        spark = store.sparkSession
+        ranges = max(1, -(-store.count() // range_rows))
+        path = scratch_path(spark, "pages")
+        dealt = store.repartitionByRange(ranges, "id").withColumn("_range", F.spark_partition_id())
+        dealt.write.partitionBy("_range").parquet(path)
+        self.columns = store.columns
+        self.rows = spark.read.schema(dealt.schema).parquet(path)
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        counts = self.rows.groupBy("_range").agg(F.count("*").alias("n"))
+        self.index = cut(counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "page-index")
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        """Rows ``offset`` to ``offset + limit`` in id order."""
+        met = self.index.where((F.col("start") < offset + limit) & (F.col("start") + F.col("n") > offset))
+        found = met.orderBy("start").collect()
+        inside = self.rows.where(F.col("_range").isin([r["_range"] for r in found])).select(*self.columns)
+        skipped = offset - found[0]["start"] if found else 0
+        return inside.orderBy("id").offset(skipped).limit(limit)
+
+
 def store_add_many(store: DataFrame, rows: DataFrame) -> DataFrame:
     return store.unionByName(rows, allowMissingColumns=True)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import vectors as V
 from tidewire.operators import filters as FL
+from tidewire.operators import nearest as N
 from tidewire.operators import similar as S
 from tidewire.operators import store as ST
 from tidewire.operators import stories as SY
@@ -60,6 +61,19 @@ def top2(spark, sf):
     return ST.store_list(rows, 25, 100).select(F.col("id").alias("event_id"), "event_type")
 
 
+@register(
+    "TOP2_deep_page",
+    """select event_id, event_type from (
+         select event_id, event_type, row_number() over (order by event_id) as n, count(*) over () as c from events)
+       where n > c * 9 // 10 and n <= c * 9 // 10 + 25""",
+)
+def top2_deep(spark, sf):
+    """A page nine tenths down: ranks are looked up, and only the page's range is read."""
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type")
+    pages = ST.PageIndex(rows, 1000)
+    return pages.page(25, rows.count() * 9 // 10).select(F.col("id").alias("event_id"), "event_type")
+
+
 @register(
     "SRC5_store_get",
     f"with {SQL_STORE} select id, content, ms as last_update_ms from store where id in (select user_id from events)",
@@ -193,7 +207,7 @@ sims as (
 def jn2(spark, sf):
     v = _vectors(spark, sf).select("id", "vec")
     n = v.count()
-    found = S.block_pairs(v, v, PAIR_THRESHOLD, n, n, earlier_only=True)
+    found = N.threshold_join(v, v, PAIR_THRESHOLD, n, n, earlier_only=True)
     return found.select(
         F.col("lid").alias("query_id"), F.col("rid").alias("id"), F.round("sim", S.SCORE_DIGITS).alias("sim")
     )
@@ -238,7 +252,7 @@ def flt4_knn(spark, sf):
 def agg3(spark, sf):
     v = _vectors(spark, sf).select("id", "vec")
     n = v.count()
-    hits = S.block_pairs(v, v, PAIR_THRESHOLD, n, n).where("lid <> rid")
+    hits = N.threshold_join(v, v, PAIR_THRESHOLD, n, n).where("lid <> rid")
     best = S.best_match(hits.select(F.col("lid").alias("query_id"), F.col("rid").alias("id"), "sim"))
     return best
 
