@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import html as H
@@ -34,10 +34,11 @@ def one_per_url(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(firsts, ["url", "page_id"], "left_semi").dropDuplicates(["url"])
 
 
-def _join_key(rows: DataFrame, url: str) -> Column:
-    """The URL; rows without one get a key of their own each, so that they don't meet in one task."""
-    own = F.concat(F.lit("\x00"), F.xxhash64(*rows.columns).cast("string"))
-    return F.when(F.coalesce(F.col(url), F.lit("")) == "", own).otherwise(F.col(url))
+def _keyed(rows: DataFrame, url: str) -> DataFrame:
+    """``rows`` with ``_key``: the URL; rows without one get a key of their own each, which no page has,
+    so that they don't meet in one task.  Columns of any type may stand beside it."""
+    own = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    return rows.withColumn("_key", F.when(F.coalesce(F.col(url), F.lit("")) == "", own).otherwise(F.col(url)))
 
 
 def page_titles(pages: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def page_extract(articles: DataFrame, pages: DataFrame) -> DataFrame:
         "author": F.when(ok, X.enrich_fill(F.col("author"), F.col("byline"))).otherwise(F.col("author")),
         "extraction_error": error,
     }
-    return articles.join(found, _join_key(articles, "url") == F.col("_url"), "left").select(
+    return _keyed(articles, "url").join(found, F.col("_key") == F.col("_url"), "left").select(
         *[filled.get(c, F.col(c)).alias(c) for c in articles.columns]
     )
 
@@ -76,4 +77,4 @@ def page_lookup(rows: DataFrame, pages: DataFrame, url: str = "url") -> DataFram
     """Left join of ``page_title`` on ``url``."""
     wanted = rows.select(F.col(url).alias("url"))
     titles = page_titles(one_per_url(pages, wanted)).withColumnRenamed("url", "_url")
-    return rows.join(titles, _join_key(rows, url) == F.col("_url"), "left").drop("_url")
+    return _keyed(rows, url).join(titles, F.col("_key") == F.col("_url"), "left").drop("_key", "_url")
