@@ -91,6 +91,39 @@ def stories_after(
     return story_append(made, similar.select("seq", "matching_id", "title", "body"), total, run=run)
 
 
+def story_log(
+    known: DataFrame, articles: DataFrame, results: DataFrame, total: int = 0, run: int = 0, floor: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(log, missing)`` of one dedup run: the segments it adds to the log, and appends to no story.
+
+    ``known`` has the ``id`` of every story before the run.  The log is only ever added to: a story's
+    start carries ``starts`` and what an earlier run wrote under its id is left out when the log is read.
+    """
+    made, missing = stories_after(
+        known.select(
+            "id", F.lit(-1).cast("long").alias("run"), F.lit(-1).cast("long").alias("seq"),
+            F.lit("").alias("title"), F.lit("").alias("text"),
+        ),
+        articles, results, total, run,
+    )
+    starts = results.where("status = 'new'").select("id", "seq", F.lit(True).alias("starts"))
+    added = made.where(F.col("run") == run)
+    return (
+        added.join(starts, ["id", "seq"], "left").select(*added.columns, F.coalesce("starts", F.lit(False)).alias("starts")),
+        missing,
+    )
+
+
+def log_segments(log: DataFrame, total: int = 0, floor: int | None = None) -> DataFrame:
+    """The log merged: every story's segments from the run that started it last.
+
+    The starts are aggregated before the shuffle; a story that holds most segments is split.
+    """
+    begun = log.where("starts").groupBy("id").agg(F.max("run").alias("_from"))
+    met = spread_join(log, begun, ["id"], "inner", "seq", total, floor)
+    return met.where("run >= _from").drop("_from")
+
+
 def article_export(articles: DataFrame, prefix: str = "") -> DataFrame:
     """``key, json``: article without its image, images cut out of its HTML."""
     payload = F.struct(

@@ -26,13 +26,15 @@ class State:
     """``store`` as in ``store_schema``, ``seen`` as in ``schemas.SEEN``.
 
     ``last_add_at`` is the time of the last addition to ``seen``, which expires
-    as a whole.  A ``blank`` store is known to hold nothing.
+    as a whole.  A ``blank`` store is known to hold nothing.  ``filters``, if given,
+    are Bloom filters that hold at least the keys of ``seen``.
     """
 
     store: DataFrame
     seen: DataFrame
     last_add_at: datetime | None = None
     blank: bool = False
+    filters: DataFrame | None = None
 
     @staticmethod
     def empty(spark: SparkSession, vector_type: str = VECTOR_TYPE) -> "State":

@@ -12,6 +12,7 @@ from tidewire.functions import vectors as V
 from tidewire.operators import runs as R
 from tidewire.operators.embedders import DenseEmbedder, TermEmbedder
 from tidewire.operators.exact import exact_keep_first, exact_match
+from tidewire.operators.membership import build_filter, filtered_match
 from tidewire.plans import dedup as D
 from tidewire.plans.state import State, store_metadata
 from tidewire.registry.base import (
@@ -124,15 +125,14 @@ def _shown(results):
 # -- exact stage ------------------------------------------------------------
 
 
-@register(
-    "JN1_exact_match",
-    f"""with a as (select page_id as seq, {SQL_URL_KEY} as url, {SQL_TITLE} as title, url as raw from pages),
+_SQL_SEEN = f"""with a as (select page_id as seq, {SQL_URL_KEY} as url, {SQL_TITLE} as title, url as raw from pages),
         seen as (select 'title' as kind, title as value from a where raw like 'http://%'
                  union select 'url', url from a where raw like '%/fr/%')
         select seq, exists (select 1 from seen where kind = 'url' and value = a.url)
-          or exists (select 1 from seen where kind = 'title' and value = a.title) as is_exact from a""",
-)
-def jn1(spark, sf):
+          or exists (select 1 from seen where kind = 'title' and value = a.title) as is_exact from a"""
+
+
+def _asked_and_seen(spark, sf):
     a = table(spark, sf, "pages").select(
         F.col("page_id").alias("seq"), url_key(F.col("url")).alias("url"),
         H.html_title(F.col("html")).alias("title"), F.col("url").alias("raw"),
@@ -140,10 +140,30 @@ def jn1(spark, sf):
     seen = a.where("raw like 'http://%'").select(F.lit("title").alias("kind"), F.col("title").alias("value")).unionByName(
         a.where("raw like '%/fr/%'").select(F.lit("url").alias("kind"), F.col("url").alias("value"))
     )
-    hits = exact_match(a, seen, a.count()).withColumn("hit", F.lit(True))
+    return a, seen
+
+
+def _flagged(a, found):
+    hits = found.withColumn("hit", F.lit(True))
     return a.select("seq").join(hits, "seq", "left").select("seq", F.coalesce("hit", F.lit(False)).alias("is_exact"))
 
 
+@register("JN1_exact_match", _SQL_SEEN)
+def jn1(spark, sf):
+    a, seen = _asked_and_seen(spark, sf)
+    return _flagged(a, exact_match(a, seen, a.count()))
+
+
+@register("JN1_filtered_match", _SQL_SEEN)
+def jn1_filtered(spark, sf):
+    """The same rows, past the Bloom filters of two parts of the history."""
+    a, seen = _asked_and_seen(spark, sf)
+    a, seen = cut(a, "asked"), cut(seen, "seen")
+    parts = [seen.where(F.col("kind") == kind) for kind in ("url", "title")]
+    filters = [build_filter(part, part.count(), i) for i, part in enumerate(parts)]
+    return _flagged(a, filtered_match(a, seen, cut(filters[0].unionByName(filters[1]), "filters"), a.count()))
+
+
 # Pages by host and title: both keys repeat, so dropped rows must not drop others.
 _SQL_HOSTS = rf"""
 arts as (

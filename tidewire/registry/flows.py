@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import html as H
 from tidewire.functions import text as X
+from tidewire.functions.captions import ass_header
 from tidewire.operators import runs as R
 from tidewire.operators.embedders import DenseEmbedder, TermEmbedder
+from tidewire.operators.stories import SEGMENT_MARK, append_concat
 from tidewire.plans.captioning import caption
 from tidewire.plans.ingest import ingest
 from tidewire.plans.state import State
@@ -21,6 +24,7 @@ from tidewire.registry.dedups import (
     SQL_EXACT, SQL_PAGE_TEXT, SQL_TERM_SIMS, SQL_VECTORS, THRESHOLD, _RESULT, _SQL_DENSE, _dense,
     _vector_articles, sql_walk,
 )
+from tidewire.registry.reports import _sql_text
 from tidewire.registry.stores import PAIR_THRESHOLD
 from tidewire.schemas import STORY_SEGMENT
 from tidewire.session import scratch_path, widen
@@ -30,6 +34,8 @@ from tidewire.sources.pages import page_extract, page_lookup
 from tidewire.streaming import messages as SM
 from tidewire.streaming.state import StateFolder, dedup_stream, run_batch
 
+SEGMENT_SPLIT = SEGMENT_MARK.replace("-", "[-]")
+
 # -- feeds ------------------------------------------------------------------
 
 ITEMS_PER_FEED = 12
@@ -414,8 +420,9 @@ _DENSE_COLUMNS = (
 )
 
 
-def _vector_stream(spark, sf, parts: int) -> DataFrame:
-    """Vectors landing in ``parts`` ranges, each taken by a stream run an hour after the last."""
+def _vector_stream(spark, sf, parts: int, **options) -> tuple[DataFrame, StateFolder]:
+    """Vectors landing in ``parts`` ranges, each taken by a stream run an hour after the last, started
+    anew from its checkpoint: the results, and the state behind them."""
     articles = _vector_articles(spark, sf)
     n = articles.count()
     path = scratch_path(spark, "articles")
@@ -426,9 +433,9 @@ def _vector_stream(spark, sf, parts: int) -> DataFrame:
         articles.where(mine).write.mode("append").parquet(path)
         stream = spark.readStream.schema(_DENSE_COLUMNS).parquet(path).withColumnRenamed("seq", "_order")
         dedup_stream(
-            stream, folder, _dense(), results, check, lambda b: NOW + timedelta(hours=b), ["_order"]
+            stream, folder, _dense(), results, check, lambda b: NOW + timedelta(hours=b), ["_order"], **options
         ).awaitTermination()
-    return spark.read.parquet(results)
+    return spark.read.parquet(results), folder
 
 
 def _by_id(results: DataFrame) -> DataFrame:
@@ -442,7 +449,29 @@ def _by_id(results: DataFrame) -> DataFrame:
 )
 def str4(spark, sf):
     """Two batches an hour apart give what one batch gives."""
-    return _by_id(_vector_stream(spark, sf, 2))
+    return _by_id(_vector_stream(spark, sf, 2)[0])
+
+
+@register(
+    "SNK2_story_stream",
+    f"""with recursive {_SQL_DENSE}, {sql_walk(PAIR_THRESHOLD)},
+        segments as (
+          select coalesce(j.matching_id, a.id) as id, seq from arts a join judged j using (seq))
+        select id, 1 as parts, count(*)::integer as segments, string_agg('t' || seq, ',' order by seq) as titles,
+          count(distinct id) = 1 as one_body from segments group by id""",
+)
+def snk2_stream(spark, sf):
+    """Stories of three batches, folded on the way, each run started anew: one body per story."""
+    _, folder = _vector_stream(spark, sf, 3, stories=True, fold_every=2)
+    segments = folder.stories()
+    bodies = append_concat(segments).groupBy("id").agg(
+        F.count("*").cast("int").alias("parts"),
+        F.sum(F.size(F.split("body", SEGMENT_SPLIT))).cast("int").alias("segments"),
+    )
+    titles = segments.groupBy("id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "seq", "title"))), lambda x: x["title"]), ",").alias("titles")
+    )
+    return bodies.join(titles, "id").select("id", "parts", "segments", "titles", (F.col("parts") == 1).alias("one_body"))
 
 
 @register(
@@ -489,7 +518,7 @@ def str6(spark, sf):
 # -- whole runs -------------------------------------------------------------
 
 
-def _sql_ingest() -> str:
+def _sql_run() -> str:
     return f"""with recursive {_SQL_FEED}, {SQL_PAGE_TEXT},
       filled as (
         select row_number() over (order by feed, pos) as seq, o.id, o.link as url, o.title, o.summary, p.text
@@ -498,22 +527,43 @@ def _sql_ingest() -> str:
       {SQL_EXACT},
       survivors as (select seq, id, coalesce(nullif(text, ''), nullif(summary, ''), title) as text from arts
                     where seq in (select seq from passed)),
-      corpus as (select seq, text from survivors), {SQL_VECTORS}, {SQL_TERM_SIMS}, {sql_walk(THRESHOLD)}
+      corpus as (select seq, text from survivors), {SQL_VECTORS}, {SQL_TERM_SIMS}, {sql_walk(THRESHOLD)}"""
+
+
+def _sql_ingest() -> str:
+    return f"""{_sql_run()}
       select 'run-1' as run_id,
         (select count(*) from judged where matching_id is null) as new_count,
         (select count(*) from arts) - (select count(*) from judged where matching_id is null) as duplicate_count,
         (select count(*) from filled where url = '') as failed_count, 0::bigint as error_count"""
 
 
-@register("RUN_ingest", _sql_ingest())
-def run_ingest(spark, sf):
-    """Feeds to counts in one run: every step of the refresh."""
+def _ingested(spark, sf):
     empty = spark.createDataFrame([], STORY_SEGMENT)
-    run = ingest(
+    return ingest(
         feed_documents(spark, sf), table(spark, sf, "pages"), State.empty(spark), empty, NOW,
         TermEmbedder(THRESHOLD), "run-1",
     )
-    return run.counts
+
+
+@register("RUN_ingest", _sql_ingest())
+def run_ingest(spark, sf):
+    """Feeds to counts in one run: every step of the refresh."""
+    return _ingested(spark, sf).counts
+
+
+@register(
+    "RUN_ingest_rows",
+    f"""{_sql_run()}
+      select f.id, case when f.url = '' then 'failed' when j.seq is not null and j.matching_id is null then 'new'
+               else 'duplicate' end as status,
+             f.url <> '' and f.seq not in (select seq from survivors) as is_exact_duplicate,
+             case when f.url = '' then 'article URL is empty' end as error
+      from filled f left join judged j using (seq)""",
+)
+def run_ingest_rows(spark, sf):
+    """The same run, article by article."""
+    return _ingested(spark, sf).outcome.results.select("id", "status", "is_exact_duplicate", "error")
 
 
 @register(
@@ -533,3 +583,33 @@ def run_captioning(spark, sf):
     )
     counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("part"), "rows") for name, df in parts]
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+@register(
+    "RUN_captioning_rows",
+    f"""with {SQL_MESSAGES}, good as (select *, 'w' || "offset" as w from msg where {_SQL_REASON} is null and n_words > 0)
+        select uuid as key, 'script' as part, md5({_sql_text(ass_header("Captions"))}
+            || 'Dialogue: 0,0:00:00.00,0:00:00.50,Default,,0,0,0,,{{\\c&H0000FFFF&}}' || w
+            || '{{\\c&H00FFFFFF&}}' || chr(10)) as value from good
+        union all select uuid, 'duration', '1.0' from good
+        union all select uuid, 'title', w || ' ' from good
+        union all select uuid, 'description', 'Sources:' || chr(10) || 'https://e.example.org/' || "offset" || chr(10) || chr(10)
+            || '📱 Follow for daily tech updates!' || chr(10) || '#tech #ai #technology #shorts' from good
+        union all select "offset"::varchar, 'rejected', coalesce({_SQL_REASON}, 'no captions') from msg
+          where "offset" not in (select "offset" from good)""",
+)
+def run_captioning_rows(spark, sf):
+    """The same run, message by message."""
+    out = caption(message_values(spark, sf), table(spark, sf, "pages"))
+    parts = (
+        ("script", out.scripts, "uuid", F.md5("script")),
+        ("duration", out.durations, "uuid", F.col("duration").cast("string")),
+        ("title", out.metadata, "uuid", F.col("title")),
+        ("description", out.metadata, "uuid", F.col("description")),
+        ("rejected", out.rejected, F.col("offset").cast("string"), F.col("reject_reason")),
+    )
+    rows = [
+        df.select((F.col(key) if isinstance(key, str) else key).alias("key"), F.lit(name).alias("part"), value.alias("value"))
+        for name, df, key, value in parts
+    ]
+    return reduce(DataFrame.unionByName, rows)

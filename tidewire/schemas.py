@@ -13,5 +13,7 @@ SEEN = "kind string, value string"
 
 # One row per segment of a story.
 STORY_SEGMENT = "id string, run long, seq long, title string, text string"
+# A segment in the log: ``starts`` marks the first of a story, which replaces any before it.
+STORY_LOG = f"{STORY_SEGMENT}, starts boolean"
 
 MESSAGE_ENVELOPE = "topic string, partition int, offset bigint, key string, value string"

@@ -1,12 +1,12 @@
 """State between micro-batches as plain Parquet tables, one partition per batch.
 
 Every batch writes only what it changed: store rows added, ids refreshed, keys
-remembered.  A row in ``commits``, written last, makes the batch visible.  A
+remembered and a Bloom filter of these.  A row in ``commits``, written last, makes the batch visible.  A
 batch reads the commits before its own number, so running it again, after a
 failure or from a checkpoint, reads the same past and replaces its own files.
 
-``fold`` writes what is still in date as a snapshot, ``reset`` an empty one.  Snapshots
-are numbered apart from batches and say after which batch they stand: later batches
+``fold`` writes what is still in date as a snapshot, and all stories, merged; ``reset``
+writes an empty one.  Snapshots are numbered apart from batches and say after which batch they stand: later batches
 start from the latest one, a batch that is run again from the one it had before it.
 The term model is written by the first batch that fits one and read by all later ones.
 """
@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.vectors import VECTOR_TYPE, TermModel
 from tidewire.operators.embedders import TermEmbedder
+from tidewire.operators.membership import FILTER, build_filter
+from tidewire.operators.stories import log_segments, story_log
 from tidewire.plans.dedup import Outcome, process
 from tidewire.plans.state import State, stamped, store_schema
-from tidewire.schemas import SEEN
+from tidewire.schemas import SEEN, STORY_LOG
 from tidewire.session import cut
 
 TOUCH = "id string, at timestamp"
@@ -67,6 +69,10 @@ class StateFolder:
             "snap_store": store_schema(self.vector_type),
             "snap_seen": SEEN,
             "folds": FOLD,
+            "filters": FILTER,
+            "snap_filters": FILTER,
+            "stories": STORY_LOG,
+            "snap_stories": STORY_LOG,
         }
 
     def _read(self, name: str) -> DataFrame:
@@ -76,6 +82,11 @@ class StateFolder:
     def _write(self, df: DataFrame, name: str, v: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={v}")
 
+    def _filter(self, keys: str, name: str, v: int, part: int) -> None:
+        """Write the filter of the keys that partition ``v`` has got."""
+        written = self._read(keys).where(F.col("v") == v).select("kind", "value")
+        self._write(build_filter(written, written.count(), part), name, v)
+
     def last_commit(self, before: int) -> Commit | None:
         rows = (
             self._read("commits")
@@ -134,7 +145,27 @@ class StateFolder:
             F.greatest("last_update", "_at").alias("last_update"),
         )
         seen = with_base("snap_seen", "seen", last.seen_from).select("kind", "value")
-        return State(store, seen.distinct(), last.last_add_at if later else folded_at), last
+        filters = with_base("snap_filters", "filters", last.seen_from)
+        return State(store, seen.distinct(), last.last_add_at if later else folded_at, filters=filters), last
+
+    def _story_rows(self, before: int) -> DataFrame:
+        """The log below ``before``: the latest snapshot and the committed batches after it."""
+        snap, upto, _ = self.last_fold(before)
+        done = self._read("commits").where((F.col("v") > upto) & (F.col("v") < before) & (F.col("v") >= 0)).select("v")
+        rows = self._read("stories").where((F.col("v") > upto) & (F.col("v") < before)).join(done, "v", "left_semi")
+        if snap >= 0:
+            rows = rows.unionByName(self._read("snap_stories").where(F.col("v") == snap))
+        return rows.drop("v")
+
+    def stories(self, before: int = END, total: int = 0) -> DataFrame:
+        """Every story's segments as of the last commit below ``before``."""
+        return log_segments(self._story_rows(before), total)
+
+    def tell(self, articles: DataFrame, results: DataFrame, v: int, total: int = 0) -> None:
+        """Write what batch ``v`` adds to the stories; its commit makes it visible."""
+        known = self._story_rows(v).where("starts").select("id").distinct()
+        log, _ = story_log(known, articles, results, total, v)
+        self._write(log, "stories", v)
 
     def model(self) -> TermModel | None:
         """The term model of this state, if a batch has written one."""
@@ -160,6 +191,7 @@ class StateFolder:
         self._write(outcome.added, "adds", v)
         self._write(outcome.touched.withColumn("at", F.lit(now)), "touches", v)
         self._write(outcome.new_keys, "seen", v)
+        self._filter("seen", "filters", v, v)
         if last is None:
             self.commit(v, v, v, outcome.state.last_add_at)
             return
@@ -170,13 +202,17 @@ class StateFolder:
 
     def _fold(self, state: State | None, upto: int, last_add_at: datetime | None, now: datetime | None) -> None:
         number = (self._read("folds").agg(F.max("v")).first()[0] or 0) + 1
+        stories = self.stories(upto + 1)
         if state is None:
             state = State.empty(self.spark, self.vector_type)
-            store, seen = state.store, state.seen
+            store, seen, stories = state.store, state.seen, stories.limit(0)
         else:
             store, seen = state.fresh_store(now), state.seen_at(now)
+        self._write(stories, "snap_stories", number)
         self._write(store, "snap_store", number)
         self._write(seen, "snap_seen", number)
+        # Numbered below the batches' filters, so that none is like another.
+        self._filter("snap_seen", "snap_filters", number, -number)
         row = self.spark.createDataFrame([(upto, last_add_at)], FOLD)
         self._write(row.coalesce(1), "folds", number)
 
@@ -201,11 +237,13 @@ def run_batch(
     embedder,
     results_path: str,
     reset: bool = False,
+    stories: bool = False,
     **options,
 ) -> Outcome:
     """Deduplicate batch ``v`` against the state before it and record the next state.
 
-    ``reset`` is a full run: it starts from nothing.  Without it the run refreshes.
+    ``reset`` is a full run: it starts from nothing.  Without it the run refreshes.  With ``stories``
+    new articles start stories and similar ones are appended to them, in the folder's log.
     """
     state, last = (State.empty(folder.spark, folder.vector_type), None) if reset else folder.load(v)
     fits = isinstance(embedder, TermEmbedder)
@@ -215,6 +253,8 @@ def run_batch(
     if fits:
         folder.keep_model(embedder.model)
     outcome.results.write.mode("overwrite").parquet(f"{results_path}/v={v}")
+    if stories:
+        folder.tell(articles, outcome.results, v)
     folder.advance(v, last, state, outcome, now)
     return outcome
 
