@@ -20,7 +20,7 @@ LENGTH, GRAM = 100, 40
 # Bytes that are hashed at once, and bytes of texts whose contexts are held against each other at once.
 SLICE, CHUNK = 1_000_000, 8_000_000
 # Contexts that are handed to one task, sorted at once, and that may share one key.
-BUNDLE, SORTED, CROWD = 1 << 14, 1 << 12, 1 << 10
+BUNDLE, SORTED, CROWD = 1 << 14, 1 << 12, 1 << 14
 
 KINDS = "a long, t long, pos int, left int, size int, key long, ctx binary"
 CONTEXTS = pa.schema(
