@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidewire.llm import extraction, lattice, learning, mixing, neardup, packing, pii, quality, rules, sharding, toxicity
+from tidewire.llm import extraction, lattice, learning, mixing, neardup, packing, pii, quality, queries, rules, sharding, toxicity
 from tidewire.llm.draws import even, hypergeometric, splitting_tree
 
 SMALL = "/root/testdata/sf0.001"
@@ -123,6 +123,20 @@ def test_mixing(spark, docs):
     assert mixing.laid_out(pieces).count() == len(kept)
 
 
+def test_places_follow_the_drawn_quotas(spark):
+    """The query's own places: every shard has the blocks that the tree drew, and each word one place."""
+    got = queries.op2_mixing(spark, SMALL)
+    pieces = got.select("source_size", "target", F.explode("places").alias("p")).select("source_size", "target", "p.*").toPandas()
+    assert pieces["length"].sum() == got.agg(F.sum("taken")).first()[0]
+    blocks = pieces.groupby(["shard", "place"])["length"].sum()
+    per_shard = blocks.groupby("shard").size()
+    assert set(per_shard.index) == set(range(16)) and per_shard.max() - per_shard.min() <= 1
+    for s, n in per_shard.items():
+        assert sorted(blocks[s].index) == list(range(n))
+    # All blocks are whole but the last of each source.
+    assert (blocks != blocks.max()).sum() <= pieces.groupby(["source_size", "target"]).ngroups * 2
+
+
 def test_block_quotas_are_exact():
     length, blocks = mixing.deal_blocks([100_000, 0, 40_321], 8, 1)
     counts = collections.Counter(s for _, _, s, _ in blocks)

@@ -151,13 +151,17 @@ def mix(
 
 
 def taken(pieces: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per input row: the named columns of ``row``, its size, target and the words taken."""
+    """One row per input row: the named columns of ``row``, its size, target and the words taken, and in
+    ``places`` where the tree has put them: the shard, the block's place in it, the piece's turn in the
+    block, and the piece's words; a row that is left out has none."""
+    piece = F.when(F.col("length").isNotNull(), F.struct("shard", "place", "turn", "pass", "start", "length"))
     return (
         pieces.groupBy("rid.sid", "rid.cell", "rid.rank")
         .agg(
             *[F.first(F.col("row").getField(c)).alias(c) for c in columns],
             *[F.first(c).alias(c) for c in ("size", "source_size", "target")],
             F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("taken"),
+            F.array_sort(F.collect_list(piece)).alias("places"),
         )
         .drop("sid", "cell", "rank")
     )
