@@ -25,8 +25,9 @@ from tidewire.session import cut
 CELL_ROWS, VISITORS, LEAF_ROWS = 32_768, 8_192, 512
 # Cells that one is cut into at most, and rows that one call deals to them.
 FANOUT, DEALT = 64, 32_768
-# A cell that keeps more than this share of the rows can't be cut further; it is split by hash.
-STUCK = 0.98
+# A cell that keeps more than this share of the rows, so many pivots beside, can't be cut further; it is
+# split by hash.
+STUCK = 0.5
 # Distances are rounded by less than this.
 SLACK = 1e-6
 SCORE_DIGITS = 6
@@ -184,9 +185,9 @@ class Cells:
     def __init__(self, rows: DataFrame, n: int, cell_rows: int = CELL_ROWS, fanout: int | None = None):
         fanout = fanout or FANOUT
         self.cell_rows, self.levels = cell_rows, []
-        here = rows.select("id", "vec").withColumn("cell", F.lit(0).cast("long"))
+        here = rows.select("id", "vec").withColumn("cell", F.lit("0"))
         done = []
-        sizes = rows.sparkSession.createDataFrame([(0, n)], "cell long, n long")
+        sizes = rows.sparkSession.createDataFrame([("0", n)], "cell string, n long")
         while n > cell_rows:
             kids = F.least(F.lit(fanout), F.ceil(2 * F.col("n") / cell_rows)).cast("int")
             large = sizes.where(F.col("n") > cell_rows).withColumn("kids", F.greatest(kids, F.lit(2)))
@@ -208,7 +209,7 @@ class Cells:
         picked = (
             candidates.withColumn("i", F.row_number().over(order) - 1)
             .where("i < kids")
-            .select("cell", "i", F.col("c.vec").alias("pivot"))
+            .select("cell", "i", F.concat_ws(".", "cell", "i").alias("kid"), F.col("c.vec").alias("pivot"))
         )
         pivots = cut(picked, "cell-pivots")
         kind = rows.schema["id"].dataType.simpleString()
@@ -218,20 +219,20 @@ class Cells:
             x, p = matrix(rows.column("vec"), rows.num_rows), matrix(pivots.column("pivot"), pivots.num_rows)
             dist = _distances(x, p)
             home = dist.argmin(axis=1)
-            kid = rows.column("cell").to_numpy() * fanout + 1 + home
-            return rows.select(["id", "vec"]).append_column("cell", pa.array(kid)).append_column(
+            own = pivots.column("kid").combine_chunks().take(pa.array(home))
+            return rows.select(["id", "vec"]).append_column("cell", own).append_column(
                 "dist", pa.array(dist[np.arange(len(x)), home])
             )
 
         moved = cut(
-            _beside(rows.select("id", "vec", "cell"), large, pivots, deal, f"id {kind}, vec array<double>, cell long, dist double"),
+            _beside(rows.select("id", "vec", "cell"), large, pivots, deal, f"id {kind}, vec array<double>, cell string, dist double"),
             "cells",
         )
         stats = moved.groupBy("cell").agg(
             F.count(F.lit(1)).alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")
         )
         named = pivots.join(large.select("cell", F.col("n").alias("of")), "cell").select(
-            "cell", (F.col("cell") * fanout + 1 + F.col("i")).alias("kid"), "pivot", "of"
+            "cell", "kid", "pivot", "of"
         )
         level = named.join(stats.withColumnRenamed("cell", "kid"), "kid").withColumn(
             "stuck", F.col("n") > STUCK * F.col("of")
@@ -241,7 +242,7 @@ class Cells:
     def _down(self, queries: DataFrame, choose) -> DataFrame:
         """(id, vec, least, cell): the cells that ``choose`` sends each query to, level by level."""
         kind = queries.schema["id"].dataType.simpleString()
-        here, done = queries.select("id", "vec", "least").withColumn("cell", F.lit(0).cast("long")), []
+        here, done = queries.select("id", "vec", "least").withColumn("cell", F.lit("0")), []
 
         def go(rows: pa.Table, level: pa.Table) -> pa.Table:
             level = level.sort_by("kid")
@@ -258,7 +259,7 @@ class Cells:
             inside = here.join(inner, "cell", "left_semi")
             sizes = inside.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
             here = cut(
-                _beside(inside, sizes, level, go, f"id {kind}, vec array<double>, least double, cell long"), "cell-visits"
+                _beside(inside, sizes, level, go, f"id {kind}, vec array<double>, least double, cell string"), "cell-visits"
             )
         return reduce(DataFrame.unionByName, done, here)
 
