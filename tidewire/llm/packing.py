@@ -23,9 +23,9 @@ from tidewire.session import cut
 MARKED = re.compile(r"([!-/:-@\[-`{-~]*)([^\s!-/:-@\[-`{-~]+)([!-/:-@\[-`{-~]*)")
 # Pieces that are packed together, on average.
 BATCH = 256
-# Bytes that a worker may hold in words and their ids, and what an entry takes beside them.  Half of it
-# are words met lately; when these are more, they take the place of the other half.
-CACHE, ENTRY = 96 << 20, 200
+# Bytes that a worker may hold in words and their ids, and what an entry takes beside them; when there
+# are more, it starts anew.
+CACHE, ENTRY = 120 << 20, 200
 # Characters of text that are tokenized at once.
 CHUNK = 500_000
 
@@ -53,33 +53,24 @@ class WordIds(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.marks: dict[str, bytes] = {"": b""}
-        self.held, self.before = 0, {}
+        self.held = 0
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def hold(self, found: dict[bytes, bytes]) -> None:
         self.update(found)
         self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
 
-    def age(self) -> None:
-        """What isn't met again until this is called next is forgotten."""
-        self.before = dict(self)
+    def forget(self) -> None:
         self.clear()
         self.marks, self.held = {"": b""}, 0
 
-    def recall(self, words: set[bytes]) -> set[bytes]:
-        """The words that aren't held; those of the older half are met again."""
-        if self.before:
-            older = self.before
-            self.hold({w: older[w] for w in words if w in older and w not in self})
-        return {w for w in words if w not in self}
-
     def one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         """Tokenize new words; letters many words at a time, cut where a token ends a word."""
         apart, alone, plain = {}, [], set()
-        for w in self.recall(words):
+        for w in words:
             text = w.decode()
             if text.isascii() and text.isalpha():
                 plain.add(w)
@@ -91,7 +82,7 @@ class WordIds(dict):
             else:
                 alone.append(w)
         plain.update(m[1].encode() for m in apart.values())
-        stems = list(self.recall(plain))
+        stems = [w for w in plain if w not in self]
         for at in range(0, len(stems), 2000):
             part = stems[at : at + 2000]
             got = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
@@ -113,8 +104,8 @@ class WordIds(dict):
         return self.marks[run]
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        if self.held > CACHE // 2:
-            self.age()
+        if self.held > CACHE:
+            self.forget()
         split = [t.encode("utf-8", "replace").lower().split() for t in texts]
         found = [list(map(self.get, ws)) for ws in split]
         gaps = [i for i, ids in enumerate(found) if None in ids]
