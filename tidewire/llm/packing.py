@@ -25,7 +25,7 @@ MARKED = re.compile(r"([!-/:-@\[-`{-~]*)([^\s!-/:-@\[-`{-~]+)([!-/:-@\[-`{-~]*)"
 BATCH = 256
 # Bytes that a worker may hold in words and their ids, and what an entry takes beside them; when there
 # are more, it starts anew.
-CACHE, ENTRY = 120 << 20, 200
+CACHE, ENTRY = 192 << 20, 200
 # Characters of text that are tokenized at once.
 CHUNK = 500_000
 
@@ -53,7 +53,7 @@ class WordIds(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.marks: dict[str, bytes] = {"": b""}
-        self.held = 0
+        self.held, self.most = 0, CACHE
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def hold(self, found: dict[bytes, bytes]) -> None:
@@ -104,7 +104,7 @@ class WordIds(dict):
         return self.marks[run]
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        if self.held > CACHE:
+        if self.held > self.most:
             self.forget()
         split = [t.encode("utf-8", "replace").lower().split() for t in texts]
         found = [list(map(self.get, ws)) for ws in split]
@@ -194,6 +194,7 @@ def pack(
     ids: bool = False,
     carry: list[str] | None = None,
     seed: int = 20_240_131,
+    cache: int = CACHE,
 ) -> DataFrame:
     """One row per piece: the columns ``carry`` of ``df`` (all) in the struct ``row``, ``start``, ``length``,
     ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, if asked, the piece's ``ids``.
@@ -201,7 +202,8 @@ def pack(
     A row's ids end with ``end_id``.  Whole windows of a long text stand alone; the rest is cut
     into parts of at most ``tail`` ids, which are packed in hashed batches of about 256 by
     differencing.  Null and empty texts have the end id alone; repeated rows are packed each.
-    ``tokenizer`` is the path of the vocabulary file on every machine.
+    ``tokenizer`` is the path of the vocabulary file on every machine.  A worker holds the ids of words in
+    ``cache`` bytes; fewer take longer and change nothing else.
     """
     own = ["start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * ids
     row = C.packed(df.select(*[C.col(c) for c in carry or df.columns]))
@@ -213,6 +215,7 @@ def pack(
 
     def tokenize(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
+        words.most = cache
         for whole in batches:
             for batch in chunks(whole):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
