@@ -41,7 +41,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids, as pieces of documents."""
-    return packing.pack(docs, "text", packing.vocabulary(), carry=["doc_id"]).select(
+    # Beside what earlier stages have left in the workers, little is held here.
+    pieces = packing.pack(docs, "text", packing.vocabulary(), carry=["doc_id"], cache=32 << 20)
+    return pieces.select(
         "row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
 
