@@ -252,9 +252,7 @@ def flt4_knn(spark, sf):
 def agg3(spark, sf):
     v = _vectors(spark, sf).select("id", "vec")
     n = v.count()
-    hits = N.threshold_join(v, v, PAIR_THRESHOLD, n, n).where("lid <> rid")
-    best = S.best_match(hits.select(F.col("lid").alias("query_id"), F.col("rid").alias("id"), "sim"))
-    return best
+    return S.best_match(N.nearest_join(v, v, 1, n, n, PAIR_THRESHOLD, skip_self=True))
 
 
 # -- stories ----------------------------------------------------------------
