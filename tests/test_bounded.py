@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_nearest import all_nearest, all_pairs, frame, unit, vectors
 from tidewire.functions import vectors as V
+from tidewire.operators import exact as X
 from tidewire.operators import nearest as N
 from tidewire.operators.embedders import DenseEmbedder
 from tidewire.plans import dedup as D
@@ -69,3 +70,29 @@ def test_check_keeps_the_best_alone(spark, mode, monkeypatch):
 def test_best_match_forms_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(N, "threshold_join", _refuse)
     assert stores.agg3(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def _keep_first(rows):
+    held, kept = [set(), set()], set()
+    for seq, url, title in sorted(rows):
+        if url not in held[0] and title not in held[1]:
+            held[0].add(url)
+            held[1].add(title)
+            kept.add(seq)
+    return kept
+
+
+@pytest.mark.parametrize("kind", ["chain", "chains with crowds"])
+def test_long_chains_are_settled_whole(spark, kind, monkeypatch):
+    """Chains longer than a task may walk take a few rounds, whatever their length."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(X, "components", _refuse)
+    rows = [(n, f"u{(n + 1) // 2}", f"t{n // 2}") for n in range(600)]
+    if kind != "chain":
+        names = rng.permutation(4000)
+        rows = sorted((int(names[n % 7 * 500 + n // 7]) if n % 50 == 0 else 10_000 + n, u, t) for n, u, t in rows)
+        rows += [(20_000 + i, f"u{rng.integers(0, 300)}", f"t{rng.integers(0, 300)}") for i in range(300)]
+    monkeypatch.setattr(X, "SLOW", 0.0)
+    articles = spark.createDataFrame(rows, "seq long, url string, title string")
+    got = {r["seq"] for r in X.exact_keep_first(articles, rounds=8, walk=40).collect()}
+    assert got == _keep_first(rows)
