@@ -13,6 +13,8 @@ from tidewire.functions.text import article_id
 from tidewire.session import tune, widen
 
 NOW = datetime(2024, 1, 31)
+# Messages of one partition or landed file at most; each has some hundred bytes.
+MESSAGE_ROWS = 100_000
 NOW_SQL = "timestamp '2024-01-31 00:00:00'"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,7 +195,7 @@ def message_values(spark: SparkSession, sf: str) -> DataFrame:
     every 23rd has a number as uuid; every 11th has an empty uuid, every 7th no
     voiceover, every 5th no captions.  Errors become failures.
     """
-    e = widen(table(spark, sf, "events"))
+    e = widen(table(spark, sf, "events"), MESSAGE_ROWS)
     n = F.col("event_id")
     key = n.cast("string")
     uuid = F.when(n % 11 == 0, '""').when(n % 23 == 0, key).otherwise(F.concat(F.lit('"u'), key, F.lit('"')))
