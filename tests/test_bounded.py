@@ -13,7 +13,7 @@ from tidewire.operators import nearest as N
 from tidewire.operators.embedders import DenseEmbedder
 from tidewire.plans import dedup as D
 from tidewire.plans.state import State
-from tidewire.registry import stores
+from tidewire.registry import base, flows, stores
 from tidewire.registry.base import NOW
 
 
@@ -96,3 +96,17 @@ def test_long_chains_are_settled_whole(spark, kind, monkeypatch):
     articles = spark.createDataFrame(rows, "seq long, url string, title string")
     got = {r["seq"] for r in X.exact_keep_first(articles, rounds=8, walk=40).collect()}
     assert got == _keep_first(rows)
+
+
+def test_messages_land_in_bounded_files(spark, monkeypatch):
+    """No file and no partition of messages grows with their number; the batches stay four."""
+    monkeypatch.setattr(flows, "MESSAGE_ROWS", 20)
+    monkeypatch.setattr(base, "MESSAGE_ROWS", 20)
+    folder = "/root/testdata/sf0.001"
+    total = base.table(spark, folder, "events").count()
+    path, each = flows._landed_messages(spark, folder)
+    sizes = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in sizes) == total and max(r["count"] for r in sizes) <= 40
+    assert -(-len(sizes) // each) <= 4
+    made = base.message_values(spark, folder)
+    assert made.rdd.getNumPartitions() == -(-total // 20)

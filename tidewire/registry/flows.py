@@ -18,7 +18,7 @@ from tidewire.plans.captioning import caption
 from tidewire.plans.ingest import ingest
 from tidewire.plans.state import State
 from tidewire.registry.base import (
-    NOW, SQL_MESSAGES, SQL_TITLE, message_values, register, table,
+    MESSAGE_ROWS, NOW, SQL_MESSAGES, SQL_TITLE, message_values, register, table,
 )
 from tidewire.registry.dedups import (
     SQL_EXACT, SQL_PAGE_TEXT, SQL_TERM_SIMS, SQL_VECTORS, THRESHOLD, _RESULT, _SQL_DENSE, _dense,
@@ -234,17 +234,19 @@ def jn6(spark, sf):
 # -- messages ---------------------------------------------------------------
 
 
-def _landed_messages(spark, sf, files: int = 4) -> str:
+def _landed_messages(spark, sf, batches: int = 4) -> tuple[str, int]:
+    """Messages landed in files of bounded rows: their folder, and how many files a batch takes."""
     path = scratch_path(spark, "topic")
-    message_values(spark, sf).repartitionByRange(files, "offset").write.parquet(path)
-    return path
+    each = max(1, -(-table(spark, sf, "events").count() // (batches * MESSAGE_ROWS)))
+    message_values(spark, sf).repartitionByRange(batches * each, "offset").write.parquet(path)
+    return path, each
 
 
 @register("SRC6_message_source", f"""with {SQL_MESSAGES} select topic, "offset", key, md5(value) as value_md5 from raw""")
 def src6(spark, sf):
     """The envelope read as a stream of landed files, written as it comes."""
     out, check = scratch_path(spark, "envelopes"), scratch_path(spark, "stream")
-    stream = MS.file_message_source(spark, _landed_messages(spark, sf), 1)
+    stream = MS.file_message_source(spark, *_landed_messages(spark, sf))
     stream.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.parquet(out).select("topic", "offset", "key", F.md5("value").alias("value_md5"))
 
@@ -339,7 +341,7 @@ _SQL_REASON = """case when not ok then 'cannot decode message'
 
 def _streamed(spark, sf, handler, split_by=None) -> str:
     out, check = scratch_path(spark, "messages"), scratch_path(spark, "stream")
-    stream = MS.file_message_source(spark, _landed_messages(spark, sf), 1)
+    stream = MS.file_message_source(spark, *_landed_messages(spark, sf))
     SM.message_stream(stream, handler, out, check, split_by=split_by).awaitTermination()
     return out
 
@@ -398,7 +400,7 @@ def udf3(spark, sf):
 )
 def str7(spark, sf):
     out, check = scratch_path(spark, "latest"), scratch_path(spark, "stream")
-    stream = MS.file_message_source(spark, _landed_messages(spark, sf), 1)
+    stream = MS.file_message_source(spark, *_landed_messages(spark, sf))
     SM.latest_state_stream(stream, ["key"], out, check).awaitTermination()
     return spark.read.parquet(out).groupBy("key").agg(
         F.max_by("payload", "offset").alias("payload"), F.max("offset").alias("offset")
