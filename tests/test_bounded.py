@@ -10,6 +10,7 @@ from tests.test_nearest import all_nearest, all_pairs, frame, unit, vectors
 from tidewire.functions import vectors as V
 from tidewire.operators import exact as X
 from tidewire.operators import nearest as N
+from tidewire.operators import similar as S
 from tidewire.operators.embedders import DenseEmbedder
 from tidewire.plans import dedup as D
 from tidewire.plans.state import State
@@ -110,3 +111,18 @@ def test_messages_land_in_bounded_files(spark, monkeypatch):
     assert -(-len(sizes) // each) <= 4
     made = base.message_values(spark, folder)
     assert made.rdd.getNumPartitions() == -(-total // 20)
+
+
+def test_few_texts_are_searched_without_a_shuffle(spark):
+    """Few texts against many give the pairs of the general join, and the many stay where they are."""
+    words = np.random.default_rng(2).integers(0, 30, (240, 12))
+    rows = [(n, " ".join(f"w{w}" for w in row) + (" common words" if n % 2 else "")) for n, row in enumerate(words)] + [(500, ""), (501, None)]
+    texts = V.with_terms(spark.createDataFrame(rows, "id long, text string").repartition(4), "text").drop("text").cache()
+    vecs = V.embed(texts, V.fit(texts), 0.5).cache()
+    few = vecs.where("id < 40 or id >= 500")
+    beside = S.similar_pairs(few, vecs, 0.5)
+    assert "Exchange" not in beside._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    want = {(r["lid"], r["rid"]): r["sim"] for r in S.similar_pairs(few, vecs, 0.5, crowded=20, few=-1).collect()}
+    got = {(r["lid"], r["rid"]): r["sim"] for r in beside.collect()}
+    assert got.keys() == want.keys() and len(got) > 40
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)

@@ -7,6 +7,8 @@ the threshold are compared (see ``operators.nearest``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +25,8 @@ from tidewire.session import cut, cut_counted
 CROWDED_ROWS = 512
 # Products of two entries that are summed up at once.
 PRODUCTS = 2_000_000
+# Left sides of at most so many entries are handed to every task, and so many sums are held at once.
+FEW_ENTRIES, SUMS = 1_000_000, 4_000_000
 SCORE_DIGITS = N.SCORE_DIGITS
 
 
@@ -116,12 +120,16 @@ def similar_pairs(
     floor: int | None = None,
     crowded: int = MAX_DEPTH,
     block: int = CROWDED_ROWS,
+    few: int = FEW_ENTRIES,
 ) -> DataFrame:
     """All pairs at or above ``threshold``.  Inputs: ``id, vec, keys``.
 
-    A key that more than ``crowded`` right rows share would pair each left row
-    with all of them, so its rows are compared by blocks instead.
+    A left side of few entries goes to the right rows where they lie, which are not shuffled.  Else a
+    key that more than ``crowded`` right rows share would pair each left row with all of them, so its
+    rows are compared by blocks instead.
     """
+    if (left.agg(F.sum(F.size("vec.f"))).first()[0] or 0) <= few:
+        return pairs_beside(left, right, threshold)
     lk, rk = _side(left, "l"), _side(right, "r")
     crowd, n = cut_counted(
         rk.select("key")
@@ -143,6 +151,34 @@ def similar_pairs(
     return few.unionByName(many).groupBy("lid", "rid").agg(F.max("sim").alias("sim"))
 
 
+def pairs_beside(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """All pairs at or above ``threshold``, the left side broadcast and the right one read once."""
+    lkind, rkind = _id_types(left, right)
+    held = left.select("id", "vec").toArrow().combine_chunks()
+    ids, lists = held.column("id").combine_chunks(), _flat(held)
+    shared = left.sparkSession.sparkContext.broadcast((ids, lists))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lid, lists = shared.value
+        if not len(lid):
+            return
+        terms, rows = np.unique(lists[0]), max(1, SUMS // len(lid))
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = pa.Table.from_batches([batch.slice(at, rows)])
+                rid, (f, w, ends) = part.column("id").combine_chunks(), _flat(part)
+                met = np.isin(f, terms)
+                ends = np.concatenate([[0], np.cumsum(met)])[ends]
+                for first, sims in _products((f[met], w[met], ends), lists):
+                    i, j = np.nonzero(sims >= threshold)
+                    yield pa.RecordBatch.from_arrays(
+                        [lid.take(pa.array(j)), rid.take(pa.array(i + first)), pa.array(sims[i, j])], names=["lid", "rid", "sim"]
+                    )
+
+    rows = right.select("id", "vec").where(F.col("vec").isNotNull())
+    return rows.mapInArrow(compare, f"lid {lkind}, rid {rkind}, sim double")
+
+
 def term_finder(
     rows: DataFrame,
     threshold: float,
