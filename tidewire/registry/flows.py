@@ -27,7 +27,7 @@ from tidewire.registry.dedups import (
 from tidewire.registry.reports import _sql_text
 from tidewire.registry.stores import PAIR_THRESHOLD
 from tidewire.schemas import STORY_SEGMENT
-from tidewire.session import scratch_path, widen
+from tidewire.session import cut, scratch_path, widen
 from tidewire.sources import feeds as FD
 from tidewire.sources import messages as MS
 from tidewire.sources.pages import page_extract, page_lookup
@@ -36,6 +36,9 @@ from tidewire.streaming.state import StateFolder, dedup_stream, run_batch
 
 SEGMENT_SPLIT = SEGMENT_MARK.replace("-", "[-]")
 
+# Files of one row that a task writes, on average: small tables are else written by one task.
+FILES_PER_TASK = 250
+
 # -- feeds ------------------------------------------------------------------
 
 ITEMS_PER_FEED = 12
@@ -112,8 +115,9 @@ _SQL_FEED_ROWS = """select feed, pos, id, title, link as url, epoch(published)::
 def src1(spark, sf):
     """Feeds written one per file and scanned from the folder."""
     path = scratch_path(spark, "feeds")
-    docs = feed_documents(spark, sf)
-    docs.select("feed", F.col("xml").alias("value")).write.partitionBy("feed").text(path)
+    docs = cut(feed_documents(spark, sf), "feeds")
+    tasks = -(-docs.count() // FILES_PER_TASK) or 1
+    docs.select("feed", F.col("xml").alias("value")).repartition(tasks, "feed").write.partitionBy("feed").text(path)
     landed = FD.read_feed_files(spark, f"{path}/*/*.txt").withColumn(
         "feed", F.regexp_extract("feed", "(feed-[0-9]+)", 1)
     )
@@ -252,8 +256,12 @@ def src6(spark, sf):
 
 
 def _message_files(spark, sf) -> str:
-    """One file per conversation: even ones ``.json``, odd ones ``.txt``; some broken or failed."""
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
+    """One file per conversation: even ones ``.json``, odd ones ``.txt``; some broken or failed.
+
+    A file costs milliseconds however small it is, so a task writes few of them.
+    """
+    turns = cut(table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns")), "turns")
+    tasks = -(-turns.count() // FILES_PER_TASK) or 1
     n = F.col("conv_id")
     whole = F.concat(
         F.lit('{"uuid":"c'), n, F.lit('","status":"'), F.when(n % 5 == 0, "failure").otherwise("success"),
@@ -261,14 +269,18 @@ def _message_files(spark, sf) -> str:
     )
     rows = turns.select(n, F.when(n % 7 == 0, F.lit('{"uuid":')).otherwise(whole).alias("value"))
     path = scratch_path(spark, "inbox")
-    rows.where(n % 2 == 1).write.partitionBy("conv_id").text(f"{path}/t")
+
+    def dealt(part: DataFrame):
+        return part.repartition(tasks, "conv_id").write.partitionBy("conv_id")
+
+    dealt(rows.where(n % 2 == 1)).text(f"{path}/t")
     # The text writer names its files .txt; the JSON writer gives .json.
     as_json = rows.where((n % 2 == 0) & (n % 7 != 0)).select(
         n, F.concat(F.lit("c"), n).alias("uuid"), F.get_json_object("value", "$.status").alias("status"),
         F.get_json_object("value", "$.title").alias("title"),
     )
-    as_json.write.partitionBy("conv_id").json(f"{path}/j")
-    rows.where((n % 2 == 0) & (n % 7 == 0)).write.partitionBy("conv_id").text(f"{path}/b")
+    dealt(as_json).json(f"{path}/j")
+    dealt(rows.where((n % 2 == 0) & (n % 7 == 0))).text(f"{path}/b")
     return path
 
 
@@ -285,7 +297,7 @@ f as (select conv_id as n, count(*) as turns from conversations group by 1)
         from f""",
 )
 def src7(spark, sf):
-    rows = MS.json_dir_scan(spark, f"{_message_files(spark, sf)}/*/*")
+    rows = MS.json_dir_scan(spark, _message_files(spark, sf), nested=True)
     number = F.regexp_extract("file", "conv_id=([0-9]+)", 1).cast("long")
     return rows.select(number.alias("conv_id"), "uuid", "title", "file_error")
 
@@ -295,7 +307,7 @@ def src7(spark, sf):
     f"""with {_SQL_FILES} select case when n % 2 = 1 or n % 7 = 0 then 'txt' else 'json' end as kind, count(*) as files from f group by 1""",
 )
 def set2(spark, sf):
-    files = MS.read_message_files(spark, f"{_message_files(spark, sf)}/*/*")
+    files = MS.read_message_files(spark, _message_files(spark, sf), nested=True)
     kind = F.regexp_extract("file", r"\.([a-z]+)\z", 1)
     return files.groupBy(kind.alias("kind")).agg(F.count("*").alias("files"))
 

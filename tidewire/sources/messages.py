@@ -108,15 +108,18 @@ def decode(envelopes: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def read_message_files(spark: SparkSession, path: str) -> DataFrame:
-    """``file, value``: every ``*.json`` and ``*.txt`` file is one message."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{json,txt}")
+def read_message_files(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
+    """``file, value``: every ``*.json`` and ``*.txt`` file is one message.
+
+    With ``nested`` those of all folders below as well, which are listed by tasks.
+    """
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{json,txt}", recursiveFileLookup=nested)
     return files.select(F.col("_metadata.file_path").alias("file"), "value")
 
 
-def json_dir_scan(spark: SparkSession, path: str) -> DataFrame:
+def json_dir_scan(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
     """Decoded messages of a directory; a bad file is an error of that file only."""
-    rows = decode(read_message_files(spark, path))
+    rows = decode(read_message_files(spark, path, nested))
     return rows.withColumn(
         "file_error",
         F.coalesce(
