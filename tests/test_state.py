@@ -14,6 +14,7 @@ from tidewire.operators.store import PageIndex
 from tidewire.plans.dedup import process
 from tidewire.plans.state import State
 from tidewire.schemas import ARTICLE, STORY_SEGMENT
+from tidewire.streaming import state as streaming_state
 from tidewire.streaming.state import StateFolder, run_batch
 
 NOW = datetime(2024, 1, 31)
@@ -124,3 +125,18 @@ def test_filtered_match_is_exact(spark):
     assert sorted(r["seq"] for r in M.filtered_match(articles, seen, filters).collect()) == want and want
     none = articles.where("title = 't5'")
     assert M.filtered_match(none, seen.limit(0), filters.limit(0)).count() == 0
+
+
+def test_batches_broadcast_small_tables_only(spark, tmp_path, monkeypatch):
+    key, seen = "spark.sql.autoBroadcastJoinThreshold", []
+
+    def process(*_, **__):
+        seen.append(spark.conf.get(key))
+        raise LookupError
+
+    monkeypatch.setattr(streaming_state, "process", process)
+    before = spark.conf.get(key)
+    folder = StateFolder(spark, str(tmp_path / "state"))
+    with pytest.raises(LookupError):
+        streaming_state.run_batch(folder, spark.range(1), 0, None, None, str(tmp_path / "results"))
+    assert seen == ["256k"] and spark.conf.get(key) == before

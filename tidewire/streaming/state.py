@@ -27,7 +27,7 @@ from tidewire.operators.stories import log_segments, story_log
 from tidewire.plans.dedup import Outcome, process
 from tidewire.plans.state import State, stamped, store_schema
 from tidewire.schemas import SEEN, STORY_LOG
-from tidewire.session import cut
+from tidewire.session import cut, small_broadcasts
 
 TOUCH = "id string, at timestamp"
 COMMIT = "store_from long, seen_from long, last_add_at timestamp"
@@ -245,6 +245,21 @@ def run_batch(
     ``reset`` is a full run: it starts from nothing.  Without it the run refreshes.  With ``stories``
     new articles start stories and similar ones are appended to them, in the folder's log.
     """
+    with small_broadcasts(folder.spark, articles.sparkSession):
+        return _run_batch(folder, articles, v, now, embedder, results_path, reset, stories, **options)
+
+
+def _run_batch(
+    folder: StateFolder,
+    articles: DataFrame,
+    v: int,
+    now: datetime,
+    embedder,
+    results_path: str,
+    reset: bool,
+    stories: bool,
+    **options,
+) -> Outcome:
     state, last = (State.empty(folder.spark, folder.vector_type), None) if reset else folder.load(v)
     fits = isinstance(embedder, TermEmbedder)
     if fits and embedder.model is None:
@@ -285,7 +300,8 @@ def dedup_stream(
         if not ordered.isEmpty():
             run_batch(folder, ordered, batch_id, clock(batch_id), embedder, results_path, **options)
             if (batch_id + 1) % fold_every == 0:
-                folder.fold(clock(batch_id))
+                with small_broadcasts(folder.spark):
+                    folder.fold(clock(batch_id))
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
