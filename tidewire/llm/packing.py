@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,13 +22,15 @@ from tidewire.session import cut
 
 # ASCII punctuation around one run of other characters.
 MARKED = re.compile(r"([!-/:-@\[-`{-~]*)([^\s!-/:-@\[-`{-~]+)([!-/:-@\[-`{-~]*)")
+# The same around letters alone.
+APART = r"^(?P<before>[!-/:-@\[-`{-~]*)(?P<stem>\pL+)(?P<behind>[!-/:-@\[-`{-~]*)$"
 # Pieces that are packed together, on average.
 BATCH = 256
 # Bytes that a worker may hold in words and their ids, and what an entry takes beside them; when there
 # are more, it starts anew.
 CACHE, ENTRY = 192 << 20, 200
 # Characters of text that are tokenized at once.
-CHUNK = 500_000
+CHUNK = 1_000_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -103,16 +106,63 @@ class WordIds(dict):
             self.held += len(run) + len(self.marks[run]) + ENTRY
         return self.marks[run]
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
+    def of(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """Each text's ids.  A word is looked up once, however often the texts hold it."""
         if self.held > self.most:
             self.forget()
-        split = [t.encode("utf-8", "replace").lower().split() for t in texts]
-        found = [list(map(self.get, ws)) for ws in split]
-        gaps = [i for i, ids in enumerate(found) if None in ids]
-        self.learn({w for i in gaps for w, ids in zip(split[i], found[i], strict=True) if ids is None})
-        for i in gaps:
-            found[i] = [ids or self[w] for w, ids in zip(split[i], found[i], strict=True)]
-        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
+        # A slice of a batch is copied: widening its offsets in place has given wrong bytes.
+        listed = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+        texts = pa.array([(t or "").encode("utf-8", "replace") for t in listed], pa.large_binary()).cast(pa.large_string())
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        ids, sizes = self.unlike(coded.dictionary)
+        ids = ids.take(coded.indices).flatten().to_numpy()
+        upto = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy()])])
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        return np.split(ids, upto[ends[1:-1]]) if len(texts) else []
+
+    def unlike(self, words: pa.Array) -> tuple[pa.LargeListArray, np.ndarray]:
+        """Ids of different words and how many; letters and the marks around them are looked up apart."""
+        parts = pc.extract_regex(words, APART)
+        before, stem, behind = (pc.struct_field(parts, [i]).fill_null("") for i in range(3))
+        whole = pc.or_(pc.is_null(parts), pc.or_(pc.equal(before, "'"), pc.match_substring(words, "\u0130")))
+        for token in self.special:
+            whole = pc.or_(whole, pc.match_substring(words, token))
+        empty = pa.scalar("", pa.large_string())
+        pieces = [
+            pc.if_else(whole, empty, before).dictionary_encode(),
+            pc.if_else(whole, words, stem).dictionary_encode(),
+            pc.if_else(whole, empty, behind).dictionary_encode(),
+        ]
+        found, codes = [], []
+        for i, piece in enumerate(pieces):
+            codes.append(piece.indices.to_numpy() + len(found))
+            found += self.looked_up(piece.dictionary, i != 1)
+        each = _lists(found)
+        ids = each.take(pa.array(np.stack(codes, axis=1).ravel()))
+        sizes = pc.list_value_length(ids).to_numpy().reshape(-1, 3).sum(axis=1)
+        return pa.LargeListArray.from_arrays(_ends(sizes), ids.flatten()), sizes
+
+    def looked_up(self, words: pa.Array, marks: bool) -> list[bytes]:
+        if marks:
+            return list(map(self.mark, words.to_pylist()))
+        words = words.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.get, words))
+        # White space at the ends of a text gives empty words.
+        new = {w for w, ids in zip(words, found, strict=True) if ids is None and w}
+        if new:
+            self.learn(new)
+            found = [ids if ids is not None or not w else self[w] for w, ids in zip(words, found, strict=True)]
+        return [ids or b"" for ids in found]
+
+
+def _ends(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
+
+
+def _lists(found: list[bytes]) -> pa.LargeListArray:
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    return pa.LargeListArray.from_arrays(_ends(sizes), pa.array(np.frombuffer(b"".join(found), "<u4")))
 
 
 def cuts(total: int, window: int, tail: int) -> list[int]:
@@ -130,7 +180,7 @@ def word_ids(path: str) -> WordIds:
 
 def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``CHUNK`` bytes of text each."""
-    ends = np.cumsum([len(t) if t else 0 for t in batch.column("text").to_pylist()])
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
     at = 0
     while at < len(ends):
         base = ends[at - 1] if at else 0
@@ -218,9 +268,8 @@ def pack(
         words.most = cache
         for whole in batches:
             for batch in chunks(whole):
-                texts = [t or "" for t in batch.column("text").to_pylist()]
                 at, cols = [], {c: [] for c in own}
-                for i, found in enumerate(words.of(texts)):
+                for i, found in enumerate(words.of(batch.column("text"))):
                     got, start = np.append(found, np.uint32(end_id)).astype("<u4"), 0
                     for n in cuts(len(got), window, tail):
                         piece = got[start : start + n]
