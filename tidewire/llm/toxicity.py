@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,10 @@ LEADING = 8
 FIRST_BLOCKS = 4
 # The commonest terms, whose weights are also held as a dense matrix, and vectors scored against it at once.
 DENSE = 1024
-TOGETHER = 64
+TOGETHER = 128
+# By how much cosines in single precision may be off: as many products are added up, of weights
+# that aren't negative and cosines of 1 at most.
+MARGIN = (DENSE + 8) * 2.0**-24
 # Examples whose vote without themselves calibrates the score, at most.
 CALIBRATED = 1000
 # Weight of the prior among the votes.
@@ -39,9 +44,13 @@ PRIOR_WEIGHT = 0.5
 # Scored vectors that a worker remembers by digest; when there are more, it starts anew.
 CACHE = 50_000
 # Words whose terms a worker remembers, likewise.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
+# Rows whose packed terms are handed on at once.
+HANDED_ON = 500
 
 TOKEN = re.compile(r"[^\W\d_]+")
+# A space for every ASCII character that isn't a letter.
+SPACED = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def parts(word: str) -> list[str]:
@@ -51,28 +60,51 @@ def parts(word: str) -> list[str]:
 
 
 class Kept(dict):
-    """A number for every word seen, and by it the numbers of the word's terms, as far as they are kept."""
+    """A number for every piece of text without ASCII marks, digits and spaces, and by it the numbers of
+    the terms in it, as far as they are kept.  The terms are held in arrays, which take four bytes each."""
 
     def __init__(self, keep: dict[str, int]):
-        self.keep, self.flat, self.ends = keep, [], [0]
-
-    def __missing__(self, word: str) -> int:
-        # An example's term that is longer than this beginning comes with it.
-        if len(word) <= 4 or word[:4] + "~" in self.keep:
-            self.flat += [self.keep[p] for p in parts(word) if p in self.keep]
+        self.keep = keep
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.flat, self.ends = array("i"), array("i", [0])
+
+    def __missing__(self, piece: str) -> int:
+        get, add = self.keep.get, self.flat.append
+        for word in (piece,) if piece.isalpha() else TOKEN.findall(piece):
+            n = len(word)
+            if n > 4:
+                first = get(word[:4] + "~")
+                if first is None:
+                    # An example's term that is longer than this beginning comes with it.
+                    continue
+                add(first)
+                for k in (5, 6):
+                    if n > k and (found := get(word[:k] + "~")) is not None:
+                        add(found)
+            if (found := get(word)) is not None:
+                add(found)
         self.ends.append(len(self.flat))
-        self[word] = number = len(self.ends) - 2
+        self[piece] = number = len(self.ends) - 2
         return number
 
-    def terms(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The numbers of the terms of each text's tokens, one after the other."""
+    def terms(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The numbers of the terms of each text's tokens, one after the other.
+
+        A token's ASCII characters are letters.  So texts are cut at all others, and each different piece is looked up once.
+        """
         if len(self) >= CACHE_WORDS:
-            self.clear()
-            self.flat, self.ends = [], [0]
-        found = map(tokens, texts)
-        words = [np.fromiter(map(self.__getitem__, ws), np.int64, len(ws)) for ws in found]
-        flat, ends = np.array(self.flat, np.int64), np.array(self.ends, np.int64)
-        for w in words:
+            self.empty()
+        lowered = [t.lower().encode().translate(SPACED) if t else b"" for t in texts.to_pylist()]
+        pieces = pc.ascii_split_whitespace(pa.array(lowered, pa.string()))
+        coded = pieces.flatten().dictionary_encode()
+        number = np.array([self[x] for x in coded.dictionary.to_numpy(zero_copy_only=False)], np.int64)
+        flat, ends = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
+        words = number[coded.indices.to_numpy(zero_copy_only=False)]
+        split = np.cumsum(pieces.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        for w in np.split(words, split):
             at, _ = runs(ends[w], ends[w + 1])
             yield flat[at]
 
@@ -85,7 +117,9 @@ def runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers from each ``first`` to before its ``last``, one run after the other; the runs' lengths."""
     many = last - first
     ends = np.cumsum(many)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + many, many), many
+    out = np.repeat(first - ends + many, many)
+    out += np.arange(len(out))
+    return out, many
 
 
 class Index:
@@ -97,7 +131,8 @@ class Index:
 
     Long texts share their common words with most blocks, so that few are left out.  ``several``
     finds the same neighbours of many vectors at once, without bounds: the commonest terms by one
-    matrix product, all others by their postings.
+    matrix product in single precision, all others by their postings; what may be among the nearest
+    by that is computed again in double precision.
     """
 
     def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], counts: dict[int, int]):
@@ -150,21 +185,30 @@ class Index:
 
     def __getstate__(self) -> dict:
         """What ``score`` needs: tasks get counts, not weights, and no bounds."""
-        left_out = ("weight", "first", "most", "block", "cells", "dense")
+        left_out = ("weight", "first", "most", "block", "cells", "logs", "dense")
         out = {k: v for k, v in self.__dict__.items() if k not in left_out}
         return out | {"example": self.example.astype(np.min_scalar_type(max(len(self.ids), 1)))}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.example = self.example.astype(np.int32)
         self.weight = self.weights()
 
-    def weights(self) -> np.ndarray:
-        """Of the postings."""
-        out = (1 + np.log(self.count.astype(float))) * np.repeat(self.idf, np.diff(self.begin))
-        out /= self.norm[self.example]
+    def weights(self, step: int = 1 << 16) -> np.ndarray:
+        """Of the postings; made a part at a time, so that nothing else as large is held."""
+        out = np.empty(len(self.example))
+        for k in range(0, len(out), step):
+            at = slice(k, min(k + step, len(out)))
+            first, last = np.searchsorted(self.begin, k, "right") - 1, np.searchsorted(self.begin, at.stop)
+            many = np.diff(np.clip(self.begin[first : last + 1], k, at.stop))
+            out[at] = self.logs[self.count[at]] * np.repeat(self.idf[first:last], many) / self.norm[self.example[at]]
         return out
 
+    @cached_property
+    def logs(self) -> np.ndarray:
+        """What a count gives to the weight, by count."""
+        counts = np.arange(int(self.count.max(initial=0)) + 1, dtype=float)
+        return np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0)
+
     def raw(self, terms: list[int], counts: list[int]) -> np.ndarray:
         return (1 + np.log(np.asarray(counts, float))) * self.idf[np.asarray(terms, np.int32)]
 
@@ -173,7 +217,8 @@ class Index:
         return max(math.sqrt(float(w @ w)), 1e-12)
 
     def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return np.asarray(terms, np.int32), self.raw(terms, counts) / self.length(terms, counts)
+        w = self.raw(terms, counts)
+        return np.asarray(terms, np.int32), w / max(math.sqrt(float(w @ w)), 1e-12)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The examples of largest cosine, equal ones by their place, and the cosines."""
@@ -200,35 +245,45 @@ class Index:
         return got, scores
 
     @cached_property
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """The row of each common term (-1 of others), and their weights by example."""
+    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The row of each common term (-1 of others), and by example their weights, in single precision, and counts."""
         begin, many = self.begin, np.diff(self.begin)
         common = np.argsort(-many, kind="stable")[:DENSE]
-        row = np.full(len(many), -1)
+        row = np.full(len(many), -1, np.int32)
         row[common] = np.arange(len(common))
-        out = np.zeros((len(common), len(self.ids)))
+        out = np.zeros((len(common), len(self.ids)), np.float32)
+        counts = np.zeros(out.shape[::-1], self.count.dtype)
         for r, t in enumerate(common):
             at = slice(begin[t], begin[t + 1])
-            out[r, self.example[at]] = self.weight[at]
-        return row, out
+            counts[self.example[at], r] = self.count[at]
+            out[r, self.example[at]] = self.logs[self.count[at]] * self.idf[t] / self.norm[self.example[at]]
+        return row, out, counts
 
     def several(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each vector what ``nearest`` gives."""
-        row, matrix = self.dense
+        row, matrix, counts = self.dense
+        idf = np.zeros(len(matrix))
+        idf[row[row >= 0]] = self.idf[row >= 0]
         for k in range(0, len(vectors), TOGETHER):
             part = vectors[k : k + TOGETHER]
             common = np.zeros((len(part), len(matrix)))
-            for i, (t, w) in enumerate(part):
+            for x, (t, w) in zip(common, part, strict=True):
                 held = row[t] >= 0
-                common[i, row[t[held]]] = w[held]
-            for total, (t, w) in zip(common @ matrix, part, strict=True):
+                x[row[t[held]]] = w[held]
+            for sums, x, (t, w) in zip(common.astype(np.float32) @ matrix, common * idf, part, strict=True):
                 rare = row[t] < 0
                 at, many = runs(self.begin[t[rare]], self.begin[t[rare] + 1])
-                total += np.bincount(self.example[at], self.weight[at] * np.repeat(w[rare], many), len(total))
-                least = max(np.partition(total, -NEIGHBOURS)[-NEIGHBOURS] - 1e-9, 0) if len(total) > NEIGHBOURS else 0
-                ex = np.flatnonzero((total >= least) & (total > 0))
-                best = ex[np.lexsort((ex, -np.round(total[ex], 12)))[:NEIGHBOURS]]
-                yield best, total[best]
+                # No place is out of bounds; without a check they are read faster.
+                weight = self.weight.take(at, mode="clip")
+                weight *= np.repeat(w[rare], many)
+                total = np.bincount(self.example.take(at, mode="clip"), weight, len(sums))
+                near = total + sums
+                least = np.partition(near, -NEIGHBOURS)[-NEIGHBOURS] if len(near) > NEIGHBOURS else 0
+                # What is off by the margin at most can't be beaten by what is twice as far below.
+                ex = np.flatnonzero((near >= least - 2 * MARGIN - 1e-9) & (near > 0))
+                total = total[ex] + self.logs[counts[ex]] @ x / self.norm[ex]
+                best = np.lexsort((ex, -np.round(total, 12)))[:NEIGHBOURS]
+                yield ex[best], total[best]
 
     def vote(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
         """The share of label 1 among the neighbours, each weighed by its squared cosine."""
@@ -252,12 +307,15 @@ class Index:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers below 2^32 by their bytes, all lowest ones first; so small ones compress well."""
-    return np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Numbers below 2^32 by their bytes, all lowest ones first, as many as the largest has; a byte tells how many."""
+    many = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([many]) + np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4)[:, :many].T.tobytes()
 
 
 def unplanes(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    out = np.zeros(((len(x) - 1) // x[0], 4), np.uint8)
+    out[:, : x[0]] = np.frombuffer(x, np.uint8, offset=1).reshape(x[0], -1).T
+    return out.view("<u4").ravel().astype(np.int64)
 
 
 def _terms_of(df: DataFrame) -> DataFrame:
@@ -290,25 +348,29 @@ def _terms_of(df: DataFrame) -> DataFrame:
 
 
 def _numbers_of(df: DataFrame, keep: dict[str, int]) -> DataFrame:
-    """(row, terms, counts) of (row, text): the numbers of the kept terms, as steps, and their counts, packed."""
+    """(row, terms, counts) of (row, text): the numbers of the kept terms, as steps, and their counts, packed.
+
+    A worker holds the kept terms once, and of the packed ones those of a few rows.
+    """
     kind = T.StructType(
         [df.schema["row"], T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType())]
     )
+    shared = df.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Kept(keep)
-        for batch in batches:
-            terms, counts = [], []
-            texts = batch.column("text")
-            for at in range(0, len(texts), 500):
-                for found in known.terms(texts.slice(at, 500).to_pylist()):
+        known = Kept(shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, HANDED_ON):
+                batch = whole.slice(at, HANDED_ON)
+                terms, counts = [], []
+                for found in known.terms(batch.column("text")):
                     number, n = np.unique(found, return_counts=True)
                     terms.append(planes(np.diff(number, prepend=0)))
                     counts.append(planes(n))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
-                names=["row", "terms", "counts"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row"), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
+                    names=["row", "terms", "counts"],
+                )
 
     return df.mapInArrow(run, kind)
 
@@ -395,8 +457,11 @@ def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     del of
     index = Index(weight, vectors, {y: counts[y] for y in sizes})
     del vectors, code, having
+    # Not by the closure, which every task would unpack anew beside the one before it.
+    shared = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         known: dict[bytes, tuple[float, list[int]]] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
