@@ -152,24 +152,32 @@ class Index:
         self.prior = min(max((counts.get(1, 0) + 1) / (sum(counts.values()) + 2), 0.001), 0.999)
         self.blocks = -(-len(examples) // BLOCK)
         sizes = [len(x[2]) for x in examples]
-        term = np.concatenate([np.zeros(0, np.int32), *[np.asarray(x[2], np.int32) for x in examples]])
-        order = np.argsort(term, kind="stable").astype(np.int32)
-        term = term[order]
-        self.example = np.repeat(np.arange(len(examples), dtype=np.int32), sizes)[order]
-        count = np.concatenate([np.zeros(0, np.int32), *[np.asarray(x[3], np.int32) for x in examples]])[order]
-        self.count = count.astype(np.min_scalar_type(count.max(initial=0)))
-        del order, count
-        self.begin = np.searchsorted(term, np.arange(len(idf) + 1))
+        held = np.zeros(len(idf), np.int64)
+        for x in examples:
+            held[x[2]] += 1
+        self.begin = np.concatenate([[0], np.cumsum(held)])
+        # Each example's postings go behind those before it, so that nothing of all postings' size is sorted.
+        self.example = np.empty(self.begin[-1], np.int32)
+        most = max((int(np.max(x[3], initial=0)) for x in examples), default=0)
+        self.count = np.empty(self.begin[-1], np.min_scalar_type(most))
+        free = self.begin[:-1].copy()
+        for e, x in enumerate(examples):
+            at = free[x[2]]
+            self.example[at], self.count[at] = e, x[3]
+            free[x[2]] += 1
+        del free, held
         self.norm = np.array([self.length(x[2], x[3]) for x in examples])
         self.weight = self.weights()
-        new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (self.example[1:] // BLOCK != self.example[:-1] // BLOCK)
-        first = np.flatnonzero(new)
-        self.first = np.append(first, len(term))
+        block = self.example // BLOCK
+        new = np.ones(len(block) + 1, bool)
+        np.not_equal(block[1:], block[:-1], out=new[1:-1])
+        new[self.begin] = True
+        first = np.flatnonzero(new[:-1])
+        self.first = np.append(first, len(block))
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.block = self.example[first] // BLOCK
+        self.block = block[first]
         self.cells = np.searchsorted(first, self.begin)
-        del term, new, first
+        del block, new, first
         self.empty = self.prior
         bare = np.array([not n for n in sizes], bool)
         if bare.any():
@@ -318,33 +326,20 @@ def unplanes(x: bytes) -> np.ndarray:
     return out.view("<u4").ravel().astype(np.int64)
 
 
-def _terms_of(df: DataFrame) -> DataFrame:
-    """(row, terms, counts) of (row, text): of all tokens."""
-    kind = T.StructType(
-        [
-            df.schema["row"],
-            T.StructField("terms", T.ArrayType(T.StringType())),
-            T.StructField("counts", T.ArrayType(T.IntegerType())),
-        ]
-    )
+def _vocabulary(df: DataFrame) -> pa.Table:
+    """(term, n): all terms of the texts and how many have them, the commonest first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter()
         for batch in batches:
-            terms, counts = [], []
             for text in batch.column("text"):
-                found = Counter()
-                for w, n in Counter(tokens(text.as_py())).items():
-                    for x in parts(w):
-                        found[x] += n
-                names = sorted(found)
-                terms.append(names)
-                counts.append([found[x] for x in names])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))],
-                names=["row", "terms", "counts"],
-            )
+                found.update({x for w in set(tokens(text.as_py())) for x in parts(w)})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"]
+        )
 
-    return df.mapInArrow(run, kind)
+    counted = df.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return counted.toArrow().sort_by([("n", "descending"), ("term", "ascending")])
 
 
 def _numbers_of(df: DataFrame, keep: dict[str, int]) -> DataFrame:
@@ -426,37 +421,27 @@ def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     chosen, counts = sample(labels, label, PER_CLASS)
     texts = df.select(C.col(doc_id).cast("long").alias("doc_id"), C.col(text).alias("text"))
-    few = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    examples = cut(_terms_of(few.select(F.struct("doc_id", "y").alias("row"), "text")), "toxicity-examples")
-    rows = examples.select("row.doc_id", "row.y", "terms", "counts").toArrow().sort_by("doc_id")
-    ids, y = rows["doc_id"].to_pylist(), rows["y"].to_numpy()
-    terms, having = rows["terms"].combine_chunks(), rows["counts"].combine_chunks()
-    length = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = terms.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    # Terms are numbered by how many examples have them, the commonest first.
-    code = coded.indices.to_numpy(zero_copy_only=False)
-    size = len(names)
-    order = sorted(range(size), key=lambda k, n=np.bincount(code, minlength=size).tolist(): (-n[k], names[k]))
-    number = np.zeros(size, np.int32)
-    number[order] = np.arange(size)
-    keep = {names[k]: i for i, k in enumerate(order)}
-    code, of = number[code], np.repeat(y, length)
-    sizes = Counter(y.tolist())
-    split = np.cumsum(length)[:-1]
-    del rows, terms, coded, names, order
-    vectors = list(
-        zip(ids, y.tolist(), np.split(code, split), np.split(having.flatten().to_numpy(), split), strict=True)
-    ) if ids else []
+    few = cut(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxicity-examples")
+    # Terms are numbered by how many examples have them; the driver gets their names once, and numbers of examples.
+    keep = {term: i for i, term in enumerate(_vocabulary(few)["term"].to_pylist())}
+    size = len(keep)
     found = cut(
         _numbers_of(df.select(C.packed(df.drop(text)), C.col(text).alias("text")), keep), "toxicity-terms"
     )
-    idf = np.log((found.count() + 1) / (_having(found, size) + 1)) + 1
-    a, b = np.bincount(code[of == 1], minlength=size), np.bincount(code[of == 0], minlength=size)
-    weight = idf * telling(a, b, sizes.get(1, 0), sizes.get(0, 0))
-    del of
+    examples = cut(_numbers_of(few.select(C.packed(few.drop("text")), "text"), keep), "toxicity-numbers")
+    del keep
+    having = _having(found, size)
+    vectors, of = [], np.zeros((2, size), np.int64)
+    for row in examples.select("row.doc_id", "row.y", "terms", "counts").toArrow().sort_by("doc_id").to_batches(1000):
+        for i, y, terms, counted in zip(*(column.to_pylist() for column in row.columns), strict=True):
+            number, n = np.cumsum(unplanes(terms)).astype(np.int32), unplanes(counted)
+            of[y, number] += 1
+            vectors.append((i, y, number, n.astype(np.min_scalar_type(n.max(initial=0)))))
+    sizes = Counter(y for _, y, _, _ in vectors)
+    idf = np.log((found.count() + 1) / (having + 1)) + 1
+    weight = idf * telling(of[1], of[0], sizes.get(1, 0), sizes.get(0, 0))
     index = Index(weight, vectors, {y: counts[y] for y in sizes})
-    del vectors, code, having
+    del vectors
     # Not by the closure, which every task would unpack anew beside the one before it.
     shared = df.sparkSession.sparkContext.broadcast(index)
 
