@@ -194,3 +194,18 @@ def test_long_clip_is_capped(spark):
     rows = [("u", [("a", 500.0, 501.0)])]
     df = spark.createDataFrame(rows, "uuid string, subtitle_timestamps array<struct<text:string,start:double,end:double>>")
     assert CP.clip_durations(df).first()["duration"] == 180.0
+
+
+def test_page_text_is_computed_once(spark):
+    """No pattern of a page stands more than once in the plan, so it isn't searched again."""
+    page = spark.createDataFrame([("<body>a &amp; b</body>",)], "html string")
+    read = page.select(H.plain_text(H.main_content(F.col("html"))).alias("text"), H.html_title(F.col("html")).alias("title"))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    once = ["(?is)<article(?:", "(?is)<main(?:", "(?is)<body(?:", "(?is)<aside(?:", "</?(?:address|"]
+    assert [plan.count(pattern) for pattern in once] == [1] * len(once)
+    assert read.first() == ("a & b", None)
+
+
+def test_elements_made_by_a_removal_go_too(spark):
+    pages = ["<body>a<fo<!-- x -->rm>b</form>c</body>", "<BODY><NAV>m</NAV>d</BODY>", None, ""]
+    assert run(spark, pages, lambda c: H.plain_text(H.main_content(c))) == ["ac", "d", None, ""]

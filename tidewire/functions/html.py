@@ -19,7 +19,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import first_nonempty, nonempty, trim_space
+from tidewire.functions.text import first_nonempty, let, trim_space
 
 # Element names, and the entities that the SQL of the queries decodes.
 DROPPED_ELEMENTS = (
@@ -70,7 +70,10 @@ def _named() -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Every character reference decoded once; unknown names stay."""
+    return let(c, _decoded)
 
+
+def _decoded(c: Column) -> Column:
     def char(ref: Column) -> Column:
         number = F.substring(ref, 2, 1) == "#"
         hexed = F.lower(F.substring(ref, 3, 1)) == "x"
@@ -95,12 +98,35 @@ def html_title(html: Column) -> Column:
     """
     out = F.regexp_replace(html, COMMENT, "")
     for name in SCRIPTS:
-        out = F.regexp_replace(out, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}>", "")
-    first = nonempty(F.regexp_extract(out, TITLE_TAG, 1))
-    later = F.get(
-        F.filter(F.regexp_extract_all(out, F.lit(TITLE_TAG), F.lit(1)), lambda t: t != ""), F.lit(0)
+        out = _without(out, name)
+
+    def title(out: Column) -> Column:
+        later = F.get(
+            F.filter(F.regexp_extract_all(out, F.lit(TITLE_TAG), F.lit(1)), lambda t: t != ""), F.lit(0)
+        )
+        return _first_match(out, [TITLE_TAG], later)
+
+    return trim_space(decode_entities(let(out, title)))
+
+
+def _without(html: Column, name: str) -> Column:
+    """Without the elements of a name.  Most pages lack most of them, which is told faster than by the pattern."""
+    return let(
+        html,
+        lambda h: F.when(
+            F.contains(F.lower(h), F.lit(f"<{name}")), F.regexp_replace(h, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}>", "")
+        ).otherwise(h),
+    )
+
+
+def _first_match(html: Column, patterns: list[str], otherwise: Column) -> Column:
+    """The first group of the first pattern that finds one that isn't empty; no later pattern is tried."""
+    if not patterns:
+        return otherwise
+    return let(
+        F.regexp_extract(html, patterns[0], 1),
+        lambda found: F.when(found != "", found).otherwise(_first_match(html, patterns[1:], otherwise)),
     )
-    return trim_space(decode_entities(F.coalesce(first, later)))
 
 
 def strip_images(html: Column) -> Column:
@@ -110,7 +136,7 @@ def strip_images(html: Column) -> Column:
 def drop_boilerplate(html: Column) -> Column:
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for name in DROPPED_ELEMENTS:
-        out = F.regexp_replace(out, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}>", "")
+        out = _without(out, name)
     return F.regexp_replace(
         out, r"""(?is)<div[^>]*class=["']?(?:ad|ads|advert|sponsor)[\s"'][^>]*>.*?</div>""", ""
     )
@@ -118,12 +144,8 @@ def drop_boilerplate(html: Column) -> Column:
 
 def main_content(html: Column) -> Column:
     """HTML of the main content after boilerplate removal."""
-    clean = drop_boilerplate(html)
-    picks = [
-        F.regexp_extract(clean, rf"(?is)<{name}(?:\s[^>]*)?>(.*)</{name}>", 1)
-        for name in ("article", "main", "body")
-    ]
-    return trim_space(F.coalesce(first_nonempty(*picks), clean))
+    patterns = [rf"(?is)<{name}(?:\s[^>]*)?>(.*)</{name}>" for name in ("article", "main", "body")]
+    return trim_space(let(drop_boilerplate(html), lambda clean: _first_match(clean, patterns, clean)))
 
 
 def plain_text(content: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ PREVIEW_LIMIT = 200
 EDGE_SPACE = r"^[\s\u0085\p{Z}]+|[\s\u0085\p{Z}]+\z"
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once.  Else it is computed again behind every condition that names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def nonempty(c: Column) -> Column:
     """NULL for the empty string, so that it falls through a ``coalesce``."""
     return F.nullif(c, F.lit(""))
